@@ -1,0 +1,6 @@
+"""All registered queries."""
+
+from gatecast.registry import history, rows, shapes, stored, values
+from gatecast.registry.base import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL", "history", "rows", "shapes", "stored", "values"]
