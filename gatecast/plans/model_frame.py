@@ -18,6 +18,7 @@ from gatecast.operators.impute import impute_group_mean
 from gatecast.operators.joins import enrich_star
 from gatecast.operators.reshape import pivot_wider
 from gatecast.operators.windows import Lag, RollingSum, RunningSum, add_history
+from gatecast.session import materialize
 
 # The columns of the side inputs.
 WEATHER = ("precip_past1h", "temp_dry", "wind_speed")
@@ -144,5 +145,7 @@ def model_frame(
     """
     history = team_history(matches, order, compat)
     history = history.where(F.col("sæson_år").try_cast("int") >= first_season)
-    done = clean(enrich(add_times(history), weather_wide(observations), holidays, sales, team, expect))
+    enriched = enrich(add_times(history), weather_wide(observations), holidays, sales, team, expect)
+    # Cleaning reads the rows several times (band means, level counts): stored once before.
+    done = clean(materialize(enriched, "enriched"))
     return done.select("kamp", "datotid", *CATEGORIES, *NUMBERS, *SALES, TARGET)

@@ -406,7 +406,7 @@ def frame(spark, sf):
     )
     df = left_join(df, table(spark, sf, "customer"), {"o_custkey": "c_custkey"}, ["c_mktsegment", "c_acctbal"])
     df = left_join(df, sales, {"o_orderkey": "l_orderkey"}, ["basket", "d10", "d7", "d3"])
-    df = impute_group_mean(df, "last_meeting", "o_totalprice", 250000)
+    df = impute_group_mean(materialize(df, "enriched"), "last_meeting", "o_totalprice", 250000)
     return df.withColumns(
         {
             "month": dates.month(F.col("o_orderdate")),
