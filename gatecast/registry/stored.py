@@ -31,7 +31,7 @@ def s1(spark, sf):
 @query(
     "s2_multi_source_ingest",
     r"""SELECT 'pages' AS source, page_id, nullif(regexp_extract(url, '^https?://[^/]+/([a-z]+)/', 1), '') AS section,
-        TRY_CAST(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS INTEGER) AS page_no FROM pages""",
+        TRY_CAST(nullif(regexp_extract(url, 'page=([0-9]+)', 1), '') AS DOUBLE) AS page_no FROM pages""",
 )
 def s2(spark, sf):
     read = tb.with_key_from_path(spark.read.parquet(f"{sf}/page*.parquet"), "source", r"/([a-z]+)\.parquet")
@@ -39,7 +39,7 @@ def s2(spark, sf):
         "source",
         "page_id",
         pg.key_from(F.col("url"), "^https?://[^/]+/([a-z]+)/").alias("section"),
-        pg.key_from(F.col("url"), "page=([0-9]+)").try_cast("int").alias("page_no"),
+        pg.key_from(F.col("url"), "page=([0-9]+)").try_cast("double").alias("page_no"),
     )
 
 

@@ -112,10 +112,10 @@ def c2(spark, sf):
 
 @query(
     "c3_case_when",
-    "SELECT p_partkey, CASE WHEN p_size < 25 THEN 1 WHEN p_size > 25 THEN 2 END AS band FROM part",
+    "SELECT p_partkey, CASE WHEN p_size < 25 THEN 1.0::DOUBLE WHEN p_size > 25 THEN 2.0::DOUBLE END AS band FROM part",
 )
 def c3(spark, sf):
-    band = cases.case_when((F.col("p_size") < 25, 1), (F.col("p_size") > 25, 2))
+    band = cases.case_when((F.col("p_size") < 25, 1.0), (F.col("p_size") > 25, 2.0))
     return table(spark, sf, "part").select("p_partkey", band.alias("band"))
 
 
