@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gatecast.operators.categorical import factor_levels
+from gatecast.operators.categorical import distinct_levels
 
 MAX_TERMS = 1000
 
@@ -72,10 +72,10 @@ def fit_design(df: DataFrame, target: str, predictors: Sequence[str], max_terms:
     numeric = [c for c in predictors if c not in text]
     levels: dict[str, list[str]] = {c: [] for c in text}
     if text:
-        found = factor_levels(df, text).limit(max_terms + 1).collect()
+        found = distinct_levels(df, text).limit(max_terms + 1).collect()
         if len(found) > max_terms:
             raise ValueError(f"more than {max_terms} levels: lump rare ones first")
-        for row in sorted(found, key=lambda r: r["position"]):
+        for row in sorted(found, key=lambda r: r["level"]):
             levels[row["variable"]].append(row["level"])
     means = df.agg(*[F.avg(F.col(c).cast("double")).alias(c) for c in [*numeric, target]]).first()
     return Design(

@@ -4,22 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.operators.aggregates import attach_summary
+from gatecast.operators.windows import RunningSum, add_history
 
 
-def factor_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows (variable, level, position): the sorted distinct levels of each column, nulls left out."""
+def distinct_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (variable, level) of the distinct values of each column, nulls left out."""
     pairs = F.array(
         *[F.struct(F.lit(c).alias("variable"), F.col(c).cast("string").alias("level")) for c in columns]
     )
-    levels = (
-        df.select(F.explode(pairs).alias("p")).select("p.variable", "p.level").where(F.col("level").isNotNull()).distinct()
-    )
-    place = F.row_number().over(Window.partitionBy("variable").orderBy("level"))
-    return levels.withColumn("position", place)
+    levels = df.select(F.explode(pairs).alias("p")).select("p.variable", "p.level")
+    return levels.where(F.col("level").isNotNull()).distinct()
+
+
+def factor_levels(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Rows (variable, level, position): the sorted distinct levels of each column, nulls left out."""
+    levels = distinct_levels(df, columns)
+    counted = levels.withColumn("_one", F.lit(1))
+    placed = add_history(counted, {"position": RunningSum("_one")}, team="variable", order=["level"])
+    return placed.select("variable", "level", F.col("position").cast("int").alias("position"))
 
 
 def lump_rare(df: DataFrame, column: str, least: int, other: str) -> DataFrame:

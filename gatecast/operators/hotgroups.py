@@ -20,6 +20,7 @@ from gatecast.session import materialize
 CHUNK = "_chunk"
 REAL = "_real"
 HOT_ROWS = 5_000_000
+MOST_RANGES = 20_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -43,7 +44,7 @@ def split_hot_groups(
         return df, None
     hot = F.broadcast(materialize(sizes.select(*keys), "hot-keys"))
     cold = df.join(hot, same_keys(df, hot, keys), "left_anti")
-    ranges = -(-found["rows"] // hot_rows) * 2
+    ranges = min(-(-found["rows"] // hot_rows) * 2, MOST_RANGES)
     chunked = (
         df.join(hot, same_keys(df, hot, keys), "left_semi")
         .repartitionByRange(ranges, *keys, *order)

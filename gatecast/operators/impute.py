@@ -18,6 +18,7 @@ def impute_group_mean(df: DataFrame, column: str, target: str, border: float = B
     Bands exist only for rows where ``column`` is null: ``target`` below or above
     ``border``; exactly on it there is no band and the null stays. The band is taken
     from the target itself, so a model trained on the result sees a trace of it.
+    ``df`` is read twice: store it first when it is costly.
     """
     out = df.withColumn("_new", null_flag(F.col(column)))
     out = out.withColumn(

@@ -25,16 +25,19 @@ def union_with_type_repair(*frames: DataFrame, **types: str) -> DataFrame:
 def pivot_wider(
     df: DataFrame, ids: Sequence[str], names_from: str, values_from: str, names: Sequence[str], check: bool = True
 ) -> DataFrame:
-    """One column per listed name. A second value for one cell fails the job when ``check`` is set."""
-    cells = df.where(F.col(names_from).isin(*names)).groupBy(*ids, names_from)
-    one = F.max(values_from)
-    if check:
-        n = F.count(values_from)
-        one = F.when(n <= 1, one).otherwise(
-            F.raise_error(F.concat(F.lit("more than one value for "), F.first(names_from))).cast("double")
-        )
-    cells = cells.agg(one.alias("_value"))
-    return cells.groupBy(*ids).pivot(names_from, list(names)).agg(F.max("_value"))
+    """One column per listed name. A second value for one cell fails the job when ``check`` is set.
+
+    The names are given, so one shuffle on ``ids`` of pre-aggregated rows is enough.
+    """
+
+    def cell(name: str):
+        own = F.when(F.col(names_from) == name, F.col(values_from))
+        if not check:
+            return F.max(own).alias(name)
+        twice = F.raise_error(F.lit(f"more than one value for {name}")).cast(df.schema[values_from].dataType)
+        return F.when(F.count(own) <= 1, F.max(own)).otherwise(twice).alias(name)
+
+    return df.where(F.col(names_from).isin(*names)).groupBy(*ids).agg(*[cell(n) for n in names])
 
 
 def pivot_longer(df: DataFrame, ids: Sequence[str], values: Sequence[str], names_to: str, values_to: str) -> DataFrame:

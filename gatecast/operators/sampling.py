@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 from gatecast.operators.aggregates import attach_summary
 
 BUCKET_ROWS = 1_000_000
+EDGE_ROWS = 20_000
+DIGITS = 3
 
 
 def shuffle_hash(keys: Sequence[str], seed: int) -> Column:
@@ -23,8 +25,20 @@ def shuffle_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def _digits(rows: int, bucket_rows: int) -> int:
-    return max(1, math.ceil(math.log(max(rows / bucket_rows, 1), 16)))
+def _bucket_counts(df: DataFrame, placed: Column, start: str = "") -> list[tuple[str, int]]:
+    """Row counts of the 16**DIGITS buckets below a hash prefix, in hash order; fetched, as they are few."""
+    if start:
+        df = df.where(placed.startswith(start))
+    counts = df.groupBy(F.substring(placed, 1, len(start) + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    found = sorted((r["b"], r["n"]) for r in counts.collect())
+    _check_even(max((n for _, n in found), default=0), sum(n for _, n in found))
+    return found
+
+
+def _check_even(largest: int, rows: int, buckets: int = 16**DIGITS) -> None:
+    """Hashes of unique keys spread evenly; a far larger bucket means a repeated key."""
+    if largest > 2 * rows / buckets + 10_000:
+        raise ValueError("the key is not unique: hash buckets are uneven")
 
 
 def split_exact(
@@ -33,58 +47,61 @@ def split_exact(
     fraction: float = 0.7,
     seed: int = 2,
     name: str = "is_train",
-    bucket_rows: int = BUCKET_ROWS,
+    edge_rows: int = EDGE_ROWS,
 ) -> DataFrame:
     """Mark exactly the whole part of ``fraction * rows`` as training rows.
 
-    Only the bucket the border falls in is ranked; all other rows are decided by
-    comparing their hash with the border, without a shuffle.
+    Only the bucket the border falls in is looked at more closely, until it holds
+    ``edge_rows`` or fewer; all rows are then decided by comparing their hash with the
+    border, without a shuffle.
     """
-    rows = df.count()
-    take = math.floor(fraction * rows)
     placed = shuffle_hash(keys, seed)
-    if take == 0:
+    counts = _bucket_counts(df, placed)
+    left = math.floor(fraction * sum(n for _, n in counts))
+    if left == 0:
         return df.withColumn(name, F.lit(False))
-    digits = _digits(rows, bucket_rows)
-    counts = (
-        df.select(F.substring(placed, 1, digits).alias("b")).groupBy("b").agg(F.count(F.lit(1)).alias("n"))
-    )
-    before = F.sum("n").over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1))
-    edge = (
-        counts.withColumn("before", F.coalesce(before, F.lit(0)))
-        .where((F.col("before") < take) & (F.col("before") + F.col("n") >= take))
-        .first()
-    )
-    _check_even(edge["n"], rows, digits)
-    inside = df.select(placed.alias("h")).where(F.substring("h", 1, digits) == edge["b"])
-    border = (
-        inside.withColumn("r", F.row_number().over(Window.partitionBy(F.substring("h", 1, digits)).orderBy("h")))
-        .where(F.col("r") >= take - edge["before"])
-        .where(F.col("r") <= take - edge["before"] + 1)
-        .orderBy("r")
-        .collect()
-    )
-    if len(border) == 2 and border[0]["h"] == border[1]["h"]:
+    while True:
+        for bucket, n in counts:
+            if left <= n:
+                break
+            left -= n
+        if n <= edge_rows:
+            break
+        counts = _bucket_counts(df, placed, bucket)
+    edge = df.where(placed.startswith(bucket)).select(placed.alias("h")).orderBy("h").limit(left + 1).collect()
+    if len(edge) > left and edge[left]["h"] == edge[left - 1]["h"]:
         raise ValueError(f"the key {list(keys)} is not unique")
-    return df.withColumn(name, placed <= F.lit(border[0]["h"]))
+    return df.withColumn(name, placed <= F.lit(edge[left - 1]["h"]))
 
 
 def global_rank(
     df: DataFrame, keys: Sequence[str], seed: int = 2, name: str = "rank", bucket_rows: int = BUCKET_ROWS
 ) -> DataFrame:
-    """Rank of every row in hash order from 1: rows in earlier buckets plus the rank within the own one."""
-    hashed = df.withColumn("_h", shuffle_hash(keys, seed))
-    rows = df.count()
-    digits = _digits(rows, bucket_rows)
-    hashed = hashed.withColumn("_b", F.substring("_h", 1, digits))
-    counts = hashed.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    largest = counts.agg(F.max("_n")).first()[0] or 0
-    _check_even(largest, rows, digits)
-    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = counts.select("_b", F.coalesce(before, F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy("_b").orderBy("_h", *keys))
-    placed = attach_summary(hashed.withColumn("_r", within), offsets, ["_b"], small_rows=1_000_000)
-    return placed.withColumn(name, F.col("_before") + F.col("_r")).drop("_h", "_b", "_r", "_before")
+    """Rank of every row in hash order from 1: rows in earlier buckets plus the rank within the own one.
+
+    One shuffle, by bucket. Counts of the first 4096 buckets come from one aggregate; for
+    data that needs finer ones, these are counted per bucket and joined.
+    """
+    hashed = df.withColumn("_h", shuffle_hash(keys, seed)).withColumn("_b", F.substring("_h", 1, DIGITS))
+    counts = _bucket_counts(df, shuffle_hash(keys, seed))
+    rows = sum(n for _, n in counts)
+    spark, before, offsets = df.sparkSession, 0, []
+    for bucket, n in counts:
+        offsets.append((bucket, before))
+        before += n
+    start = F.broadcast(spark.createDataFrame(offsets, "_b string, _before long"))
+    hashed = hashed.join(start, "_b")
+    bucket = ["_b"]
+    if rows > bucket_rows * 16**DIGITS:
+        finer = DIGITS + math.ceil(math.log(rows / bucket_rows / 16**DIGITS, 16))
+        hashed = hashed.withColumn("_f", F.substring("_h", DIGITS + 1, finer - DIGITS))
+        sizes = hashed.groupBy("_b", "_f").agg(F.count(F.lit(1)).alias("_n"))
+        earlier = Window.partitionBy("_b").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
+        inner = sizes.select("_b", "_f", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_inner"))
+        hashed = attach_summary(hashed, inner, ["_b", "_f"]).withColumn("_before", F.col("_before") + F.col("_inner"))
+        bucket = ["_b", "_f"]
+    within = F.row_number().over(Window.partitionBy(*bucket).orderBy("_h", *keys))
+    return hashed.withColumn(name, F.col("_before") + within).select(*df.columns, name)
 
 
 def balanced_folds(
@@ -93,10 +110,3 @@ def balanced_folds(
     """Folds 1..k whose sizes differ by at most one."""
     ranked = global_rank(df, keys, seed, "_rank", bucket_rows)
     return ranked.withColumn(name, ((F.col("_rank") - 1) % folds + 1).cast("int")).drop("_rank")
-
-
-def _check_even(largest: int, rows: int, digits: int) -> None:
-    """Hashes of unique keys spread evenly; a far larger bucket means a repeated key."""
-    expected = rows / 16**digits
-    if largest > 2 * expected + 10_000:
-        raise ValueError("the key is not unique: hash buckets are uneven")

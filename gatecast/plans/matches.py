@@ -24,16 +24,14 @@ def matches_from_pages(pages: DataFrame, season: str = "season", within: str = "
     cells = html_rows(pages, keep=[season], within=within)
     rows = (
         cells.groupBy(season, "table_no", "row_no")
-        .pivot("col_no", list(range(1, len(COLUMNS) + 1)))
-        .agg(F.max(F.struct("tag", "cell")))
-        .toDF(season, "table_no", "row_no", *COLUMNS)
+        .agg(*[F.max(F.when(F.col("col_no") == i, F.col("cell"))).alias(c) for i, c in enumerate(COLUMNS, 1)])
     )
     # The header is the first row of its table; it is put on the match rows as a column.
     header = cells.where((F.col("row_no") == 1) & (F.col("col_no") == 1)).select(
         F.col(season).alias("_s"), F.col("table_no").alias("_t"), parse_number(F.col("cell")).alias("runde_nr")
     )
     body = rows.where(F.col("row_no") > 1)
-    text: dict[str, Column] = {c: F.nullif(F.col(f"{c}.cell"), F.lit("")) for c in COLUMNS}
+    text: dict[str, Column] = {c: F.nullif(F.col(c), F.lit("")) for c in COLUMNS}
     number = parse_grouped_number(text["tilskuere"]) if grouped else text["tilskuere"].try_cast("double") * 1000
     joined = body.join(header, (body[season] == header["_s"]) & (body["table_no"] == header["_t"]), "left")
     return joined.select(

@@ -17,7 +17,7 @@ from gatecast.operators.impute import impute_group_mean
 from gatecast.operators.joins import left_join
 from gatecast.operators.windows import Lag, RollingSum, RunningSum, add_history
 from gatecast.plans.forecast import forecast, with_parts
-from gatecast.registry.base import ORDER, games, query, r6, table
+from gatecast.registry.base import GAMES_SQL, ORDER, games, query, r6, table
 from gatecast.session import materialize
 from gatecast.sources.tables import inline_rows
 
@@ -420,21 +420,135 @@ def fitted(spark, sf):
     return forecast(frame(spark, sf), "basket", HORIZONS, ["o_orderkey"])
 
 
-@query("complete_model_frame")
+FRAME_SQL = f"""WITH {GAMES_SQL},
+  h AS (SELECT *, lag(o_orderstatus) OVER t AS last_result, lag(o_totalprice) OVER t AS last_value,
+      CASE WHEN count(*) OVER b = 3 THEN sum(o_totalprice) OVER b END AS last3,
+      sum(o_totalprice) OVER (PARTITION BY o_custkey, season ORDER BY o_orderdate, o_orderkey) AS season_value,
+      lag(o_totalprice) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS met
+    FROM games WINDOW t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey),
+      b AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING)),
+  h2 AS (SELECT *, lag(season_value) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS season_so_far,
+      CASE WHEN met IS NULL AND o_totalprice < 250000 THEN 1 WHEN met IS NULL AND o_totalprice > 250000 THEN 2 END AS band FROM h),
+  g AS (SELECT band, avg(o_totalprice) AS mean FROM h2 WHERE band IS NOT NULL GROUP BY band),
+  sales AS (SELECT l_orderkey, sum(l_extendedprice) AS basket, sum(CASE WHEN l_linenumber <= 2 THEN l_extendedprice ELSE 0 END) AS d10,
+      sum(CASE WHEN l_linenumber <= 4 THEN l_extendedprice ELSE 0 END) AS d7,
+      sum(CASE WHEN l_linenumber <= 6 THEN l_extendedprice ELSE 0 END) AS d3 FROM lineitem GROUP BY l_orderkey),
+  whole AS (SELECT o_orderkey, o_orderpriority, c_mktsegment, last_result, c_acctbal, month(o_orderdate)::INTEGER AS month,
+      ((dayofyear(o_orderdate) - 1) // 7 + 1)::INTEGER AS week, last_value, round(last3, 2) AS last3,
+      CASE WHEN month(o_orderdate) = 7 OR (month(o_orderdate) = 6 AND day(o_orderdate) >= 26)
+        OR (month(o_orderdate) = 8 AND day(o_orderdate) <= 12) THEN '1' ELSE '0' END AS summer,
+      round(season_so_far, 2) AS season_so_far, round(coalesce(met, mean), 2) AS last_meeting, round(d10, 2) AS d10,
+      round(d7, 2) AS d7, round(d3, 2) AS d3, round(basket, 2) AS basket
+    FROM h2 LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN sales ON o_orderkey = l_orderkey
+      LEFT JOIN g ON h2.band = g.band)
+  SELECT * FROM whole WHERE COLUMNS(*) IS NOT NULL"""
+
+
+@query("complete_model_frame", FRAME_SQL)
 def complete_frame(spark, sf):
     """Rows that enter the models."""
     columns = list(dict.fromkeys(["o_orderkey", *SHARED, "d10", "d7", "d3", "basket"]))
-    return complete_rows(frame(spark, sf).select(*columns), columns)
+    whole = complete_rows(frame(spark, sf).select(*columns), columns)
+    cents = ["last3", "season_so_far", "last_meeting", "d10", "d7", "d3", "basket"]
+    return whole.withColumns({c: r6(c, 2) for c in cents})
+
+
+# One feature per horizon: every family has a closed form, so the whole way can be checked.
+SIMPLE = {"måned1": ["x1"], "dag10": ["x2"], "dag7": ["x3"]}
+BOARD_SQL = f"""{PARTS_SQL},
+  u AS (SELECT 'måned1' AS h, x1 AS x, y, part FROM parts UNION ALL SELECT 'dag10', x2, y, part FROM parts
+    UNION ALL SELECT 'dag7', x3, y, part FROM parts),
+  f AS (SELECT range::INTEGER AS fold FROM range(0, 11)),
+  s AS (SELECT h, fold, avg(y) AS my, avg(x) AS mx, stddev_pop(x) AS dx, stddev_pop(y) AS dy, covar_pop(x, y) AS c
+    FROM f JOIN u ON part > 0 AND part <> fold GROUP BY h, fold),
+  m AS (SELECT 'Ridge' AS model, 0.001::DOUBLE AS alpha UNION ALL SELECT 'Lasso', 1.0),
+  l AS (SELECT h, model, k::INTEGER AS step, abs(c) / dx / alpha * pow(1e-4::DOUBLE, (k - 1) / 99.0::DOUBLE) AS lam
+    FROM s, m, range(1, 101) r(k) WHERE fold = 0),
+  b AS (SELECT l.*, fold, my, mx, CASE WHEN model = 'Ridge' THEN c / dx / dy / (1 + lam / dy)
+      ELSE sign(c) * greatest(abs(c) / dx / dy - lam / dy, 0) END * dy / dx AS beta FROM l JOIN s ON l.h = s.h),
+  e AS (SELECT b.h, model, step, fold, count(*)::DOUBLE AS n, avg(pow(y - my - beta * (x - mx), 2)) AS mse
+    FROM b JOIN u ON part = fold AND u.h = b.h WHERE fold > 0 GROUP BY ALL),
+  cv AS (SELECT h, model, step, sum(n * mse) / sum(n) AS cvm FROM e GROUP BY ALL),
+  pick AS (SELECT h, model, arg_min(step, cvm) AS step FROM cv GROUP BY ALL),
+  fit AS (SELECT b.h, b.model, my - beta * mx AS b0, beta AS b1 FROM b JOIN pick p ON b.h = p.h AND b.model = p.model
+      AND b.step = p.step WHERE fold = 0 UNION ALL
+    SELECT h, model, my - c / dx / dx * mx, c / dx / dx FROM s, (VALUES ('Full Linear'), ('Forward Selection'),
+      ('Backward Selection')) v(model) WHERE fold = 0),
+  err AS (SELECT fit.h, model, any_value(b0) AS b0, any_value(b1) AS b1, avg(pow(y - b0 - b1 * x, 2)) AS mse
+    FROM fit JOIN u ON u.h = fit.h AND part = 0 GROUP BY fit.h, model),
+  place AS (SELECT *, list_position(['Full Linear', 'Forward Selection', 'Backward Selection', 'Ridge', 'Lasso'], model) AS r FROM err),
+  best AS (SELECT h, arg_min(model, (round(mse, 7), r)) AS model FROM place GROUP BY h),
+  what(scenario, x1, x2, x3) AS (VALUES ('Best Case', 300.0::DOUBLE, 0.1::DOUBLE, 9.0::DOUBLE), ('Worst Case', 40.0, 0.3, 2.0)),
+  scored AS (SELECT scenario, err.h AS horizon, err.model,
+      b0 + b1 * CASE err.h WHEN 'måned1' THEN x1 WHEN 'dag10' THEN x2 ELSE x3 END AS predicted
+    FROM err JOIN best ON err.h = best.h AND err.model = best.model, what)"""
+
+
+def simple(spark, sf):
+    return forecast(baskets(spark, sf), "y", SIMPLE, ["l_orderkey"])
 
 
-@query("l15_leaderboard")
+@query(
+    "l15_leaderboard",
+    f"""WITH {BOARD_SQL} SELECT model, round(sqrt(max(CASE WHEN h = 'måned1' THEN mse END)), 4) AS "måned1",
+        round(sqrt(max(CASE WHEN h = 'dag10' THEN mse END)), 4) AS dag10,
+        round(sqrt(max(CASE WHEN h = 'dag7' THEN mse END)), 4) AS dag7 FROM err GROUP BY model""",
+)
 def l15(spark, sf):
-    return fitted(spark, sf).leaderboard(root=True)
+    board = simple(spark, sf).leaderboard(root=True)
+    return board.select("model", *[r6(h, 4).alias(h) for h in SIMPLE])
 
 
-@query("l15_best_models")
+@query(
+    "l15_best_models",
+    f"""WITH {BOARD_SQL} SELECT best.h AS horizon, best.model AS best_model, round(mse, 4) AS mse, round(sqrt(mse), 4) AS rmse
+        FROM best JOIN err ON best.h = err.h AND best.model = err.model""",
+)
 def l15_best(spark, sf):
-    return fitted(spark, sf).best()
+    best = simple(spark, sf).best()
+    return best.select("horizon", "best_model", r6("mse", 4).alias("mse"), r6("rmse", 4).alias("rmse"))
+
+
+def _what(spark):
+    rows = {"scenario": ["Best Case", "Worst Case"], "x1": [300.0, 40.0], "x2": [0.1, 0.3], "x3": [9.0, 2.0]}
+    return inline_rows(spark, rows, "scenario string, x1 double, x2 double, x3 double")
+
+
+@query("l16_scenario_score", f"WITH {BOARD_SQL} SELECT scenario, horizon, model, round(predicted, 4) AS predicted FROM scored")
+def l16(spark, sf):
+    scored = simple(spark, sf).scenarios(_what(spark))
+    return scored.select("scenario", "horizon", "model", r6("predicted", 4).alias("predicted"))
+
+
+@query(
+    "l17_scenario_table",
+    f"""WITH {BOARD_SQL}, d AS (SELECT *, CASE horizon WHEN 'måned1' THEN 30 WHEN 'dag10' THEN 10 WHEN 'dag7' THEN 7 END::INTEGER
+          AS days_before FROM scored)
+        SELECT scenario, horizon, days_before, round_even(predicted, 0)::BIGINT::VARCHAR || ' tilskuere' || chr(10) || '(' ||
+          days_before::VARCHAR || ' dage før)' AS label_text FROM d""",
+)
+def l17(spark, sf):
+    done = scoring.scenario_table(simple(spark, sf).scenarios(_what(spark)))
+    return done.select("scenario", "horizon", "days_before", "label_text")
+
+
+@query(
+    "l18_chart_rows",
+    f"""WITH {BOARD_SQL} SELECT best.model, CASE best.h WHEN 'måned1' THEN '1 Måned' WHEN 'dag10' THEN '10 Dage' ELSE '7 Dage' END
+        AS horizon, round(sqrt(mse), 4) AS rmse, round_even(sqrt(mse), 0)::BIGINT::VARCHAR AS label
+        FROM best JOIN err ON best.h = err.h AND best.model = err.model""",
+)
+def l18(spark, sf):
+    """Chart rows of the best model per horizon under its display label."""
+    errors = materialize(simple(spark, sf).errors(), "errors")
+    pairs = [(r["best_model"], r["horizon"]) for r in scoring.best_models(errors).collect()]
+    return scoring.best_rows(errors, pairs).select("model", "horizon", r6("rmse", 4).alias("rmse"), "label")
+
+
+@query("forecast_leaderboard")
+def whole_board(spark, sf):
+    """All families on all predictors for four horizons."""
+    return fitted(spark, sf).leaderboard(root=True)
 
 
 def _scenarios(spark, sf):
@@ -451,19 +565,7 @@ def _scenarios(spark, sf):
     return inline_rows(spark, best, ", ".join(f"{c} {kinds.get(c, 'double')}" for c in best))
 
 
-@query("l16_scenario_score")
-def l16(spark, sf):
-    return fitted(spark, sf).scenarios(_scenarios(spark, sf))
-
-
-@query("l17_scenario_table")
-def l17(spark, sf):
+@query("forecast_scenarios")
+def whole_scenarios(spark, sf):
+    """What-if rows scored by the best of all families, with days and label text."""
     return scoring.scenario_table(fitted(spark, sf).scenarios(_scenarios(spark, sf)))
-
-
-@query("l18_chart_rows")
-def l18(spark, sf):
-    """Errors of all models, with a mark on the best of each horizon and its display label."""
-    errors = materialize(fitted(spark, sf).errors(), "errors")
-    pairs = [(r["best_model"], r["horizon"]) for r in scoring.best_models(errors).collect()]
-    return scoring.best_rows(errors, pairs)

@@ -9,6 +9,7 @@ from gatecast.functions.labels import FIRST_MEETING
 from gatecast.operators.impute import impute_group_mean
 from gatecast.operators.windows import last_meeting
 from gatecast.registry.base import GAMES_SQL, ORDER, games, query, r6, table
+from gatecast.session import materialize
 
 
 @query("x1_str_detect", "SELECT p_partkey, regexp_matches(p_name, '^(red|blue) .*o') AS hit FROM part")
@@ -157,7 +158,8 @@ def c6(spark, sf):
 )
 def c7(spark, sf):
     met = last_meeting(games(spark, sf), "value", "met", team="o_custkey", against="o_orderpriority", order=ORDER)
-    out = impute_group_mean(met, "met", "o_totalprice", 250000)
+    stored = materialize(met.select("o_orderkey", "o_totalprice", "met"), "met")
+    out = impute_group_mean(stored, "met", "o_totalprice", 250000)
     return out.select("o_orderkey", r6("met", 4).alias("met"))
 
 

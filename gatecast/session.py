@@ -36,7 +36,7 @@ def shared_folder(spark: SparkSession) -> str:
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gatecast.folder", None)
     if not folder:
-        if spark.sparkContext.master.startswith(("local[", "local-cluster")) or spark.sparkContext.master == "local":
+        if spark.sparkContext.master.startswith("local"):
             folder = tempfile.mkdtemp(prefix="gatecast-")
             spark.conf.set("gatecast.folder", folder)
         else:
