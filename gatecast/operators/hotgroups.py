@@ -21,6 +21,7 @@ CHUNK = "_chunk"
 REAL = "_real"
 HOT_ROWS = 5_000_000
 MOST_RANGES = 20_000
+SMALL_LIST = 1_000_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -34,7 +35,7 @@ def split_hot_groups(
     """Return (ordinary rows, chunked rows of hot groups or None).
 
     The check is one aggregate on the key columns. At most rows/hot_rows groups
-    can be hot, so that list may be broadcast.
+    can be hot; their list is broadcast when its counted size allows.
     """
     if hot_rows is None:
         return df, None
@@ -42,7 +43,9 @@ def split_hot_groups(
     found = sizes.agg(F.count(F.lit(1)).alias("groups"), F.sum("_n").alias("rows")).first()
     if not found["groups"]:
         return df, None
-    hot = F.broadcast(materialize(sizes.select(*keys), "hot-keys"))
+    hot = materialize(sizes.select(*keys), "hot-keys")
+    if found["groups"] <= SMALL_LIST:
+        hot = F.broadcast(hot)
     cold = df.join(hot, same_keys(df, hot, keys), "left_anti")
     ranges = min(-(-found["rows"] // hot_rows) * 2, MOST_RANGES)
     chunked = (

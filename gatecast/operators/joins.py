@@ -88,6 +88,9 @@ def hour_aligned_join(matches, observations, time, observed, picks, expect="many
 
 
 def keyed_lookup(observations: DataFrame, wanted: DataFrame, key: str, wanted_key: str) -> DataFrame:
-    """Only the observations whose key occurs in ``wanted``."""
-    keys = wanted.select(F.col(wanted_key).alias("_key"))
+    """Only the observations whose key occurs in ``wanted``.
+
+    Wanted keys are made distinct before they move, so a key wanted often costs nothing.
+    """
+    keys = wanted.select(F.col(wanted_key).alias("_key")).distinct()
     return observations.join(keys, observations[key] == keys["_key"], "left_semi")

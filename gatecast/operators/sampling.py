@@ -1,8 +1,8 @@
 """Exact reproducible splits and balanced folds, by the order of hashed keys.
 
-``md5(key|seed)`` gives every row a fixed place in a random order. The key must
-be unique. The hash's leading hex digits form buckets of even size, as many as the
-row count asks for, so no task ever ranks more than one bucket.
+``md5(key|seed)`` gives every row a fixed place in a random order. The key must be
+unique. Sizes are met exactly by finding the hashes at the wanted places; rows are
+then labelled by comparing their own hash with these, without a shuffle.
 """
 
 from __future__ import annotations
@@ -13,11 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatecast.operators.aggregates import attach_summary
-
-BUCKET_ROWS = 1_000_000
-EDGE_ROWS = 20_000
 DIGITS = 3
+EDGE_ROWS = 20_000
 
 
 def shuffle_hash(keys: Sequence[str], seed: int) -> Column:
@@ -25,88 +22,82 @@ def shuffle_hash(keys: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
 
 
-def _bucket_counts(df: DataFrame, placed: Column, start: str = "") -> list[tuple[str, int]]:
+def _counts(df: DataFrame, placed: Column, start: str = "") -> list[tuple[str, int]]:
     """Row counts of the 16**DIGITS buckets below a hash prefix, in hash order; fetched, as they are few."""
     if start:
         df = df.where(placed.startswith(start))
     counts = df.groupBy(F.substring(placed, 1, len(start) + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     found = sorted((r["b"], r["n"]) for r in counts.collect())
-    _check_even(max((n for _, n in found), default=0), sum(n for _, n in found))
+    largest, rows = max((n for _, n in found), default=0), sum(n for _, n in found)
+    if largest > 2 * rows / 16**DIGITS + EDGE_ROWS / 2:
+        raise ValueError("the key is not unique: hash buckets are uneven")
     return found
 
 
-def _check_even(largest: int, rows: int, buckets: int = 16**DIGITS) -> None:
-    """Hashes of unique keys spread evenly; a far larger bucket means a repeated key."""
-    if largest > 2 * rows / buckets + 10_000:
-        raise ValueError("the key is not unique: hash buckets are uneven")
+def _locate(counts: list[tuple[str, int]], place: int) -> tuple[str, int, int]:
+    """Bucket that holds a place, the place within it, and the bucket's size."""
+    for bucket, n in counts:
+        if place <= n:
+            return bucket, place, n
+        place -= n
+    raise ValueError("place beyond the last row")
 
 
-def split_exact(
-    df: DataFrame,
-    keys: Sequence[str],
-    fraction: float = 0.7,
-    seed: int = 2,
-    name: str = "is_train",
-    edge_rows: int = EDGE_ROWS,
-) -> DataFrame:
-    """Mark exactly the whole part of ``fraction * rows`` as training rows.
+def hashes_at(
+    df: DataFrame, placed: Column, places: Sequence[int], counts: list[tuple[str, int]], edge_rows: int = EDGE_ROWS
+) -> list[str]:
+    """Hashes at some places (from 1) of the hash order.
 
-    Only the bucket the border falls in is looked at more closely, until it holds
-    ``edge_rows`` or fewer; all rows are then decided by comparing their hash with the
-    border, without a shuffle.
+    Buckets that hold a place are counted more finely until they have ``edge_rows`` or
+    fewer; only these few are sorted.
     """
+    spots = []
+    for place in places:
+        bucket, inside, n = _locate(counts, place)
+        while n > edge_rows:
+            bucket, inside, n = _locate(_counts(df, placed, bucket), inside)
+        spots.append((bucket, inside))
+    one_of = lambda tests: F.lit(False) if not tests else tests[0] if len(tests) == 1 else tests[0] | one_of(tests[1:])
+    buckets = sorted({b for b, _ in spots})
+    near = df.select(placed.alias("h")).where(one_of([F.col("h").startswith(b) for b in buckets]))
+    own = F.coalesce(*[F.when(F.col("h").startswith(b), b) for b in buckets])
+    ranked = near.withColumn("b", own).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h")))
+    # The row behind each place shows whether two rows share the border's hash.
+    wanted = one_of([(F.col("b") == b) & F.col("r").isin(r, r + 1) for b, r in sorted(set(spots))])
+    found = {(r["b"], r["r"]): r["h"] for r in ranked.where(wanted).collect()}
+    for bucket, inside in spots:
+        if found[bucket, inside] == found.get((bucket, inside + 1)):
+            raise ValueError("the key is not unique")
+    return [found[s] for s in spots]
+
+
+def split_exact(
+    df: DataFrame, keys: Sequence[str], fraction: float = 0.7, seed: int = 2, name: str = "is_train", edge_rows: int = EDGE_ROWS
+) -> DataFrame:
+    """Mark exactly the whole part of ``fraction * rows`` as training rows."""
     placed = shuffle_hash(keys, seed)
-    counts = _bucket_counts(df, placed)
-    left = math.floor(fraction * sum(n for _, n in counts))
-    if left == 0:
+    counts = _counts(df, placed)
+    take = math.floor(fraction * sum(n for _, n in counts))
+    if take == 0:
         return df.withColumn(name, F.lit(False))
-    while True:
-        for bucket, n in counts:
-            if left <= n:
-                break
-            left -= n
-        if n <= edge_rows:
-            break
-        counts = _bucket_counts(df, placed, bucket)
-    edge = df.where(placed.startswith(bucket)).select(placed.alias("h")).orderBy("h").limit(left + 1).collect()
-    if len(edge) > left and edge[left]["h"] == edge[left - 1]["h"]:
-        raise ValueError(f"the key {list(keys)} is not unique")
-    return df.withColumn(name, placed <= F.lit(edge[left - 1]["h"]))
-
-
-def global_rank(
-    df: DataFrame, keys: Sequence[str], seed: int = 2, name: str = "rank", bucket_rows: int = BUCKET_ROWS
-) -> DataFrame:
-    """Rank of every row in hash order from 1: rows in earlier buckets plus the rank within the own one.
+    return df.withColumn(name, placed <= F.lit(hashes_at(df, placed, [take], counts, edge_rows)[0]))
 
-    One shuffle, by bucket. Counts of the first 4096 buckets come from one aggregate; for
-    data that needs finer ones, these are counted per bucket and joined.
-    """
-    hashed = df.withColumn("_h", shuffle_hash(keys, seed)).withColumn("_b", F.substring("_h", 1, DIGITS))
-    counts = _bucket_counts(df, shuffle_hash(keys, seed))
-    rows = sum(n for _, n in counts)
-    spark, before, offsets = df.sparkSession, 0, []
-    for bucket, n in counts:
-        offsets.append((bucket, before))
-        before += n
-    start = F.broadcast(spark.createDataFrame(offsets, "_b string, _before long"))
-    hashed = hashed.join(start, "_b")
-    bucket = ["_b"]
-    if rows > bucket_rows * 16**DIGITS:
-        finer = DIGITS + math.ceil(math.log(rows / bucket_rows / 16**DIGITS, 16))
-        hashed = hashed.withColumn("_f", F.substring("_h", DIGITS + 1, finer - DIGITS))
-        sizes = hashed.groupBy("_b", "_f").agg(F.count(F.lit(1)).alias("_n"))
-        earlier = Window.partitionBy("_b").orderBy("_f").rowsBetween(Window.unboundedPreceding, -1)
-        inner = sizes.select("_b", "_f", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_inner"))
-        hashed = attach_summary(hashed, inner, ["_b", "_f"]).withColumn("_before", F.col("_before") + F.col("_inner"))
-        bucket = ["_b", "_f"]
-    within = F.row_number().over(Window.partitionBy(*bucket).orderBy("_h", *keys))
-    return hashed.withColumn(name, F.col("_before") + within).select(*df.columns, name)
+
+def fold_number(df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 2, edge_rows: int = EDGE_ROWS) -> Column:
+    """Fold 1..k of a row of ``df``; fold sizes differ by at most one, larger ones first."""
+    placed = shuffle_hash(keys, seed)
+    counts = _counts(df, placed)
+    size, more = divmod(sum(n for _, n in counts), folds)
+    ends = [i * size + min(i, more) for i in range(1, folds)]
+    borders = hashes_at(df, placed, ends, counts, edge_rows) if size or more else []
+    fold = F.lit(1)
+    for border in borders:
+        fold = fold + (placed > F.lit(border)).cast("int")
+    return fold
 
 
 def balanced_folds(
-    df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 2, name: str = "fold", bucket_rows: int = BUCKET_ROWS
+    df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 2, name: str = "fold", edge_rows: int = EDGE_ROWS
 ) -> DataFrame:
-    """Folds 1..k whose sizes differ by at most one."""
-    ranked = global_rank(df, keys, seed, "_rank", bucket_rows)
-    return ranked.withColumn(name, ((F.col("_rank") - 1) % folds + 1).cast("int")).drop("_rank")
+    """Add the fold number of every row."""
+    return df.withColumn(name, fold_number(df, keys, folds, seed, edge_rows))

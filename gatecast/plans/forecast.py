@@ -12,8 +12,7 @@ from gatecast.models import scoring
 from gatecast.models.design import Design, complete_rows, fit_design
 from gatecast.models.fits import FAMILIES, coefficients, final_fits, fit_models, penalties
 from gatecast.models.gram import TEST
-from gatecast.operators.sampling import balanced_folds, split_exact
-from gatecast.operators.reshape import union_by_name
+from gatecast.operators.sampling import fold_number, split_exact
 from gatecast.session import materialize
 
 
@@ -64,9 +63,8 @@ class Forecast:
 def with_parts(df: DataFrame, keys: Sequence[str], fraction: float = 0.7, folds: int = 10, seed: int = 2) -> DataFrame:
     """Part of every row: 0 for the test rows, 1..k for the balanced folds of the training rows."""
     split = split_exact(df, keys, fraction, seed, "_train")
-    train = balanced_folds(split.where(F.col("_train")), keys, folds, seed + 1, "_part")
-    test = split.where(~F.col("_train")).withColumn("_part", F.lit(TEST))
-    return union_by_name(train, test).drop("_train")
+    fold = fold_number(split.where(F.col("_train")), keys, folds, seed + 1)
+    return split.withColumn("_part", F.when(F.col("_train"), fold).otherwise(F.lit(TEST))).drop("_train")
 
 
 def forecast(
@@ -87,6 +85,6 @@ def forecast(
     predictors = list(dict.fromkeys(c for p in horizons.values() for c in p))
     whole = materialize(complete_rows(frame.select(*dict.fromkeys([*keys, *predictors, target])), [*predictors, target]), "frame")
     design = fit_design(whole, target, predictors)
-    parts = materialize(with_parts(whole, keys, fraction, folds, seed), "parts")
+    parts = with_parts(whole, keys, fraction, folds, seed)
     paths = fit_models(parts, design, "_part", horizons, models, folds)
     return Forecast(design, horizons, folds, parts, paths)

@@ -71,8 +71,8 @@ BASKETS_SQL = """baskets AS (SELECT l_orderkey, sum(l_extendedprice) / 1000 AS y
 PARTS_SQL = f"""{BASKETS_SQL},
   split AS (SELECT *, row_number() OVER (ORDER BY md5(l_orderkey::VARCHAR || '|2')) <=
       floor(0.7::DOUBLE * (SELECT count(*) FROM baskets)) AS train FROM baskets),
-  parts AS (SELECT *, CASE WHEN train THEN (row_number() OVER (PARTITION BY train
-      ORDER BY md5(l_orderkey::VARCHAR || '|3')) - 1) % 10 + 1 ELSE 0 END::INTEGER AS part FROM split)"""
+  parts AS (SELECT *, CASE WHEN train THEN ntile(10) OVER (PARTITION BY train
+      ORDER BY md5(l_orderkey::VARCHAR || '|3')) ELSE 0 END::INTEGER AS part FROM split)"""
 
 
 def baskets(spark, sf):
@@ -88,7 +88,7 @@ def _parts(spark, sf):
 
 
 def _paths(spark, sf, horizons, models):
-    parts = materialize(_parts(spark, sf), "parts")
+    parts = _parts(spark, sf)
     predictors = list(dict.fromkeys(c for p in horizons.values() for c in p))
     design = fit_design(parts, "y", predictors)
     return parts, design, fit_models(parts, design, "_part", horizons, models)
@@ -120,8 +120,7 @@ def l1(spark, sf):
 
 @query(
     "l2_balanced_folds",
-    """SELECT o_orderkey, ((row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '|2')) - 1) % 10 + 1)::INTEGER AS fold
-       FROM orders""",
+    "SELECT o_orderkey, (ntile(10) OVER (ORDER BY md5(o_orderkey::VARCHAR || '|2')))::INTEGER AS fold FROM orders",
 )
 def l2(spark, sf):
     return sampling.balanced_folds(table(spark, sf, "orders"), ["o_orderkey"]).select("o_orderkey", "fold")
@@ -210,7 +209,7 @@ def l14_rows(spark, sf):
         SELECT part, i, j, round(sum(r[i + 1] * r[j + 1]), 3) + 0.0 AS value FROM v, ij GROUP BY part, i, j""",
 )
 def gram_sums(spark, sf):
-    parts = materialize(_parts(spark, sf), "parts")
+    parts = _parts(spark, sf)
     design = fit_design(parts, "y", ["x1", "x2"])
     return gram(parts, design, "_part").select("part", "i", "j", (r6("value", 3) + 0.0).alias("value"))
 

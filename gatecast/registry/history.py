@@ -149,8 +149,7 @@ def a3(spark, sf):
     return _naive(spark, sf).groupBy("o_orderpriority").agg(r6(rmse, 4).alias("rmse"))
 
 
-FOLDS_SQL = """ranked AS (SELECT *, ((row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '|2')) - 1) % 10 + 1)::INTEGER
-  AS fold FROM orders)"""
+FOLDS_SQL = """ranked AS (SELECT *, (ntile(10) OVER (ORDER BY md5(o_orderkey::VARCHAR || '|2')))::INTEGER AS fold FROM orders)"""
 
 
 @query(

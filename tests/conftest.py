@@ -12,9 +12,9 @@ from gatecast.session import build_session  # noqa: E402
 def spark(tmp_path_factory):
     session = build_session(
         "gatecast-tests",
-        "local[4]",
+        "local[8]",
         **{
-            "spark.sql.shuffle.partitions": "4",
+            "spark.sql.shuffle.partitions": "3",
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.sql.warehouse.dir": str(tmp_path_factory.mktemp("warehouse")),

@@ -2,6 +2,7 @@
 
 import math
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import duckdb
 import pytest
@@ -41,17 +42,24 @@ def plain(df):
     return names, sorted(tuple(text(v) for v in r) for r in df[names].itertuples(index=False))
 
 
+@pytest.fixture(scope="module")
+def results(spark):
+    """All queries, a few at a time."""
+    with ThreadPoolExecutor(6) as pool:
+        yield {name: pool.submit(lambda fn=fn: fn(spark, SF).toPandas()) for name, fn in QUERIES.items()}
+
+
 @pytest.mark.parametrize("name", sorted(SQL))
-def test_same_rows_as_sql(spark, con, name):
-    ours = plain(QUERIES[name](spark, SF).toPandas())
+def test_same_rows_as_sql(results, con, name):
+    ours = plain(results[name].result())
     theirs = plain(con.execute(SQL[name]).fetchdf())
     assert ours[0] == theirs[0]
     assert ours[1] == theirs[1]
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
-def test_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() > 0
+def test_runs(results, name):
+    assert len(results[name].result()) > 0
 
 
 def test_entry(spark):
