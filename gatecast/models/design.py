@@ -61,6 +61,18 @@ def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.dropna(subset=list(columns))
 
 
+def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """One row: how many rows there are, how many are complete, and the nulls per column."""
+    filled = F.lit(True)
+    for c in columns:
+        filled = filled & F.col(c).isNotNull()
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(filled).alias("complete"),
+        *[F.count_if(F.col(c).isNull()).alias(c) for c in columns],
+    )
+
+
 def fit_design(df: DataFrame, target: str, predictors: Sequence[str], max_terms: int = MAX_TERMS) -> Design:
     """Read levels and means off the whole frame (two aggregates).
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from gatecast.functions.cases import recode
 from gatecast.functions.text import format_label
 from gatecast.models.design import Design, prediction
 from gatecast.models.fits import FAMILIES
+from gatecast.operators.aggregates import mse
 from gatecast.operators.categorical import align_levels
 from gatecast.operators.filters import any_pair
 from gatecast.operators.reshape import order_by_level, pivot_longer, score_matrix, top1_per_group
@@ -19,6 +19,7 @@ from gatecast.operators.reshape import order_by_level, pivot_longer, score_matri
 # Horizons in order, their chart labels and days before the match.
 HORIZONS = ("måned1", "dag10", "dag7", "dag3")
 HORIZON_LABELS = {"måned1": "1 Måned", "dag10": "10 Dage", "dag7": "7 Dage", "dag3": "3 Dage"}
+SCENARIO_LABELS = {"måned1": "1 Måned før", "dag10": "10 Måned før", "dag7": "7 Måned før", "dag3": "3 Måned før"}
 DAYS_BEFORE = {"måned1": 30, "dag10": 10, "dag7": 7, "dag3": 3}
 
 
@@ -47,8 +48,6 @@ def predict_long(df: DataFrame, design: Design, fits: Sequence[Row], horizons, k
 
 def test_errors(predictions: DataFrame, target: str) -> DataFrame:
     """Mean squared test error per (horizon, model) from predicted rows."""
-    from gatecast.operators.aggregates import mse
-
     return predictions.groupBy("horizon", "model").agg(mse(F.col(target), F.col("predicted")).alias("mse"))
 
 
@@ -72,9 +71,13 @@ def score_scenarios(
 
 
 def scenario_table(scored: DataFrame) -> DataFrame:
-    """Scenario rows with days before the match and the text shown on the bar."""
-    days = recode(F.col("horizon"), DAYS_BEFORE)
-    table = scored.withColumn("days_before", days).withColumn(
+    """Scenario rows with their timeframe label, days before the match and the text shown on the bar."""
+    table = scored.withColumns(
+        {
+            "timeframe": recode(F.col("horizon"), SCENARIO_LABELS),
+            "days_before": recode(F.col("horizon"), DAYS_BEFORE),
+        }
+    ).withColumn(
         "label_text",
         format_label(F.col("predicted"), " tilskuere\n(", F.col("days_before"), " dage før)"),
     )
@@ -92,7 +95,3 @@ def best_rows(errors: DataFrame, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     picked = rmse_rows(errors).where(any_pair(pairs, F.col("model"), F.col("horizon")))
     named = picked.withColumn("horizon", recode(F.col("horizon"), HORIZON_LABELS))
     return order_by_level(named, "horizon", list(HORIZON_LABELS.values()))
-
-
-def union_all(frames: Sequence[DataFrame]) -> DataFrame:
-    return reduce(lambda a, b: a.unionByName(b), frames)

@@ -9,24 +9,30 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 3
 EDGE_ROWS = 20_000
+HASH = "_hash"
 
 
-def shuffle_hash(keys: Sequence[str], seed: int) -> Column:
-    """Fixed random place of a row."""
-    return F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed))))
+def with_hash(df: DataFrame, keys: Sequence[str], seed: int) -> DataFrame:
+    """Add the fixed random place of every row. As a column of its own it is computed once per row."""
+    return df.withColumn(HASH, F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys], F.lit(str(seed)))))
 
 
-def _counts(df: DataFrame, placed: Column, start: str = "") -> list[tuple[str, int]]:
+def _prefix(length: int) -> Column:
+    return F.substring(HASH, 1, length)
+
+
+def _counts(hashed: DataFrame, start: str = "") -> list[tuple[str, int]]:
     """Row counts of the 16**DIGITS buckets below a hash prefix, in hash order; fetched, as they are few."""
     if start:
-        df = df.where(placed.startswith(start))
-    counts = df.groupBy(F.substring(placed, 1, len(start) + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+        hashed = hashed.where(_prefix(len(start)) == start)
+    counts = hashed.groupBy(_prefix(len(start) + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
     found = sorted((r["b"], r["n"]) for r in counts.collect())
     largest, rows = max((n for _, n in found), default=0), sum(n for _, n in found)
     if largest > 2 * rows / 16**DIGITS + EDGE_ROWS / 2:
@@ -43,8 +49,12 @@ def _locate(counts: list[tuple[str, int]], place: int) -> tuple[str, int, int]:
     raise ValueError("place beyond the last row")
 
 
+def _any(tests: Sequence[Column]) -> Column:
+    return reduce(lambda a, b: a | b, tests)
+
+
 def hashes_at(
-    df: DataFrame, placed: Column, places: Sequence[int], counts: list[tuple[str, int]], edge_rows: int = EDGE_ROWS
+    hashed: DataFrame, places: Sequence[int], counts: list[tuple[str, int]], edge_rows: int = EDGE_ROWS
 ) -> list[str]:
     """Hashes at some places (from 1) of the hash order.
 
@@ -55,16 +65,19 @@ def hashes_at(
     for place in places:
         bucket, inside, n = _locate(counts, place)
         while n > edge_rows:
-            bucket, inside, n = _locate(_counts(df, placed, bucket), inside)
+            bucket, inside, n = _locate(_counts(hashed, bucket), inside)
         spots.append((bucket, inside))
-    one_of = lambda tests: F.lit(False) if not tests else tests[0] if len(tests) == 1 else tests[0] | one_of(tests[1:])
-    buckets = sorted({b for b, _ in spots})
-    near = df.select(placed.alias("h")).where(one_of([F.col("h").startswith(b) for b in buckets]))
-    own = F.coalesce(*[F.when(F.col("h").startswith(b), b) for b in buckets])
-    ranked = near.withColumn("b", own).withColumn("r", F.row_number().over(Window.partitionBy("b").orderBy("h")))
+    by_length: dict[int, list[str]] = {}
+    for bucket in sorted({b for b, _ in spots}):
+        by_length.setdefault(len(bucket), []).append(bucket)
+    inside_any = [(_prefix(n), _prefix(n).isin(buckets)) for n, buckets in by_length.items()]
+    near = hashed.select(HASH, F.coalesce(*[F.when(hit, prefix) for prefix, hit in inside_any]).alias("b"))
+    ranked = near.where(F.col("b").isNotNull()).withColumn(
+        "r", F.row_number().over(Window.partitionBy("b").orderBy(HASH))
+    )
     # The row behind each place shows whether two rows share the border's hash.
-    wanted = one_of([(F.col("b") == b) & F.col("r").isin(r, r + 1) for b, r in sorted(set(spots))])
-    found = {(r["b"], r["r"]): r["h"] for r in ranked.where(wanted).collect()}
+    wanted = _any([(F.col("b") == b) & F.col("r").isin(r, r + 1) for b, r in sorted(set(spots))])
+    found = {(r["b"], r["r"]): r[HASH] for r in ranked.where(wanted).collect()}
     for bucket, inside in spots:
         if found[bucket, inside] == found.get((bucket, inside + 1)):
             raise ValueError("the key is not unique")
@@ -75,24 +88,24 @@ def split_exact(
     df: DataFrame, keys: Sequence[str], fraction: float = 0.7, seed: int = 2, name: str = "is_train", edge_rows: int = EDGE_ROWS
 ) -> DataFrame:
     """Mark exactly the whole part of ``fraction * rows`` as training rows."""
-    placed = shuffle_hash(keys, seed)
-    counts = _counts(df, placed)
+    hashed = with_hash(df, keys, seed)
+    counts = _counts(hashed)
     take = math.floor(fraction * sum(n for _, n in counts))
     if take == 0:
         return df.withColumn(name, F.lit(False))
-    return df.withColumn(name, placed <= F.lit(hashes_at(df, placed, [take], counts, edge_rows)[0]))
+    border = hashes_at(hashed, [take], counts, edge_rows)[0]
+    return hashed.withColumn(name, F.col(HASH) <= F.lit(border)).drop(HASH)
 
 
-def fold_number(df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 2, edge_rows: int = EDGE_ROWS) -> Column:
-    """Fold 1..k of a row of ``df``; fold sizes differ by at most one, larger ones first."""
-    placed = shuffle_hash(keys, seed)
-    counts = _counts(df, placed)
+def fold_number(hashed: DataFrame, folds: int = 10, edge_rows: int = EDGE_ROWS) -> Column:
+    """Fold 1..k of the rows of ``hashed`` by their hash; sizes differ by at most one, larger ones first."""
+    counts = _counts(hashed)
     size, more = divmod(sum(n for _, n in counts), folds)
     ends = [i * size + min(i, more) for i in range(1, folds)]
-    borders = hashes_at(df, placed, ends, counts, edge_rows) if size or more else []
+    borders = hashes_at(hashed, ends, counts, edge_rows) if size or more else []
     fold = F.lit(1)
     for border in borders:
-        fold = fold + (placed > F.lit(border)).cast("int")
+        fold = fold + (F.col(HASH) > F.lit(border)).cast("int")
     return fold
 
 
@@ -100,4 +113,14 @@ def balanced_folds(
     df: DataFrame, keys: Sequence[str], folds: int = 10, seed: int = 2, name: str = "fold", edge_rows: int = EDGE_ROWS
 ) -> DataFrame:
     """Add the fold number of every row."""
-    return df.withColumn(name, fold_number(df, keys, folds, seed, edge_rows))
+    hashed = with_hash(df, keys, seed)
+    return hashed.withColumn(name, fold_number(hashed, folds, edge_rows)).drop(HASH)
+
+
+def split_and_folds(
+    df: DataFrame, keys: Sequence[str], fraction: float = 0.7, folds: int = 10, seed: int = 2, name: str = "part"
+) -> DataFrame:
+    """0 for the test rows, 1..k for the balanced folds of the training rows."""
+    split = with_hash(split_exact(df, keys, fraction, seed, "_train"), keys, seed + 1)
+    fold = fold_number(split.where(F.col("_train")), folds)
+    return split.withColumn(name, F.when(F.col("_train"), fold).otherwise(F.lit(0))).drop("_train", HASH)

@@ -12,7 +12,8 @@ from gatecast.models import scoring
 from gatecast.models.design import Design, complete_rows, fit_design
 from gatecast.models.fits import FAMILIES, coefficients, final_fits, fit_models, penalties
 from gatecast.models.gram import TEST
-from gatecast.operators.sampling import fold_number, split_exact
+from gatecast.operators.filters import any_pair
+from gatecast.operators.sampling import split_and_folds
 from gatecast.session import materialize
 
 
@@ -50,21 +51,20 @@ class Forecast:
         best = self.best().select("horizon", F.col("best_model").alias("model"))
         return self.fits().join(best, ["horizon", "model"], "left_semi").collect()
 
+    def named_fits(self, models: dict[str, str]) -> list[Row]:
+        """The chosen fit of a given model per horizon."""
+        named = any_pair(list(models.items()), F.col("horizon"), F.col("model"))
+        return self.fits().where(named).collect()
+
     def predictions(self, keep: Sequence[str]) -> DataFrame:
         """Fitted values of all chosen models on the test rows."""
         test = self.parts.where(F.col("_part") == TEST)
         return scoring.predict_long(test, self.design, self.fits().collect(), self.horizons, keep)
 
-    def scenarios(self, rows: DataFrame, label: str = "scenario") -> DataFrame:
-        """What-if rows scored by the best model per horizon."""
-        return scoring.score_scenarios(rows, self.design, self.best_fits(), self.horizons, label)
-
-
-def with_parts(df: DataFrame, keys: Sequence[str], fraction: float = 0.7, folds: int = 10, seed: int = 2) -> DataFrame:
-    """Part of every row: 0 for the test rows, 1..k for the balanced folds of the training rows."""
-    split = split_exact(df, keys, fraction, seed, "_train")
-    fold = fold_number(split.where(F.col("_train")), keys, folds, seed + 1)
-    return split.withColumn("_part", F.when(F.col("_train"), fold).otherwise(F.lit(TEST))).drop("_train")
+    def scenarios(self, rows: DataFrame, label: str = "scenario", models: dict[str, str] | None = None) -> DataFrame:
+        """What-if rows scored by the best model per horizon, or by the given ones."""
+        fits = self.named_fits(models) if models else self.best_fits()
+        return scoring.score_scenarios(rows, self.design, fits, self.horizons, label)
 
 
 def forecast(
@@ -85,6 +85,6 @@ def forecast(
     predictors = list(dict.fromkeys(c for p in horizons.values() for c in p))
     whole = materialize(complete_rows(frame.select(*dict.fromkeys([*keys, *predictors, target])), [*predictors, target]), "frame")
     design = fit_design(whole, target, predictors)
-    parts = with_parts(whole, keys, fraction, folds, seed)
+    parts = split_and_folds(whole, keys, fraction, folds, seed, "_part")
     paths = fit_models(parts, design, "_part", horizons, models, folds)
     return Forecast(design, horizons, folds, parts, paths)

@@ -16,7 +16,7 @@ from gatecast.operators import sampling
 from gatecast.operators.impute import impute_group_mean
 from gatecast.operators.joins import left_join
 from gatecast.operators.windows import Lag, RollingSum, RunningSum, add_history
-from gatecast.plans.forecast import forecast, with_parts
+from gatecast.plans.forecast import forecast
 from gatecast.registry.base import GAMES_SQL, ORDER, games, query, r6, table
 from gatecast.session import materialize
 from gatecast.sources.tables import inline_rows
@@ -84,7 +84,7 @@ def baskets(spark, sf):
 
 
 def _parts(spark, sf):
-    return with_parts(materialize(baskets(spark, sf), "baskets"), ["l_orderkey"])
+    return sampling.split_and_folds(materialize(baskets(spark, sf), "baskets"), ["l_orderkey"], name="_part")
 
 
 def _paths(spark, sf, horizons, models):
@@ -523,12 +523,13 @@ def l16(spark, sf):
     "l17_scenario_table",
     f"""WITH {BOARD_SQL}, d AS (SELECT *, CASE horizon WHEN 'måned1' THEN 30 WHEN 'dag10' THEN 10 WHEN 'dag7' THEN 7 END::INTEGER
           AS days_before FROM scored)
-        SELECT scenario, horizon, days_before, round_even(predicted, 0)::BIGINT::VARCHAR || ' tilskuere' || chr(10) || '(' ||
+        SELECT scenario, CASE horizon WHEN 'måned1' THEN '1 Måned før' WHEN 'dag10' THEN '10 Måned før' ELSE '7 Måned før' END
+          AS timeframe, days_before, round_even(predicted, 0)::BIGINT::VARCHAR || ' tilskuere' || chr(10) || '(' ||
           days_before::VARCHAR || ' dage før)' AS label_text FROM d""",
 )
 def l17(spark, sf):
     done = scoring.scenario_table(simple(spark, sf).scenarios(_what(spark)))
-    return done.select("scenario", "horizon", "days_before", "label_text")
+    return done.select("scenario", "timeframe", "days_before", "label_text")
 
 
 @query(

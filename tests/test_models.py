@@ -6,7 +6,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gatecast.models import fits, scoring, solvers
-from gatecast.models.design import complete_rows, design_matrix, fit_design, prediction
+from gatecast.models.design import complete_rows, completeness, design_matrix, fit_design, prediction
 from gatecast.models.gram import fold_grams, gram, square
 
 CATS = {"g": "string"}
@@ -90,6 +90,8 @@ def test_nulls_are_refused(spark, design):
     with pytest.raises(Exception, match="null in x2"):
         gram(bad, design, "_part").collect()
     assert complete_rows(bad, PRED).count() == 0
+    report = completeness(bad, PRED).first()
+    assert (report.rows, report.complete, report.x2, report.x1) == (1, 0, 1, 0)
 
 
 def test_full_model_is_least_squares(paths, data):

@@ -184,6 +184,8 @@ def test_forecast_to_scenarios(spark, frame):
     scored = done.scenarios(rows).collect()
     assert len(scored) == 8
     assert all((r.predicted is None) == (r.scenario == "Worst Case") for r in scored)
+    given = {"måned1": "Ridge", "dag10": "Lasso", "dag7": "Lasso", "dag3": "Lasso"}
+    assert {(r.horizon, r.model) for r in done.scenarios(rows, models=given).collect()} == set(given.items())
     predicted = done.predictions(["kamp", "datotid", "tilskuere"])
     assert predicted.groupBy("horizon", "model").count().count() == 20
     assert {r.model for r in done.penalties().collect()} == {"Ridge", "Lasso"}

@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatecast.operators import sampling
-from gatecast.plans.forecast import with_parts
 
 
 @pytest.mark.parametrize("n", [1, 2, 10, 101, 1000])
@@ -21,14 +20,14 @@ def test_split_does_not_depend_on_buckets_or_order(spark):
 
 def test_split_follows_the_hash_order(spark):
     df = sampling.split_exact(spark.range(300), ["id"], 0.5)
-    by_hash = [r.id for r in spark.range(300).orderBy(sampling.shuffle_hash(["id"], 2)).collect()]
+    by_hash = [r.id for r in sampling.with_hash(spark.range(300), ["id"], 2).orderBy("_hash").collect()]
     assert {r.id for r in df.where("is_train").collect()} == set(by_hash[:150])
 
 
 def test_labels_need_no_shuffle(spark):
     split = sampling.split_exact(spark.range(1000), ["id"])
     folds = sampling.balanced_folds(spark.range(1000), ["id"])
-    parts = with_parts(spark.range(1000), ["id"])
+    parts = sampling.split_and_folds(spark.range(1000), ["id"], name="_part")
     for df in (split, folds, parts):
         assert "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
 
@@ -48,7 +47,7 @@ def test_folds_are_balanced(spark, n, edge_rows):
 @pytest.mark.parametrize("edge_rows", [20_000, 5])
 def test_folds_are_runs_of_the_hash_order(spark, edge_rows):
     got = {r.id: r.fold for r in sampling.balanced_folds(spark.range(97), ["id"], 4, edge_rows=edge_rows).collect()}
-    by_hash = [r.id for r in spark.range(97).orderBy(sampling.shuffle_hash(["id"], 2)).collect()]
+    by_hash = [r.id for r in sampling.with_hash(spark.range(97), ["id"], 2).orderBy("_hash").collect()]
     assert [got[i] for i in by_hash] == sorted(got.values())
 
 
@@ -59,6 +58,6 @@ def test_repeated_keys_are_refused(spark):
 
 
 def test_parts(spark):
-    parts = with_parts(spark.range(1000), ["id"])
+    parts = sampling.split_and_folds(spark.range(1000), ["id"], name="_part")
     sizes = {r._part: r["count"] for r in parts.groupBy("_part").count().collect()}
     assert sizes[0] == 300 and sorted(sizes) == list(range(11)) and all(sizes[f] == 70 for f in range(1, 11))
