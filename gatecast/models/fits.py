@@ -113,9 +113,15 @@ def subset_errors(paths: DataFrame, folds: int = 10) -> DataFrame:
 
 
 def penalty_errors(paths: DataFrame) -> DataFrame:
-    """Cross-validated error and its standard error per (horizon, model, penalty)."""
-    rows = paths.where(F.col("model").isin(*PENALIZED) & (F.col("fold") > 0))
-    return cv_summary(rows, ["horizon", "model", "step", "lambda"])
+    """Cross-validated error and its standard error per (horizon, model, penalty).
+
+    Folds meet by their place on the path; the penalty itself is read off the fit on all
+    training rows, as its last bits may differ between tasks.
+    """
+    keys = ["horizon", "model", "step"]
+    rows = paths.where(F.col("model").isin(*PENALIZED))
+    errors = cv_summary(rows.where(F.col("fold") > 0), keys)
+    return rows.where(F.col("fold") == 0).select(*keys, "lambda").join(errors, keys)
 
 
 def penalties(paths: DataFrame) -> DataFrame:

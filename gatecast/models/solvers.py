@@ -41,7 +41,7 @@ def held_out_mse(s: np.ndarray, intercept: float, beta: np.ndarray) -> float:
     if n == 0:
         return float("nan")
     b = np.concatenate([[intercept], beta])
-    return float((s[-1, -1] - 2 * b @ s[:-1, -1] + b @ s[:-1, :-1] @ b) / n)
+    return max(float((s[-1, -1] - 2 * b @ s[:-1, -1] + b @ s[:-1, :-1] @ b) / n), 0.0)
 
 
 def independent(c: Centered) -> list[int]:
@@ -66,7 +66,7 @@ def solve_on(c: Centered, columns: list[int]) -> np.ndarray:
 
 
 def rss(c: Centered, beta: np.ndarray) -> float:
-    return float(c.yy - 2 * beta @ c.xy + beta @ c.xx @ beta)
+    return max(float(c.yy - 2 * beta @ c.xy + beta @ c.xx @ beta), 0.0)
 
 
 def forward_order(c: Centered) -> list[int]:

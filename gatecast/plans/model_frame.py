@@ -49,7 +49,7 @@ def team_history(
         {
             "mål_sidste_kamp": Lag("mål"),
             "mål_sidste3_lagged": RollingSum("mål", shift=1),
-            "vff_resultat_lagged": Lag("holdets_resultat"),
+            "resultat_lagged": Lag("holdets_resultat"),
             "point_sidste3_lagged": RollingSum("point_kamp", shift=1),
             "point_sæson": RunningSum("point_kamp", ("sæson_år",)),
             "sidste_møde_tilskuere": Lag("tilskuere", within=("kamp",)),
@@ -70,8 +70,8 @@ def add_times(df: DataFrame, zone: str = dates.ZONE) -> DataFrame:
     return df.withColumns(
         {
             "tidspunkt": dates.day_part(F.col("datotid")),
-            "dmi_dato": dates.iso_key(hour),
-            "dato_dag_only": dates.day_key(hour),
+            "time_key": dates.iso_key(hour),
+            "day_key": dates.day_key(hour),
         }
     )
 
@@ -85,8 +85,8 @@ def enrich(history: DataFrame, weather: DataFrame, holidays: DataFrame, sales: D
     """Home matches of one team with weather, holiday and advance sales."""
     return enrich_star(
         history.where((F.col("hold") == team) & F.col("er_hjemme")),
-        (weather, {"dmi_dato": "observed"}, ["temp_dry", "wind_speed", "precip_past1h"], expect),
-        (holidays, {"dato_dag_only": "dato"}, ["helligdag"], expect),
+        (weather, {"time_key": "observed"}, ["temp_dry", "wind_speed", "precip_past1h"], expect),
+        (holidays, {"day_key": "dato"}, ["helligdag"], expect),
         (sales, {"real_år": "år", "runde_nr": "runde"}, list(SALES), expect),
         where=like_any_case(F.col("kamp"), f"%{team}-%"),
     )
@@ -118,7 +118,7 @@ def clean(enriched: DataFrame) -> DataFrame:
 
 # Predictors of the model frame, text ones first.
 CATEGORIES = (
-    "ugedag", "vff_resultat_lagged", "sæson_år", "tidspunkt", "modstander", "sidste_møde_resultat", "sommerferie",
+    "ugedag", "resultat_lagged", "sæson_år", "tidspunkt", "modstander", "sidste_møde_resultat", "sommerferie",
     "er_helligdag",
 )
 NUMBERS = (

@@ -172,6 +172,44 @@ def test_path_ends(paths, data):
     np.testing.assert_allclose(lasso[-1].betas, ols(*matrix(data[data._part > 0]))[1:], atol=5e-3)
 
 
+def test_every_penalty_is_scored_on_all_folds(paths):
+    cv = fits.penalty_errors(paths)
+    assert cv.count() == 2 * 2 * 100 and cv.where(f"folds != {FOLDS}").count() == 0
+    # A fold whose penalties differ in the last bits still counts.
+    shaken = paths.withColumn("lambda", F.when(F.col("fold") == 2, F.col("lambda") * (1 + 1e-15)).otherwise(F.col("lambda")))
+    again = fits.penalty_errors(shaken)
+    assert again.count() == 2 * 2 * 100 and again.where(f"folds != {FOLDS}").count() == 0
+
+
+def test_penalties_of_brute_force_cross_validation(paths, data):
+    """The chosen ridge penalty, with every fold refitted from its rows."""
+    full = paths.where("horizon = 'late' and model = 'Ridge' and fold = 0").orderBy("step").collect()
+    errors, sizes = np.zeros((FOLDS, len(full))), np.zeros(FOLDS)
+    for f in range(1, FOLDS + 1):
+        (x, y), (hx, hy) = matrix(data[(data._part > 0) & (data._part != f)]), matrix(data[data._part == f])
+        mx, sx, my, sy = x.mean(0), x.std(0), y.mean(), y.std()
+        z = (x - mx) / sx
+        sizes[f - 1] = len(hy)
+        for k, row in enumerate(full):
+            b = np.linalg.solve(z.T @ z / len(z) + row["lambda"] / sy * np.eye(z.shape[1]), z.T @ (y - my) / len(z))
+            errors[f - 1, k] = np.mean((hy - my - (hx - mx) / sx @ b) ** 2)
+    cvm = sizes @ errors / sizes.sum()
+    cvsd = np.sqrt(sizes @ (errors - cvm) ** 2 / sizes.sum() / (FOLDS - 1))
+    best = int(np.argmin(cvm))
+    got = {(r.horizon, r.model): r for r in fits.penalties(paths).collect()}["late", "Ridge"]
+    assert got.lambda_min == pytest.approx(full[best]["lambda"])
+    inside = [row["lambda"] for row, m in zip(full, cvm) if m <= cvm[best] + cvsd[best]]
+    assert got.lambda_1se == pytest.approx(max(inside))
+
+
+def test_perfect_fit_has_no_negative_error():
+    x = np.arange(20.0)
+    s = np.column_stack([np.ones(20), x - 9.5, 3 * (x - 9.5)])
+    c = solvers.center(s.T @ s)
+    beta = solvers.solve_on(c, [0])
+    assert solvers.rss(c, beta) >= 0 and solvers.held_out_mse(s.T @ s, c.intercept(beta), beta) >= 0
+
+
 def test_ridge_without_penalty_is_least_squares(data):
     x, y = matrix(data)
     s = np.column_stack([np.ones(len(x)), x, y])

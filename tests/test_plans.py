@@ -13,7 +13,7 @@ from gatecast.plans.forecast import forecast
 from gatecast.plans.matches import COLUMNS, ORDER, matches_from_pages
 from gatecast.session import materialize
 
-TEAMS = ["VFF", "AGF", "BIF", "OB", "RFC"]
+TEAMS = ["HFC", "ANK", "BYN", "OB", "RFC"]
 SEASONS = range(2002, 2012)
 
 
@@ -24,7 +24,7 @@ def schedule():
     for season in SEASONS:
         pairs = [(h, a) for h in TEAMS for a in TEAMS if h != a]
         rng.shuffle(pairs)
-        teams = pairs + ([("NEW", "VFF"), ("VFF", "NEW")] if season == 2006 else [])
+        teams = pairs + ([("NEW", "HFC"), ("HFC", "NEW")] if season == 2006 else [])
         for round_no, start in enumerate(range(0, len(teams), 2), 1):
             rows = []
             day = dt.date(season - 1, 7, 20) + dt.timedelta(days=28 * round_no)
@@ -80,7 +80,7 @@ def brute(team):
             row = {
                 "sæson_år": str(season), "kamp": kamp, "mål_sidste_kamp": goals[-1] if goals else None,
                 "mål_sidste3_lagged": total(goals[-3:]), "point_sidste3_lagged": total(points[-3:]),
-                "vff_resultat_lagged": last[0] if last else None, "point_sæson_lagged": last[1] if last else None,
+                "resultat_lagged": last[0] if last else None, "point_sæson_lagged": last[1] if last else None,
                 "sidste_møde_tilskuere": met_fixture.get(kamp), "sidste_møde_resultat": met_team.get(rival),
             }
             out.append(row)
@@ -101,7 +101,7 @@ def brute(team):
     return out
 
 
-@pytest.mark.parametrize("team", ["VFF", "BIF", "NEW"])
+@pytest.mark.parametrize("team", ["HFC", "BYN", "NEW"])
 @pytest.mark.parametrize("hot_rows", [None, 40])
 def test_history_row_by_row(matches, team, hot_rows):
     history = mf.team_history(matches, ORDER, hot_rows=hot_rows).where(F.col("hold") == team)
@@ -136,7 +136,7 @@ def sides(spark):
                 seen.add(key)
                 weather += [(p, rng.uniform(0, 9), key) for p in ("temp_dry", "wind_speed", "precip_past1h", "cloud")]
             gate = float(r[4]) * 1000 if r[4] else 5000.0
-            if not r[2].startswith("VFF-"):
+            if not r[2].startswith("HFC-"):
                 continue
             sales.append((year, round_no, *(gate * w + rng.uniform(-e, e) for w, e in ((0.3, 900), (0.5, 500), (0.8, 100)))))
     obs = spark.createDataFrame(weather, "parameterId string, value double, observed string")
@@ -148,17 +148,17 @@ def sides(spark):
 @pytest.fixture(scope="module")
 def frame(matches, sides):
     sold = sides[2].dropDuplicates(["år", "runde"])
-    return materialize(mf.model_frame(matches, sides[0], sides[1], sold, "VFF", ORDER), "vff")
+    return materialize(mf.model_frame(matches, sides[0], sides[1], sold, "HFC", ORDER), "frame")
 
 
 def test_model_frame(frame):
     got = frame.collect()
     seasons = {r.sæson_år for r in got}
     assert "2002" not in seasons and "2003" in seasons
-    assert all(r.kamp.startswith("VFF-") for r in got)
-    assert {r.modstander for r in got} == {"AGF", "BIF", "OB", "RFC", "andre_hold"}
+    assert all(r.kamp.startswith("HFC-") for r in got)
+    assert {r.modstander for r in got} == {"ANK", "BYN", "OB", "RFC", "andre_hold"}
     assert all(r.precip_past1h is not None and r.tilskuere is not None for r in got)
-    first = [r for r in got if r.kamp == "VFF-NEW"]
+    first = [r for r in got if r.kamp == "HFC-NEW"]
     assert len(first) == 1 and first[0].sidste_møde_resultat in ("første møde", "vundet", "tabt", "uafgjort")
     for r in got:
         assert r.måned == r.datotid.month and r.uge_nr == (r.datotid.timetuple().tm_yday - 1) // 7 + 1

@@ -9,7 +9,7 @@ from tests.conftest import rows
 
 PAGE = """<html><body><table><tr><td>outside</td></tr></table>
 <div id="content"><p>x</p><div><table><thead><tr><th>Runde 1</th><th>Kamp</th></tr></thead>
-<tr><td> Søn </td><td><a href="/k/1">VFF-AGF</a> &amp; co</td></tr></table></div>
+<tr><td> Søn </td><td><a href="/k/1">HFC-ANK</a> &amp; co</td></tr></table></div>
 <img src="a.png"><br><table><tr><th>Runde 2</th></tr><tr><td>Man</td></tr></table></div>
 <table><tr><td>after</td></tr></table></body></html>"""
 
@@ -19,7 +19,7 @@ def test_tables_below_the_content_element(spark):
     got = rows(pages.html_rows(df).select("page_id", "table_no", "row_no", "col_no", "tag", "cell", "href"), "table_no", "row_no", "col_no")
     assert got == [
         (1, 1, 1, 1, "th", "Runde 1", None), (1, 1, 1, 2, "th", "Kamp", None), (1, 1, 2, 1, "td", "Søn", None),
-        (1, 1, 2, 2, "td", "VFF-AGF & co", "/k/1"), (1, 2, 1, 1, "th", "Runde 2", None), (1, 2, 2, 1, "td", "Man", None),
+        (1, 1, 2, 2, "td", "HFC-ANK & co", "/k/1"), (1, 2, 1, 1, "th", "Runde 2", None), (1, 2, 2, 1, "td", "Man", None),
     ]
 
 
