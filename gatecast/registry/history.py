@@ -155,13 +155,13 @@ FOLDS_SQL = """ranked AS (SELECT *, (ntile(10) OVER (ORDER BY md5(o_orderkey::VA
 @query(
     "a4_fold_mean",
     f"""WITH {FOLDS_SQL}, per_fold AS (SELECT fold, o_custkey, avg(o_totalprice) AS m FROM ranked GROUP BY ALL)
-        SELECT o_custkey, round(avg(m), 4) AS fold_avg FROM per_fold GROUP BY o_custkey HAVING count(m) = 10""",
+        SELECT o_custkey, round(avg(m), 6) AS fold_avg FROM per_fold GROUP BY o_custkey HAVING count(m) = 10""",
 )
 def a4(spark, sf):
     folds = balanced_folds(table(spark, sf, "orders"), ["o_orderkey"])
     per_fold = folds.groupBy("fold", "o_custkey").agg(F.avg("o_totalprice").alias("m"))
     out = agg.fold_mean(per_fold, ["o_custkey"], "m", 10, "fold_avg")
-    return out.select("o_custkey", r6("fold_avg", 4).alias("fold_avg"))
+    return out.select("o_custkey", r6("fold_avg").alias("fold_avg"))
 
 
 @query(
