@@ -5,17 +5,39 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
 from gatecast.llm.simhash import simhash_components
+from gatecast.llm.token_files import read_token_files, write_token_files
 
 
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), words=4, max_bits=4)
 
 
+def vocabulary(name: str) -> str:
+    """Where a public tokenizer's file is; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op4_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return docs.select("doc_id", round_trip(F.col("text"), vocabulary("byte_bpe_50k.json")).alias("r")).select("doc_id", "r.*")
+
+
+def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return read_token_files(write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=1))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
+    "op10_token_files": op10_token_files,
 }
 
 SQL: dict[str, str] = {}
