@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gatecast.llm import sql
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
+from gatecast.llm.mixing import mix
 from gatecast.llm.simhash import simhash_components
 from gatecast.llm.token_files import read_token_files, write_token_files
 
@@ -17,6 +19,10 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), words=4, max_bits=4)
 
 
+def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
+    return mix(table(spark, folder, "documents"))
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is; the operators take any path."""
     import public_tokenizers
@@ -35,9 +41,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_mix_sources": op2_mix_sources,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op2_mix_sources": sql.MIX}
