@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatecast.llm import sql
+from gatecast.llm import quality, sql
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
 from gatecast.llm.mixing import mix
@@ -19,6 +19,12 @@ def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), words=4, max_bits=4)
 
 
+def op1_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    rules = quality.fit(docs, table(spark, folder, "labels"))
+    return docs.select("doc_id", quality.judged(F.col("text"), rules).alias("r")).select("doc_id", "r.*")
+
+
 def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
@@ -41,6 +47,7 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
