@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -43,7 +44,7 @@ def per_text(function: Callable[[str], tuple], schema: str) -> Callable[[Column]
     ``function`` returns one value per field of ``schema``. The result is marked as not
     deterministic so that the optimizer never copies the call into a filter and runs it twice.
     """
-    names = [part.split()[0] for part in schema.split(",")]
+    names = [part.split()[0] for part in re.sub(r"<[^<>]*(<[^<>]*(<[^<>]*>[^<>]*)*>[^<>]*)*>", "", schema).split(",")]
 
     def batches(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for batch in texts:

@@ -11,10 +11,15 @@ from gatecast.llm import quality, sql
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
 from gatecast.llm.mixing import mix
+from gatecast.llm.pii import personal_data
 from gatecast.llm.simhash import simhash_components
 from gatecast.llm.token_files import read_token_files, write_token_files
 
 
+def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    return personal_data(table(spark, folder, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), words=4, max_bits=4)
 
@@ -50,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe_round_trip": op4_bpe_round_trip,
+    "op5_personal_data": op5_personal_data,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
