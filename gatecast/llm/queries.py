@@ -14,6 +14,7 @@ from gatecast.llm.mixing import mix
 from gatecast.llm.pii import personal_data
 from gatecast.llm.simhash import simhash_components
 from gatecast.llm.token_files import read_token_files, write_token_files
+from gatecast.llm.weighted_sampling import fingerprints
 
 
 def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
@@ -51,11 +52,16 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=1))
 
 
+def op7_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
+    return fingerprints(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_personal_data": op5_personal_data,
+    "op7_weighted_sampling": op7_weighted_sampling,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
