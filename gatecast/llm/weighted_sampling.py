@@ -19,7 +19,7 @@ the next is itself. An empty table gives an empty result. Extra columns are not
 from __future__ import annotations
 
 import hashlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +32,7 @@ from gatecast.llm.simhash import STEP, remix
 from gatecast.session import materialize
 
 SAMPLES = 64
-AT_ONCE = 30_000  # distinct (term, weight) pairs whose draws are in memory together, about 30 MB; more documents start a new group
+AT_ONCE = 60_000  # distinct (term, weight) pairs whose draws are in memory together, about 25 MB; more documents start a new group
 EMPTY = "0" * (4 * SAMPLES)
 
 
@@ -40,34 +40,38 @@ def weights(text: str) -> Counter:
     return Counter(text.encode("utf-8", "replace").lower().split())
 
 
-def uniforms(hashes: np.ndarray, stream: int) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent numbers in (0, 1) per hash and draw."""
-    draw = np.arange(stream * SAMPLES + 1, (stream + 1) * SAMPLES + 1, dtype=np.uint64)
-    mixed = remix(hashes[:, None] + STEP * draw[None, :])
-    scale = np.float32(2.0**-24)
-    half = np.float32(0.5)
-    return ((mixed >> np.uint64(40)).astype(np.float32) + half) * scale, ((mixed & np.uint64(0xFFFFFF)).astype(np.float32) + half) * scale
-
-
 def draws(terms: list[bytes], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log a, 16 bits of the draw) for each term with its weight, one column per draw."""
     hashes = np.fromiter((xxhash.xxh64_intdigest(t, 7) for t in terms), np.uint64, len(terms))
-    x, y = uniforms(hashes, 0)
-    r = -np.log(x * y)
-    x, y = uniforms(hashes, 1)
-    c = -np.log(x * y)
-    b, _ = uniforms(hashes, 2)
-    t = np.floor(np.log(counts.astype(np.float32))[:, None] / r + b)
-    log_a = np.log(c) - r * (t - b) - r
-    token = remix(hashes[:, None] ^ (STEP * (t.astype(np.int64).astype(np.uint64) + np.uint64(1))))
-    return log_a, (token >> np.uint64(48)).astype(np.uint16)
+    logs = np.log(counts.astype(np.float32))
+    log_a, token = np.empty((len(terms), SAMPLES), np.float32), np.empty((len(terms), SAMPLES), np.uint16)
+    for at in range(0, len(terms), 512):  # small enough for the processor's cache
+        here = slice(at, at + 512)
+        first = remix(hashes[here, None] + STEP * DRAWS)
+        second = remix(first + STEP)
+        r = -np.log(unit(first, 40) * unit(first, 16))
+        c = unit(second, 40) * unit(second, 16)
+        b = ((first & np.uint64(0xFFFF)).astype(np.float32) + HALF) * np.float32(2.0**-16)
+        t = np.floor(logs[here, None] / r + b)
+        log_a[here] = np.log(-np.log(c)) - r * (t - b + np.float32(1))
+        token[here] = remix(hashes[here, None] ^ (STEP * (t.astype(np.int64).astype(np.uint64) + np.uint64(1)))) >> np.uint64(48)
+    return log_a, token
+
+
+DRAWS = np.arange(1, SAMPLES + 1, dtype=np.uint64)[None, :] * np.uint64(2)
+HALF = np.float32(0.5)
+
+
+def unit(bits: np.ndarray, low: int) -> np.ndarray:
+    """24 bits from bit ``low`` on as a number in (0, 1)."""
+    return (((bits >> np.uint64(low)) & np.uint64(0xFFFFFF)).astype(np.float32) + HALF) * np.float32(2.0**-24)
 
 
 def signatures(bags: list[Counter]) -> list[np.ndarray]:
     """The draws of each bag of terms; an empty bag has none. Terms of several bags are drawn once."""
     out: list[np.ndarray] = []
     group: list[np.ndarray] = []
-    number: dict[tuple[bytes, int], int] = {}
+    number: defaultdict[tuple[bytes, int], int] = defaultdict(lambda: len(number))
 
     def finish() -> None:
         if not number:
@@ -84,7 +88,7 @@ def signatures(bags: list[Counter]) -> list[np.ndarray]:
         number.clear()
 
     for bag in bags:
-        group.append(np.fromiter((number.setdefault(item, len(number)) for item in sorted(bag.items())), np.int64, len(bag)))
+        group.append(np.fromiter(map(number.__getitem__, bag.items()), np.int64, len(bag)))
         if len(number) > AT_ONCE:
             finish()
     finish()
@@ -109,7 +113,7 @@ def edited(text: str, following: str) -> str:
 
 
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-AT_A_TIME = 64  # documents of a batch that are held together with their edited texts
+AT_A_TIME = 256  # documents of a batch that are held together with their edited texts
 
 
 def compared(pairs: list[tuple]) -> pd.DataFrame:
