@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatecast.llm import quality, sql
+from gatecast.llm import quality, sql, url_filter
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
 from gatecast.llm.mixing import mix
@@ -52,6 +52,10 @@ def op10_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return read_token_files(write_token_files(docs, vocabulary("word_bpe_49k.json"), end_id=1))
 
 
+def op6_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return url_filter.judged(table(spark, folder, "pages"), url_filter.labelled_urls(spark))
+
+
 def op7_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(table(spark, folder, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_mix_sources": op2_mix_sources,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_personal_data": op5_personal_data,
+    "op6_url_filter": op6_url_filter,
     "op7_weighted_sampling": op7_weighted_sampling,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
