@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gatecast.llm import quality, sql, url_filter
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
+from gatecast.llm.license_scan import scanned
 from gatecast.llm.mixing import mix
 from gatecast.llm.pii import personal_data
 from gatecast.llm.simhash import simhash_components
@@ -21,6 +22,10 @@ def op5_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     return personal_data(table(spark, folder, "documents"))
 
 
+def op8_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scanned(table(spark, folder, "documents"))
+
+
 def op9_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_components(table(spark, folder, "documents"), words=4, max_bits=4)
 
@@ -67,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_personal_data": op5_personal_data,
     "op6_url_filter": op6_url_filter,
     "op7_weighted_sampling": op7_weighted_sampling,
+    "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
 }
