@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from gatecast.llm import quality, sql, url_filter
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
+from gatecast.llm.html_text import extract
 from gatecast.llm.license_scan import scanned
 from gatecast.llm.mixing import mix
 from gatecast.llm.pii import personal_data
@@ -40,6 +41,10 @@ def op2_mix_sources(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents"))
 
 
+def op3_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return extract(table(spark, folder, "pages"))
+
+
 def vocabulary(name: str) -> str:
     """Where a public tokenizer's file is; the operators take any path."""
     import public_tokenizers
@@ -68,6 +73,7 @@ def op7_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
+    "op3_html_extraction": op3_html_extraction,
     "op4_bpe_round_trip": op4_bpe_round_trip,
     "op5_personal_data": op5_personal_data,
     "op6_url_filter": op6_url_filter,
