@@ -6,8 +6,8 @@ counted wherever their words stand one after the other.
 Index: every licence template is a sequence of words with the key phrases that it must contain. Its
 postings are (word, template, position) for all words but the commonest ones. Document frequencies of
 these words are counted over all documents, so a word's weight is its rarity in this corpus. For each
-file the postings of its ``TOP_WORDS`` rarest licence words are looked up (all words of equal rank, so a tie drops
-none), and every (template, place where the template would start) they agree on is a candidate. A
+file and each template that shares words with it, the postings of the ``TOP_WORDS`` rarest of these are looked up (all
+words of equal rank; a template that stands in a file has all its words there, so none is missed), and every (template, place where the template would start) they agree on is a candidate. A
 candidate is accepted if the template's key phrases stand in the file at the relative positions of
 the template; its score is the share of the template's weight that stands at its place.
 
@@ -58,7 +58,7 @@ TEMPLATES = [
 
 # Words too common in running text to be indexed; they still count inside key phrases.
 COMMON = set("a all and any are available by for fee free in into is made of or person public released software source subject terms the this to under use version with without work 0 1 2 3 4 v".split())
-TOP_WORDS = 8
+TOP_WORDS = 2
 MOST_POSTINGS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -151,10 +151,10 @@ def scanned(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
     frequency = hits.groupBy("word", "row").count().groupBy("word").agg(F.count("*").alias("files"))
     weight = F.log(F.lit(n + 1.0) / (F.col("files") + 1)) + 1
     weights = materialize(frequency.select("word", weight.alias("weight")), "license-weights")
-    # The rarest licence words of each file: distinct words only, so a file's window holds at most the vocabulary.
-    per_file = hits.select("row", "word").distinct().join(F.broadcast(weights), "word")
-    rarest = per_file.withColumn("rank", F.rank().over(Window.partitionBy("row").orderBy(F.desc("weight")))).where(F.col("rank") <= TOP_WORDS)
-    looked_up = hits.join(rarest.select("row", "word"), ["row", "word"]).join(index, "word")
+    # The rarest words that a file shares with a template: distinct words only, so a window holds at most the template's.
+    shared = hits.select("row", "word").distinct().join(index.select("word", "template").distinct(), "word").join(F.broadcast(weights), "word")
+    rarest = shared.withColumn("rank", F.rank().over(Window.partitionBy("row", "template").orderBy(F.desc("weight")))).where(F.col("rank") <= TOP_WORDS)
+    looked_up = hits.join(rarest.select("row", "word", "template"), ["row", "word"]).join(index, ["word", "template"])
     starts = looked_up.select("row", "template", (F.col("pos") - F.col("at")).alias("start")).distinct()
     # All indexed words of the template that stand where it says, for the score.
     totals = index.join(F.broadcast(weights), "word").groupBy("template").agg(F.sum("weight").alias("total"))
