@@ -30,24 +30,58 @@ def build_session(app: str = "gatecast", master: str | None = None, **conf: str)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach, as named by ``spark.checkpoint.dir``.
+    """The folder all executors reach: ``gatecast.folder`` if set, else the one named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, one machine) a new temporary
-    folder is made and remembered in the session.
+    On a cluster a path without a scheme means the cluster's default file system; if that is the
+    local one, executors would each write to their own disk, so it is refused. Only where the
+    session names no folder and runs on one machine (tests) a new temporary folder is made and
+    remembered in the session.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("gatecast.folder", None)
+    folder = spark.conf.get("gatecast.folder", None) or spark.conf.get("spark.checkpoint.dir", None)
+    local = spark.sparkContext.master.startswith("local")
     if not folder:
-        if spark.sparkContext.master.startswith("local"):
-            folder = tempfile.mkdtemp(prefix="gatecast-")
-            spark.conf.set("gatecast.folder", folder)
-        else:
+        if not local:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
+        folder = tempfile.mkdtemp(prefix="gatecast-")
+        spark.conf.set("gatecast.folder", folder)
+    elif not local and "://" not in folder and not folder.startswith("file:"):
+        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+        if default.startswith("file:"):
+            raise ValueError(f"{folder} is a local path; name a folder that all executors reach, with its scheme")
     return folder.rstrip("/")
 
 
+# Paths made in the shared folder, by application, in order.
+_made: dict[str, list[str]] = {}
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     """An unused path in the shared folder."""
-    return f"{shared_folder(spark)}/gatecast/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/gatecast/{label}-{uuid.uuid4().hex}"
+    made_paths(spark).append(path)
+    return path
+
+
+def made_paths(spark: SparkSession) -> list[str]:
+    """The paths that ``new_path`` gave out in this application and that have not been removed."""
+    return _made.setdefault(spark.sparkContext.applicationId, [])
+
+
+def remove_paths(spark: SparkSession, paths: list[str]) -> None:
+    """Delete stored stages that nothing reads any more, in whatever file system they are."""
+    made = made_paths(spark)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for path in paths:
+        place = hadoop(path)
+        place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+        if path in made:
+            made.remove(path)
+
+
+def remove_since(spark: SparkSession, mark: int, keep: int = 0) -> None:
+    """Delete the stages made after the first ``mark`` ones, but for the last ``keep``."""
+    made = made_paths(spark)
+    remove_paths(spark, made[mark : len(made) - keep])
 
 
 def materialize(df: DataFrame, label: str = "stage") -> DataFrame:
