@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import json
+import os
 import re
+from array import array
 from functools import lru_cache
 
-import numpy as np
-
-MOST_KNOWN = 500_000  # fragments in memory per worker, some 100 MB; a full table is emptied, which costs time and changes nothing
+MOST_KNOWN = 300_000  # fragments per generation and worker, some 60 MB
 LONGEST_KNOWN = 48  # bytes of a fragment that is worth remembering
 
-# Fragments that are one pre-token and need no normalizing: Latin letters (with the space before them for the byte-level
-# kind, in lower case for the kind with word ends). The model's merges run on these directly.
-SINGLE_BYTE_LEVEL = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
-SINGLE_WORD_ENDS = re.compile("[a-zß-öø-ÿ]+")
+# Fragments of Latin letters, digits and marks that never start a contraction or a special token. They split into pre-tokens by
+# character class alone, so the model's merges can run on the pieces directly; all others go through the whole tokenizer.
+EASY_BYTE_LEVEL = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,./:;=>?@_|-]+")
+PIECES_BYTE_LEVEL = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
+EASY_WORD_ENDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,./:;=>?@_|-]+")
+PIECES_WORD_ENDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
 
 
 @lru_cache(maxsize=1)
@@ -25,45 +27,55 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
 
 
-class FragmentEncoder:
-    """Ids of fragments as little-endian unsigned 32-bit bytes, each distinct short fragment encoded once."""
+class Known(dict):
+    """Ids of fragments as little-endian unsigned 32-bit bytes; a missing fragment is encoded.
+
+    Two generations: a full table becomes the old one, from which fragments that are met again return.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        self.model.no_truncation()
-        self.model.no_padding()
-        self.known: dict[bytes, bytes] = {}
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        super().__init__()
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        self.merge = self.whole.model.tokenize
         with open(path, encoding="utf-8") as file:
-            self.single = SINGLE_WORD_ENDS if json.load(file)["model"]["end_of_word_suffix"] else SINGLE_BYTE_LEVEL
-        self.alphabet = {b: c for b, c in enumerate(byte_characters())}
+            self.lower = bool(json.load(file)["model"]["end_of_word_suffix"])  # this kind also lower-cases
+        self.easy = (EASY_WORD_ENDS if self.lower else EASY_BYTE_LEVEL).fullmatch
+        self.pieces = (PIECES_WORD_ENDS if self.lower else PIECES_BYTE_LEVEL).findall
+        self.alphabet = dict(enumerate(byte_characters()))
+        self.old: dict[bytes, bytes] = {}
+
+    def __missing__(self, part: bytes) -> bytes:
+        found = self.old.get(part)
+        if found is None:
+            found = self.fresh(part)
+        if len(part) <= LONGEST_KNOWN:
+            self[part] = found
+        return found
+
+    def fresh(self, part: bytes) -> bytes:
+        text = part.decode("utf-8", "replace")
+        if self.easy(text):
+            ids = array("I")
+            for piece in self.pieces(text.lower() if self.lower else text):
+                ids.extend([t.id for t in self.merge(piece.encode().decode("latin-1").translate(self.alphabet))])
+        else:
+            ids = array("I", self.whole.encode(text, add_special_tokens=False).ids)
+        return ids.tobytes()
 
     def encode(self, parts: list[bytes]) -> bytes:
         """The ids of all fragments, one after the other."""
-        known = self.known
-        if len(known) > MOST_KNOWN:
-            known.clear()
-        fresh = [p for p in set(parts) if p not in known]
-        if not fresh:
-            return b"".join(map(known.__getitem__, parts))
-        passing: dict[bytes, bytes] = {}
-        rest = []
-        single, merge = self.single.fullmatch, self.model.model.tokenize
-        for part in fresh:
-            if len(part) <= LONGEST_KNOWN and single(part.decode("utf-8", "replace")):
-                known[part] = np.array([t.id for t in merge(part.decode("latin-1").translate(self.alphabet))], "<u4").tobytes()
-            else:
-                rest.append(part)
-        coded = self.model.encode_batch([p.decode("utf-8", "replace") for p in rest], add_special_tokens=False)
-        for part, code in zip(rest, coded):
-            (known if len(part) <= LONGEST_KNOWN else passing)[part] = np.array(code.ids, "<u4").tobytes()
-        if passing:
-            return b"".join([passing[p] if p in passing else known[p] for p in parts])
-        return b"".join(map(known.__getitem__, parts))
+        if len(self) > MOST_KNOWN:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> FragmentEncoder:
-    """One encoder per worker process and vocabulary file; later tasks of the worker find its table filled."""
-    return FragmentEncoder(path)
+def encoder(path: str) -> Known:
+    """One table per worker process and vocabulary file; later tasks of the worker find it filled."""
+    return Known(path)

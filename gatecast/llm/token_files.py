@@ -60,13 +60,17 @@ def pack(ids: np.ndarray) -> np.ndarray:
         return np.empty(0, np.uint64)
     if int(ids.max()) >> 60:
         raise ValueError("an id must be below 2**60")
-    choice = np.full(total, ESCAPE, np.int64)
-    places = np.arange(total)
+    choice = np.full(total, ESCAPE, np.uint8)
+    narrow = np.ones(total + 60, bool)  # what lies beyond the end limits no word
     for selector, count, bits in reversed(SELECTORS):  # the narrowest that fits is written last
-        # First id at or after each place that is too wide; the end of the block does not limit a word.
-        wide = np.where(ids >= np.uint64(1 << bits), places, total + count)
-        ahead = np.minimum.accumulate(wide[::-1])[::-1]
-        choice[ahead - places >= count] = selector
+        np.less(ids, np.uint64(1 << bits), out=narrow[:total])
+        # fits[i]: the ids i..i+width-1 are narrow; widths double until they reach the count.
+        fits, width = narrow, 1
+        while width < count:
+            step = min(width, count - width)
+            fits = fits[:-step] & fits[step:]
+            width += step
+        choice[fits[:total]] = selector
     steps, at, starts = COUNT[choice].tolist(), 0, []
     while at < total:
         starts.append(at)
@@ -172,15 +176,9 @@ def read_shard(path: str) -> Iterator[tuple[int | None, Iterator[np.ndarray], in
             yield None if document["null"] else int(document["doc_id"]), pieces(int(document["tokens"])), int(document["tokens"])
 
 
-# Final dot or comma after a letter: always the border of a pre-token, so the word before it can be shared.
-STOP = re.compile(rb"([a-z])([.,])(?![^\x20\x09-\x0D])")
-
-
 def word_fragments(raw: bytes) -> list[bytes]:
     """Pieces that the word-level tokenizer codes on their own: it drops white space and lower-cases (ASCII is done here, unless a special token may occur)."""
-    if b"<|" not in raw:
-        raw = STOP.sub(rb"\1 \2", raw.lower())
-    return raw.split()
+    return (raw if b"<|" in raw else raw.lower()).split()
 
 
 def token_ids(text: str, path: str, end_id: int) -> np.ndarray:
