@@ -15,7 +15,7 @@ stands in a pattern of confidence ``CONFIDENT`` or more. So a number after "call
 "call" is nearly always a phone number, is found although it has no "+".
 
 Edges are counted per (pattern, instance) with map-side combine before anything else, joins are on
-hashed keys, no pattern's instances are gathered, and rounds are written to the shared folder.
+hashed keys, no pattern's instances are gathered, and the graph is written to the shared folder before the rounds.
 
 Nulls: a null text is empty and has no spans. Ids are carried, not used. Repeated rows each get their
 spans; an instance counts once per pattern, however often it is repeated. Ties cannot matter: a score
@@ -185,21 +185,22 @@ def found(text: Column) -> Column:
 def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(uid, more): spans found by context, from stored rows (uid, marks). Texts without such a span have no row."""
     marks = rows.select("uid", F.explode("marks").alias("m")).select("uid", "m.*")
-    seen = materialize(marks.select("uid", "k", "s", "e", "seed", F.md5("instance").alias("instance"), F.explode("patterns").alias("pattern")), "pii-marks")
-    edges = materialize(seen.groupBy("pattern", "k", "instance").agg(F.max("seed").alias("seed")), "pii-edges")
+    seen = marks.select("uid", "k", "s", "e", "seed", F.md5("instance").alias("instance"), F.explode("patterns").alias("pattern"))
+    edges = seen.groupBy("pattern", "k", "instance").agg(F.max("seed").alias("seed"))
     # Patterns without any candidate discover nothing, those with too few seeds never count; most go here.
     alive = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    alive = alive.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("n") > F.col("seeds")))
-    edges = materialize(edges.join(alive.select("pattern", "n"), "pattern").withColumn("sure", F.col("seed").cast("double")), "pii-graph")
-    strong = None
-    for _ in range(rounds):
-        believed = edges.groupBy("pattern", "k").agg((F.sum("sure") / F.max("n")).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        strong = materialize(believed.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS)), "pii-patterns")
-        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-        instances = edges.where("NOT seed").join(strong, ["pattern", "k"]).groupBy("k", "instance").agg((1 - doubt).alias("found"))
-        scored = edges.join(instances, ["k", "instance"], "left")
-        sure = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0)))
-        edges = materialize(scored.select("pattern", "k", "instance", "seed", "n", sure.alias("sure")), "pii-graph")
+    alive = alive.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("n") > F.col("seeds"))).select("pattern", "n")
+    graph = materialize(edges.join(alive, "pattern"), "pii-graph")
+    # Each round reads the stored graph and the round before once, so all rounds are one plan.
+    strong, sure = None, graph.withColumn("sure", F.col("seed").cast("double"))
+    for last in [k == rounds - 1 for k in range(rounds)]:
+        believed = sure.groupBy("pattern", "k").agg((F.sum("sure") / F.max("n")).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+        strong = believed.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "k", "confidence")
+        if not last:
+            doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
+            found = graph.where("NOT seed").join(strong, ["pattern", "k"]).groupBy("k", "instance").agg((1 - doubt).alias("found"))
+            belief = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0)))
+            sure = graph.join(found, ["k", "instance"], "left").withColumn("sure", belief)
     new = seen.where("NOT seed").join(strong.select("pattern", "k"), ["pattern", "k"]).select("uid", "k", "s", "e").distinct()
     # One row per text with a find; a text's own spans only.
     return new.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "s", "e"))).alias("more"))
@@ -213,7 +214,7 @@ def span_text(spans: Column) -> Column:
 
 def all_spans(rows: DataFrame) -> DataFrame:
     """Stored rows (uid, spans, marks, …) with the spans that contexts added; only texts with candidates are joined."""
-    more = materialize(discovered(rows), "pii-more")
+    more = discovered(rows)
     with_candidates = F.exists("marks", lambda m: ~m["seed"])
     empty = F.array().cast("array<struct<k:int,s:int,e:int>>")
     plain = rows.where(~with_candidates).withColumn("more", empty)
