@@ -22,7 +22,7 @@ def split_lenient(df: DataFrame, column: str, names: Sequence[str], delim: str =
     """
     n = len(names)
     pieces = F.split(F.col(column), re.escape(delim), -1)
-    rest = F.concat_ws(delim, F.slice(pieces, n + 1, 1_000_000))
+    rest = F.concat_ws(delim, F.slice(pieces, F.lit(n + 1), F.greatest(F.size(pieces), F.lit(0))))
     return df.withColumns(
         {
             **{name: F.get(pieces, F.lit(i)) for i, name in enumerate(names)},

@@ -57,10 +57,21 @@ class Design:
 
 
 def complete_rows(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Rows without a null in the columns. Done once, before the split."""
+    """Rows without a null in the columns."""
     return df.dropna(subset=list(columns))
 
 
+def horizon_mask(horizons: dict[str, Sequence[str]]) -> Column:
+    """A whole number per row: bit k is set where all predictors of the k-th horizon are filled."""
+    mask = F.lit(0)
+    for k, predictors in enumerate(horizons.values()):
+        filled = F.lit(True)
+        for c in predictors:
+            filled = filled & F.col(c).isNotNull()
+        mask = mask + F.when(filled, 1 << k).otherwise(0)
+    return mask
+
+
 def completeness(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: how many rows there are, how many are complete, and the nulls per column."""
     filled = F.lit(True)

@@ -39,13 +39,15 @@ def fit_paths(
     horizons: dict[str, Sequence[str]],
     models: Sequence[str] = FAMILIES,
     folds: int = 10,
+    masked: bool = False,
 ) -> DataFrame:
     """All candidate fits: one row per (horizon, model, fold, step).
 
     A step is a subset size or a place on the penalty path; fold 0 is the fit on all
     training rows, scored on the test part. ``betas`` has one number per term of the
     whole design, zero for terms that are not used. One task fits one (horizon,
-    model, fold); its input is the terms squared, whatever the size of the data.
+    model, fold); its input is the terms squared, whatever the size of the data. A horizon
+    adds up the sums whose mask has its bit (``horizon_mask``), or all if there are no masks.
     """
     width = len(design.terms) + 2
     origin = np.array([design.origin[t.column] if t.level is None else 0.0 for t in design.terms])
@@ -81,9 +83,10 @@ def fit_paths(
             )
         return pd.DataFrame(out, columns=[f.split()[0] for f in PATHS.split(", ")])
 
-    combos = [(h, m) for h in horizons for m in models]
-    jobs = F.array(*[F.struct(F.lit(h).alias("horizon"), F.lit(m).alias("model")) for h, m in combos])
-    tasks = fold_grams(grams, folds).withColumn("job", F.explode(jobs)).select("job.*", "fold", "i", "j", "train", "held", "full")
+    bits = [F.struct(F.lit(h).alias("horizon"), F.lit(1 << k if masked else 0).alias("bit")) for k, h in enumerate(horizons)]
+    own = grams.withColumn("h", F.explode(F.array(*bits)))
+    own = own.where(F.col("mask").bitwiseAND(F.col("h.bit")) == F.col("h.bit")).select("h.horizon", "part", "i", "j", "value")
+    tasks = fold_grams(own, folds, ["horizon"]).withColumn("model", F.explode(F.array(*map(F.lit, models))))
     tasks = tasks.where((F.col("model") != FULL) | (F.col("fold") == 0))
     return tasks.groupBy("horizon", "model", "fold").applyInPandas(fit, PATHS)
 
@@ -159,7 +162,8 @@ def fit_models(
     horizons: dict[str, Sequence[str]],
     models: Sequence[str] = FAMILIES,
     folds: int = 10,
+    mask: str | None = None,
 ) -> DataFrame:
     """Sums in one pass over ``df``, then all candidate fits, written once."""
-    sums = materialize(gram(df, design, part), "gram")
-    return materialize(fit_paths(sums, design, horizons, models, folds), "paths")
+    sums = materialize(gram(df, design, part, mask), "gram")
+    return materialize(fit_paths(sums, design, horizons, models, folds, mask is not None), "paths")

@@ -2,12 +2,12 @@
 
 All linear fits, their cross validation and their test errors follow from these
 sums: a training sum is the total minus the held-out part, and the horizons are
-sub-blocks. The data itself is read once.
+sub-blocks over the rows that are complete for them. The data itself is read once.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,52 +19,81 @@ from gatecast.models.design import Design
 TEST = 0
 
 
-def gram(df: DataFrame, design: Design, part: str) -> DataFrame:
-    """Rows (part, i, j, value), i <= j, of the matrix [1, terms, target]' [1, terms, target].
+SALTS = 64  # tasks of the first level of the sum
 
-    Numbers are measured from the design's origin to avoid cancellation. Each task
-    emits one block per part; the blocks are added up by (part, i, j).
+
+def gram(df: DataFrame, design: Design, part: str, mask: str | None = None) -> DataFrame:
+    """Rows (part, mask, i, j, value), i <= j, of the matrix [1, terms, target]' [1, terms, target].
+
+    Numbers are measured from the design's origin to avoid cancellation. ``mask`` names a
+    column of whole numbers that splits the sums once more (for rows that are complete
+    for some horizons only); with it a null counts as the origin, as the caller only reads
+    sub-blocks whose columns are filled. Without it a null is an error.
+
+    Each task packs one block per (part, mask) into one row. The rows are added up in two
+    levels, first by salt, then by part, each task holding one block per (part, mask).
     """
     terms = design.terms
     width = len(terms) + 2
-    sources = [F.col(part).cast("int").alias("part")]
-    plan: list[tuple[int, str, float | int | None]] = []
-    for name, levels in design.levels.items():
-        code = F.array_position(F.array(*[F.lit(v) for v in levels]), F.col(name).cast("string"))
-        sources.append(F.nullif(code, F.lit(0)).cast("double").alias(f"c_{name}"))
+    sources = [F.col(part).cast("int").alias("part"), (F.col(mask) if mask else F.lit(0)).cast("int").alias("mask")]
+    sources += [F.col(name).cast("string").alias(f"c_{name}") for name in design.levels]
     numeric = [t.column for t in terms if t.level is None]
     for name in [*numeric, design.target]:
         sources.append((F.col(name).cast("double") - F.lit(design.origin[name])).alias(f"n_{name}"))
-    for place, t in enumerate(terms, 1):
-        if t.level is None:
-            plan.append((place, f"n_{t.column}", None))
-        else:
-            plan.append((place, f"c_{t.column}", design.levels[t.column].index(t.level) + 1))
+    levels = {f"c_{name}": pd.Index(values) for name, values in design.levels.items()}
+    plan = [(p, f"n_{t.column}", None) if t.level is None else (p, f"c_{t.column}", t.level) for p, t in enumerate(terms, 1)]
     plan.append((width - 1, f"n_{design.target}", None))
+    upper = np.triu_indices(width)
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        sums: dict[int, np.ndarray] = {}
+        sums: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            parts = batch["part"].to_numpy()
+            codes = {c: index.get_indexer(batch[c]) for c, index in levels.items()}
             rows = np.ones((len(batch), width))
-            for place, column, code in plan:
-                values = batch[column].to_numpy(dtype=float)
-                if np.isnan(values).any():
-                    raise ValueError(f"null in {column[2:]}: drop incomplete rows before the split")
-                rows[:, place] = values if code is None else values == code
-            for p in np.unique(parts):
-                own = rows[parts == p]
-                sums[int(p)] = sums.get(int(p), 0.0) + own.T @ own
-        upper = np.triu_indices(width)
-        for p, block in sums.items():
-            yield pd.DataFrame({"part": p, "i": upper[0], "j": upper[1], "value": block[upper]})
+            for place, column, level in plan:
+                if level is not None:
+                    missing = batch[column].isna().to_numpy()
+                    values = (codes[column] == levels[column].get_loc(level)).astype(float)
+                else:
+                    values = batch[column].to_numpy(dtype=float)
+                    missing = np.isnan(values)
+                if missing.any():
+                    if not mask:
+                        raise ValueError(f"null in {column[2:]}: drop incomplete rows before the split")
+                    values = np.where(missing, 0.0, values)
+                rows[:, place] = values
+            kinds = pd.MultiIndex.from_frame(batch[["part", "mask"]])
+            for kind in kinds.unique():
+                own = rows[(batch["part"] == kind[0]) & (batch["mask"] == kind[1])]
+                key = (int(kind[0]), int(kind[1]))
+                sums[key] = sums.get(key, 0.0) + own.T @ own
+        yield from packed({key: block[upper] for key, block in sums.items()})
+
+    def added(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for p, m, values in zip(batch["part"], batch["mask"], batch["values"]):
+                sums[p, m] = sums[p, m] + values if (p, m) in sums else np.array(values)
+        yield from packed(sums)
+
+    def packed(sums: dict[tuple[int, int], np.ndarray]) -> Iterator[pd.DataFrame]:
+        if sums:
+            yield pd.DataFrame({"part": [p for p, _ in sums], "mask": [m for _, m in sums], "values": list(sums.values())})
 
-    partial = df.select(*sources).mapInPandas(blocks, "part int, i int, j int, value double")
-    return partial.groupBy("part", "i", "j").agg(F.sum("value").alias("value"))
+    kind = "part int, mask int, values array<double>"
+    by_task = df.select(*sources).mapInPandas(blocks, kind).withColumn("salt", F.spark_partition_id() % SALTS)
+    by_salt = by_task.repartition("salt").select("part", "mask", "values").mapInPandas(added, kind)
+    whole = by_salt.repartition("part", "mask").mapInPandas(added, kind)
+    place = F.posexplode("values").alias("at", "value")
+    # The packed rows of an upper triangle, counted from the end, are the triangle numbers.
+    back = F.lit(len(upper[0]) - 1) - F.col("at")
+    row = F.floor((F.sqrt(8.0 * back + 1) - 1) / 2)
+    i, j = F.lit(width - 1) - row, F.lit(width - 1) - (back - row * (row + 1) / 2)
+    return whole.select("part", "mask", place).select("part", "mask", i.cast("int").alias("i"), j.cast("int").alias("j"), "value")
 
 
-def fold_grams(grams: DataFrame, folds: int) -> DataFrame:
-    """Rows (fold, i, j, train, held, full).
+def fold_grams(grams: DataFrame, folds: int, by: Sequence[str] = ()) -> DataFrame:
+    """Rows (*by, fold, i, j, train, held, full).
 
     Fold 0 trains on all training rows and holds out the test part; fold f trains
     without part f and holds part f out. ``full`` repeats the sums of fold 0.
@@ -74,7 +103,7 @@ def fold_grams(grams: DataFrame, folds: int) -> DataFrame:
     training = (F.col("part") != TEST) & ~held
     return (
         grams.withColumn("fold", F.explode(every))
-        .groupBy("fold", "i", "j")
+        .groupBy(*by, "fold", "i", "j")
         .agg(
             F.sum(F.when(training, F.col("value")).otherwise(0.0)).alias("train"),
             F.sum(F.when(held, F.col("value")).otherwise(0.0)).alias("held"),

@@ -4,32 +4,25 @@ so that a group of any size never sits in one task."""
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecast.operators.hotgroups import same_keys
 from gatecast.operators.nulls import mean_agg
-from gatecast.session import materialize
 
-SMALL_ROWS = 100_000
 
-
-def attach_summary(
-    df: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left", small_rows: int = SMALL_ROWS
-) -> DataFrame:
+def attach_summary(df: DataFrame, summary: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
     """Join a per-group summary back to the rows, null keys included.
 
-    The summary is written once and counted: up to ``small_rows`` groups it is
-    broadcast and ``df`` is not shuffled; beyond that Spark shuffles and splits
-    skewed partitions.
+    No hint is given: Spark broadcasts the summary if its measured bytes are below the
+    session's threshold, and else shuffles both sides and splits skewed partitions.
     """
-    summary = materialize(summary, "summary")
-    if summary.count() <= small_rows:
-        summary = F.broadcast(summary)
     extra = [c for c in summary.columns if c not in keys]
-    joined = df.join(summary, same_keys(df, summary, keys), how)
-    return joined.select(*[df[c] for c in df.columns], *[summary[c] for c in extra])
+    # New names, as the summary often comes from the same rows.
+    own = summary.select(*[F.col(c).alias(f"_summary_{c}") for c in summary.columns])
+    match = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_summary_{k}")) for k in keys])
+    return df.join(own, match, how).select(*df.columns, *[F.col(f"_summary_{c}").alias(c) for c in extra])
 
 
 def group_mean_broadcast(df: DataFrame, keys: Sequence[str], value: str, name: str, na: str = "propagate") -> DataFrame:
@@ -89,16 +82,10 @@ def cv_summary(df: DataFrame, by: Sequence[str], mse_col: str = "mse", weight: s
     With folds of one size ``cvsd`` is the sample deviation over the root of the fold count.
     """
     w, m = F.col(weight), F.col(mse_col)
-    sums = df.groupBy(*by).agg(
-        F.sum(w).alias("_w"), F.sum(w * m).alias("_wm"), F.count(m).alias("folds"), F.collect_list(F.struct(w, m)).alias("_f")
-    )
-    mean = F.col("_wm") / F.col("_w")
-    spread = F.aggregate(
-        "_f", F.lit(0.0), lambda acc, f: acc + f[weight] * F.pow(f[mse_col] - mean, F.lit(2.0))
-    )
-    return sums.select(
-        *by, mean.alias("cvm"), F.sqrt(spread / F.col("_w") / (F.col("folds") - 1)).alias("cvsd"), "folds"
-    )
+    means = df.groupBy(*by).agg((F.sum(w * m) / F.sum(w)).alias("cvm"))
+    spread = F.sum(w * F.pow(m - F.col("cvm"), F.lit(2.0))) / F.sum(w)
+    sums = df.join(means, list(by)).groupBy(*by).agg(F.max("cvm").alias("cvm"), spread.alias("_s"), F.count(m).alias("folds"))
+    return sums.select(*by, "cvm", F.sqrt(F.col("_s") / (F.col("folds") - 1)).alias("cvsd"), "folds")
 
 
 def one_se(cv: DataFrame, by: Sequence[str], penalty: str = "lambda") -> DataFrame:

@@ -43,6 +43,13 @@ def align_levels(df: DataFrame, levels: dict[str, Sequence[str]]) -> DataFrame:
     )
 
 
+def align_to_levels(df: DataFrame, column: str, levels: DataFrame) -> DataFrame:
+    """Force a column onto the levels of a table (column ``level``), however many; an unknown value becomes null."""
+    known = levels.select(F.col("level").alias(column), F.lit(True).alias("_known")).distinct()
+    marked = attach_summary(df.withColumn(column, F.col(column).cast("string")), known, [column])
+    return marked.withColumn(column, F.when(F.col("_known"), F.col(column))).drop("_known")
+
+
 def feature_sets(shared: Sequence[str], extra: dict[str, Sequence[str]]) -> dict[str, list[str]]:
     """Predictors per horizon: the shared ones plus what is known only by then."""
     return {horizon: [*shared, *more] for horizon, more in extra.items()}

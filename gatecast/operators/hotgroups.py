@@ -20,8 +20,6 @@ from gatecast.session import materialize
 CHUNK = "_chunk"
 REAL = "_real"
 HOT_ROWS = 5_000_000
-MOST_RANGES = 20_000
-SMALL_LIST = 1_000_000
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
@@ -35,7 +33,7 @@ def split_hot_groups(
     """Return (ordinary rows, chunked rows of hot groups or None).
 
     The check is one aggregate on the key columns. At most rows/hot_rows groups
-    can be hot; their list is broadcast when its counted size allows.
+    can be hot; their stored list is broadcast if Spark measures it as small.
     """
     if hot_rows is None:
         return df, None
@@ -44,10 +42,8 @@ def split_hot_groups(
     if not found["groups"]:
         return df, None
     hot = materialize(sizes.select(*keys), "hot-keys")
-    if found["groups"] <= SMALL_LIST:
-        hot = F.broadcast(hot)
     cold = df.join(hot, same_keys(df, hot, keys), "left_anti")
-    ranges = min(-(-found["rows"] // hot_rows) * 2, MOST_RANGES)
+    ranges = -(-found["rows"] // hot_rows) * 2
     chunked = (
         df.join(hot, same_keys(df, hot, keys), "left_semi")
         .repartitionByRange(ranges, *keys, *order)

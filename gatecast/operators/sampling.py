@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 DIGITS = 3
+HASH_DIGITS = 32
 EDGE_ROWS = 20_000
 HASH = "_hash"
 
@@ -28,15 +29,15 @@ def _prefix(length: int) -> Column:
     return F.substring(HASH, 1, length)
 
 
-def _counts(hashed: DataFrame, start: str = "") -> list[tuple[str, int]]:
-    """Row counts of the 16**DIGITS buckets below a hash prefix, in hash order; fetched, as they are few."""
-    if start:
-        hashed = hashed.where(_prefix(len(start)) == start)
-    counts = hashed.groupBy(_prefix(len(start) + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    found = sorted((r["b"], r["n"]) for r in counts.collect())
-    largest, rows = max((n for _, n in found), default=0), sum(n for _, n in found)
-    if largest > 2 * rows / 16**DIGITS + EDGE_ROWS / 2:
-        raise ValueError("the key is not unique: hash buckets are uneven")
+def _counts(hashed: DataFrame, below: Sequence[str] = ("",)) -> dict[str, list[tuple[str, int]]]:
+    """Row counts of the 16**DIGITS buckets below each of some hash prefixes of one length, in hash order, in one pass; fetched, as they are few."""
+    length = len(below[0])
+    if length:
+        hashed = hashed.where(_prefix(length).isin(list(below)))
+    counts = hashed.groupBy(_prefix(length + DIGITS).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    found: dict[str, list[tuple[str, int]]] = {start: [] for start in below}
+    for row in sorted(counts.collect(), key=lambda r: r["b"]):
+        found[row["b"][:length]].append((row["b"], row["n"]))
     return found
 
 
@@ -58,15 +59,25 @@ def hashes_at(
 ) -> list[str]:
     """Hashes at some places (from 1) of the hash order.
 
-    Buckets that hold a place are counted more finely until they have ``edge_rows`` or
-    fewer; only these few are sorted.
+    Buckets that hold a place are counted more finely, all of them in one pass per level,
+    until they have ``edge_rows`` or fewer; only these few are sorted.
     """
-    spots = []
-    for place in places:
-        bucket, inside, n = _locate(counts, place)
-        while n > edge_rows:
-            bucket, inside, n = _locate(_counts(hashed, bucket), inside)
-        spots.append((bucket, inside))
+    open_ = [_locate(counts, place) for place in places]
+    order = list(range(len(places)))
+    settled: dict[int, tuple[str, int]] = {}
+    while open_:
+        wide = []
+        for k, (bucket, inside, n) in zip(order, open_):
+            if n <= edge_rows:
+                settled[k] = (bucket, inside)
+            elif len(bucket) >= HASH_DIGITS:
+                raise ValueError("the key is not unique")
+            else:
+                wide.append((k, bucket, inside))
+        finer = _counts(hashed, sorted({bucket for _, bucket, _ in wide})) if wide else {}
+        order = [k for k, _, _ in wide]
+        open_ = [_locate(finer[bucket], inside) for _, bucket, inside in wide]
+    spots = [settled[k] for k in range(len(places))]
     by_length: dict[int, list[str]] = {}
     for bucket in sorted({b for b, _ in spots}):
         by_length.setdefault(len(bucket), []).append(bucket)
@@ -89,7 +100,7 @@ def split_exact(
 ) -> DataFrame:
     """Mark exactly the whole part of ``fraction * rows`` as training rows."""
     hashed = with_hash(df, keys, seed)
-    counts = _counts(hashed)
+    counts = _counts(hashed)[""]
     take = math.floor(fraction * sum(n for _, n in counts))
     if take == 0:
         return df.withColumn(name, F.lit(False))
@@ -99,7 +110,7 @@ def split_exact(
 
 def fold_number(hashed: DataFrame, folds: int = 10, edge_rows: int = EDGE_ROWS) -> Column:
     """Fold 1..k of the rows of ``hashed`` by their hash; sizes differ by at most one, larger ones first."""
-    counts = _counts(hashed)
+    counts = _counts(hashed)[""]
     size, more = divmod(sum(n for _, n in counts), folds)
     ends = [i * size + min(i, more) for i in range(1, folds)]
     borders = hashes_at(hashed, ends, counts, edge_rows) if size or more else []

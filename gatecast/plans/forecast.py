@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from gatecast.models import scoring
-from gatecast.models.design import Design, complete_rows, fit_design
+from gatecast.models.design import MAX_TERMS, Design, complete_rows, fit_design, horizon_mask
 from gatecast.models.fits import FAMILIES, coefficients, final_fits, fit_models, penalties
 from gatecast.models.gram import TEST
 from gatecast.operators.filters import any_pair
@@ -76,15 +76,20 @@ def forecast(
     fraction: float = 0.7,
     folds: int = 10,
     seed: int = 2,
+    max_terms: int = MAX_TERMS,
 ) -> Forecast:
     """Split, fit all families for all horizons, and keep every candidate.
 
-    Incomplete rows are left out once, levels and means are taken from the whole frame,
-    and the frame is written once; the sums behind all fits take one pass over it.
+    Every row with a target takes part in the one split and serves the horizons whose own
+    predictors it has; a null in one horizon's predictor keeps it in the others. Levels and
+    means are taken from the whole frame, and the frame is written once; the sums behind all
+    fits take one pass over it. More than ``max_terms`` levels are refused: the sums hold
+    terms squared numbers.
     """
     predictors = list(dict.fromkeys(c for p in horizons.values() for c in p))
-    whole = materialize(complete_rows(frame.select(*dict.fromkeys([*keys, *predictors, target])), [*predictors, target]), "frame")
-    design = fit_design(whole, target, predictors)
+    rows = complete_rows(frame.select(*dict.fromkeys([*keys, *predictors, target])), [target])
+    whole = materialize(rows.withColumn("_mask", horizon_mask(horizons)), "frame")
+    design = fit_design(whole, target, predictors, max_terms)
     parts = split_and_folds(whole, keys, fraction, folds, seed, "_part")
-    paths = fit_models(parts, design, "_part", horizons, models, folds)
+    paths = fit_models(parts, design, "_part", horizons, models, folds, "_mask")
     return Forecast(design, horizons, folds, parts, paths)

@@ -11,33 +11,35 @@ from gatecast.sources.pages import html_rows
 # The columns of a schedule table, by position.
 COLUMNS = ("ugedag", "dato_tid", "kamp", "resultat", "tilskuere", "dommer", "tv")
 KEYS = ("sæson_år", "runde_nr")
-ORDER = ("sæson_år", "table_no", "row_no")
+ORDER = ("sæson_år", "page", "table_no", "row_no")
 
 
-def matches_from_pages(pages: DataFrame, season: str = "season", within: str = "#content", grouped: bool = False) -> DataFrame:
+def matches_from_pages(
+    pages: DataFrame, season: str = "season", within: str = "#content", grouped: bool = False, page: str | None = None
+) -> DataFrame:
     """One row per match of every schedule table, with season, round and ingest order.
 
-    ``pages`` holds (season, html). The round is the number in a table's first header
-    cell. Attendance is printed in thousands and scaled up; ``grouped`` reads the mark as
-    a thousands mark instead, which keeps numbers printed without one.
+    ``pages`` holds (season, html) and, where a season has several pages, a column ``page``
+    that tells them apart and orders them; without it a digest of the page does (so a page
+    stored twice counts once). The round is the number in a table's first header cell, and
+    only rows of header cells are left out. Attendance is printed in thousands and scaled
+    up; ``grouped`` reads the mark as a thousands mark instead, which keeps numbers printed
+    without one.
     """
-    cells = html_rows(pages, keep=[season], within=within)
-    rows = (
-        cells.groupBy(season, "table_no", "row_no")
-        .agg(*[F.max(F.when(F.col("col_no") == i, F.col("cell"))).alias(c) for i, c in enumerate(COLUMNS, 1)])
+    keyed = pages.select(season, "html", (F.col(page) if page else F.md5("html")).alias("page"))
+    cells = html_rows(keyed, keep=[season, "page"], within=within)
+    rows = cells.groupBy(season, "page", "table_no", "row_no").agg(
+        *[F.max(F.when(F.col("col_no") == i, F.col("cell"))).alias(c) for i, c in enumerate(COLUMNS, 1)],
+        F.max("head").alias("_head"),
+        F.max(F.col("tag") != "th").alias("_body"),
     )
-    # The header is the first row of its table; it is put on the match rows as a column.
-    header = cells.where((F.col("row_no") == 1) & (F.col("col_no") == 1)).select(
-        F.col(season).alias("_s"), F.col("table_no").alias("_t"), parse_number(F.col("cell")).alias("runde_nr")
-    )
-    body = rows.where(F.col("row_no") > 1)
     text: dict[str, Column] = {c: F.nullif(F.col(c), F.lit("")) for c in COLUMNS}
     number = parse_grouped_number(text["tilskuere"]) if grouped else text["tilskuere"].try_cast("double") * 1000
-    joined = body.join(header, (body[season] == header["_s"]) & (body["table_no"] == header["_t"]), "left")
-    return joined.select(
+    return rows.where("_body").select(
         *[(number if c == "tilskuere" else text[c]).alias(c) for c in COLUMNS],
         F.col(season).cast("string").alias("sæson_år"),
-        "runde_nr",
+        parse_number(F.col("_head")).alias("runde_nr"),
+        "page",
         "table_no",
         "row_no",
     )

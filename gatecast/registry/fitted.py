@@ -49,8 +49,7 @@ def k2(spark, sf):
 def k3(spark, sf):
     c = table(spark, sf, "customer")
     known = cat.factor_levels(c.where((F.col("c_nationkey") == 0) & (F.col("c_acctbal") > 9000)), ["c_mktsegment"])
-    levels = [r["level"] for r in known.limit(1000).collect()]
-    return cat.align_levels(c, {"c_mktsegment": levels}).select("c_custkey", "c_mktsegment")
+    return cat.align_to_levels(c, "c_mktsegment", known).select("c_custkey", "c_mktsegment")
 
 
 @query(

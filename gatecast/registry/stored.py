@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from gatecast.functions.dates import iso_key
 from gatecast.operators.joins import left_join
+from gatecast.plans.matches import matches_from_pages
 from gatecast.registry.base import query, r6, table
 from gatecast.session import new_path
 from gatecast.sources import pages as pg
@@ -131,3 +132,33 @@ def s10(spark, sf):
     means = table(spark, sf, "orders").groupBy("o_orderpriority").agg(F.avg("o_totalprice").alias("mean"))
     out = left_join(scenarios, means, {"priority": "o_orderpriority"}, ["mean"])
     return out.select("scenario", "priority", r6(F.col("factor") * F.col("mean"), 4).alias("expected"))
+
+
+PLAN_PAGES_SQL = """WITH o AS (SELECT year(o_orderdate)::INTEGER AS y, month(o_orderdate)::INTEGER AS page, day(o_orderdate)::INTEGER AS d, * FROM orders)
+  SELECT y::VARCHAR AS season, page, dense_rank() OVER (PARTITION BY y, page ORDER BY d)::INTEGER AS table_no,
+    (row_number() OVER (PARTITION BY y, page, d ORDER BY o_orderkey) + 1)::INTEGER AS row_no, d::DOUBLE AS round,
+    'C' || o_custkey || '-K' || o_orderkey AS fixture, o_orderstatus AS result, round(floor(o_totalprice) / 1000 * 1000, 3) AS value FROM o"""
+
+
+@query("plan_matches", PLAN_PAGES_SQL)
+def plan_matches(spark, sf):
+    """Orders written as schedule pages (a page per month, a table per day, twelve pages a season) and read back."""
+    o = table(spark, sf, "orders")
+    day = F.col("o_orderdate")
+    cells = [F.lit("Man"), F.date_format(day, "dd/MM"), F.concat(F.lit("C"), "o_custkey", F.lit("-K"), "o_orderkey"), F.col("o_orderstatus")]
+    cells += [(F.floor("o_totalprice") / 1000).cast("decimal(18,3)").cast("string"), F.lit("A &amp; B"), F.lit("")]
+    line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
+    lines = o.select(F.year(day).alias("season"), F.month(day).alias("p"), F.dayofmonth(day).alias("d"), F.struct("o_orderkey", line.alias("t")).alias("l"))
+
+    def joined(column: str):
+        return F.array_join(F.transform(F.sort_array(F.collect_list(column)), lambda x: x["t"]), "")
+
+    head = F.concat(F.lit("<table><tr><th>Runde "), F.col("d").cast("string"), F.lit("</th><th>Dato</th></tr>"))
+    days = lines.groupBy("season", "p", "d").agg(joined("l").alias("rows"))
+    days = days.select("season", "p", F.struct("d", F.concat(head, "rows", F.lit("</table>")).alias("t")).alias("l"))
+    pages = days.groupBy("season", "p").agg(F.concat(F.lit('<html><div id="content">'), joined("l"), F.lit("</div></html>")).alias("html"))
+    found = matches_from_pages(pages, page="p")
+    return found.select(
+        F.col("sæson_år").alias("season"), "page", "table_no", "row_no", F.col("runde_nr").alias("round"),
+        F.col("kamp").alias("fixture"), F.col("resultat").alias("result"), r6("tilskuere", 3).alias("value"),
+    )

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,7 +25,9 @@ def build_session(app: str = "gatecast", master: str | None = None, **conf: str)
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **conf}.items():
+    # Python workers find this package where the driver does; on a cluster it has to be installed there or shipped.
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    for key, value in {**SETTINGS, "spark.executorEnv.PYTHONPATH": here, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

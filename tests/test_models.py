@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gatecast.models import fits, scoring, solvers
 from gatecast.models.design import complete_rows, completeness, design_matrix, fit_design, prediction
 from gatecast.models.gram import fold_grams, gram, square
+from gatecast.plans.forecast import forecast
 
 CATS = {"g": "string"}
 PRED = ["x1", "x2", "x3", "g", "d"]
@@ -288,3 +289,39 @@ def test_best_rows(spark):
     errors = spark.createDataFrame([("Ridge", "måned1", 4.0), ("Lasso", "dag3", 9.0), ("Lasso", "måned1", 1.0)], "model string, horizon string, mse double")
     got = [tuple(r) for r in scoring.best_rows(errors, [("Ridge", "måned1"), ("Lasso", "dag3")]).collect()]
     assert got == [("Ridge", "1 Måned", 2.0, "2"), ("Lasso", "3 Dage", 3.0, "3")]
+
+
+def test_a_null_keeps_a_row_in_the_other_horizons(spark):
+    """Each horizon is fitted on the rows that have its own predictors, under one split."""
+    rng = np.random.default_rng(12)
+    rows = [(k, float(a), None if k % 3 == 0 else float(b), float(1 + 2 * a - b + rng.normal())) for k, (a, b) in enumerate(rng.normal(size=(300, 2)))]
+    rows += [(1000, None, 1.0, 2.0), (1001, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, y double")
+    done = forecast(df, "y", {"early": ["a"], "late": ["a", "b"]}, ["id"], [fits.FULL], folds=5)
+    parts = {r["id"]: r["_part"] for r in done.parts.collect()}
+    assert len(parts) == 301  # all rows with a target
+    for r in done.fits().collect():
+        use = [c for c in (1, 2) if r["horizon"] == "late" or c == 1]
+        mine = [row for row in rows if row[3] is not None and all(row[c] is not None for c in use)]
+        train, test = [[x for x in mine if (parts[x[0]] > 0) == t] for t in (True, False)]
+        x = np.array([[1.0, *[row[c] for c in use]] for row in train])
+        beta = np.linalg.lstsq(x, np.array([row[3] for row in train]), rcond=None)[0]
+        assert r["n"] == len(test)
+        np.testing.assert_allclose([r["intercept"], *[v for v in r["betas"] if v]], beta, atol=1e-8)
+        errors = [row[3] - beta @ np.array([1.0, *[row[c] for c in use]]) for row in test]
+        np.testing.assert_allclose(r["mse"], np.mean(np.square(errors)), atol=1e-8)
+
+
+def test_backward_sets_equal_a_fresh_inverse_each_step():
+    rng = np.random.default_rng(13)
+    x = rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12))
+    y = x @ rng.normal(size=12) + rng.normal(size=400) * 5
+    s = np.column_stack([np.ones(400), x, y])
+    c = solvers.center(s.T @ s)
+    current, want = list(range(12)), [list(range(12))]
+    while len(current) > 1:
+        inverse = np.linalg.inv(c.xx[np.ix_(current, current)])
+        b = inverse @ c.xy[current]
+        current.pop(int(np.argmin(b**2 / np.diag(inverse))))
+        want.append(list(current))
+    assert solvers.backward_sets(c) == want[::-1]

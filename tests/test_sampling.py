@@ -61,3 +61,14 @@ def test_parts(spark):
     parts = sampling.split_and_folds(spark.range(1000), ["id"], name="_part")
     sizes = {r._part: r["count"] for r in parts.groupBy("_part").count().collect()}
     assert sizes[0] == 300 and sorted(sizes) == list(range(11)) and all(sizes[f] == 70 for f in range(1, 11))
+
+
+def test_all_borders_are_refined_in_one_pass_per_level(spark, monkeypatch):
+    passes = []
+    counts = sampling._counts
+    monkeypatch.setattr(sampling, "_counts", lambda *a: passes.append(a[1:]) or counts(*a))
+    df = spark.range(40_000)
+    got = sampling.balanced_folds(df, ["id"], folds=10, edge_rows=4)
+    assert len(passes) <= 3
+    sizes = {r["fold"]: r["count"] for r in got.groupBy("fold").count().collect()}
+    assert sizes == {f: 4000 for f in range(1, 11)}

@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from gatecast.plans.matches import matches_from_pages
 from gatecast.sources import pages, responses, tables
 from gatecast.session import materialize, new_path, shared_folder
 from tests.conftest import rows
@@ -75,3 +76,34 @@ def test_materialize_goes_to_the_shared_folder(spark):
     df = materialize(spark.range(4).withColumn("å b", F.lit(1)), "t")
     assert df.columns == ["id", "å b"] and all(folder in f for f in df.inputFiles())
     assert new_path(spark, "x") != new_path(spark, "x")
+
+
+def test_spanning_cells_are_repeated_and_nested_tables_kept_apart(spark):
+    page = """<div id="content"><table><tr><th colspan="2">Head</th><th>C</th></tr>
+    <tr><td rowspan="2">a</td><td>b<table><tr><td>inner</td></tr></table></td><td>c</td></tr><tr><td>d</td><td>e</td></tr>
+    <tr><td colspan="x">f</td><td rowspan="9">g</td></tr></table></div>"""
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    got = rows(pages.html_rows(df, keep=["page_id"]).select("table_no", "row_no", "col_no", "cell", "head"), "table_no", "row_no", "col_no")
+    assert [g[:4] for g in got] == [
+        (1, 1, 1, "Head"), (1, 1, 2, "Head"), (1, 1, 3, "C"), (1, 2, 1, "a"), (1, 2, 2, "b"), (1, 2, 3, "c"),
+        (1, 3, 1, "a"), (1, 3, 2, "d"), (1, 3, 3, "e"), (1, 4, 1, "f"), (1, 4, 2, "g"), (2, 1, 1, "inner"),
+    ]
+    assert {g[0]: g[4] for g in got} == {1: "Head", 2: None}
+
+
+def test_cells_leave_in_pieces(spark):
+    page = "<table>" + "<tr><td>x</td><td>y</td></tr>" * 7000 + "</table>"
+    df = spark.createDataFrame([(1, page)], "page_id int, html string")
+    got = pages.html_rows(df, keep=["page_id"], within="").agg(F.count("*").alias("n"), F.max("row_no").alias("r")).first()
+    assert (got.n, got.r) == (14000, 7000)
+
+
+def test_two_pages_of_a_season_stay_apart(spark):
+    def page(number, match):
+        head = f"<tr><th>Runde {number}</th><th></th><th></th></tr>" if number else "<tr><td>Man</td><td>1</td><td>EEE-FFF</td></tr>"
+        return f"<div id='content'><table>{head}<tr><td>Søn</td><td>1</td><td>{match}</td></tr></table></div>"
+
+    df = spark.createDataFrame([(2002, 1, page(1, "AAA-BBB")), (2002, 2, page(9, "CCC-DDD")), (2002, 3, page(0, "GGG-HHH"))], "season int, p int, html string")
+    got = rows(matches_from_pages(df, page="p").select("page", "runde_nr", "kamp", "row_no"), "page", "row_no")
+    assert got == [(1, 1.0, "AAA-BBB", 2), (2, 9.0, "CCC-DDD", 2), (3, None, "EEE-FFF", 1), (3, None, "GGG-HHH", 2)]
+    assert matches_from_pages(df).count() == 4

@@ -20,9 +20,15 @@ def test_group_mean_is_null_with_a_null(spark):
 def test_summary_joins_the_same_with_and_without_broadcast(spark):
     df = spark.range(100).withColumn("k", F.when(F.col("id") > 5, F.col("id") % 7))
     counts = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"))
-    small, large = agg.attach_summary(df, counts, ["k"]), agg.attach_summary(df, counts, ["k"], small_rows=0)
-    assert rows(small, "id") == rows(large, "id")
-    assert "Broadcast" in small._jdf.queryExecution().executedPlan().toString()
+    small = rows(agg.attach_summary(df, counts, ["k"]), "id")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        large = agg.attach_summary(df, counts, ["k"])
+        assert "Broadcast" not in large._jdf.queryExecution().executedPlan().toString()
+        assert rows(large, "id") == small and len(small) == 100
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
 
 
 def test_impute_bands_are_strict(spark):
@@ -161,3 +167,9 @@ def test_pairs_and_complement(spark):
     df = spark.createDataFrame([("Ridge", "a"), ("Ridge", "b"), ("Lasso", "b")], "m string, h string")
     assert rows(df.where(filters.any_pair([("Ridge", "a"), ("Lasso", "b")], F.col("m"), F.col("h"))), "m") == [("Lasso", "b"), ("Ridge", "a")]
     assert rows(filters.complement(df, df.where("h = 'b'"), ["m", "h"]), "m") == [("Ridge", "a")]
+
+
+def test_levels_beyond_a_thousand_are_all_known(spark):
+    df = spark.range(3000).select(F.col("id").cast("string").alias("c"))
+    levels = df.where("cast(c AS int) < 2500").select(F.col("c").alias("level"))
+    assert cat.align_to_levels(df, "c", levels).agg(F.count("c").alias("n")).first().n == 2500
