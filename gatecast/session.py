@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,8 +55,9 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-# Paths made in the shared folder, by application, in order.
-_made: dict[str, list[str]] = {}
+# Paths made in the shared folder, by application, in order. Each thread has its own, so queries that run side by side
+# never remove each other's stages.
+_made = threading.local()
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -66,8 +68,8 @@ def new_path(spark: SparkSession, label: str) -> str:
 
 
 def made_paths(spark: SparkSession) -> list[str]:
-    """The paths that ``new_path`` gave out in this application and that have not been removed."""
-    return _made.setdefault(spark.sparkContext.applicationId, [])
+    """The paths that ``new_path`` gave out to this thread in this application and that have not been removed."""
+    return _made.__dict__.setdefault(spark.sparkContext.applicationId, [])
 
 
 def remove_paths(spark: SparkSession, paths: list[str]) -> None:
