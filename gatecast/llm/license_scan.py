@@ -4,15 +4,16 @@ Words: A-Z in lower case, runs of letters, digits and characters beyond ASCII. B
 counted wherever their words stand one after the other.
 
 Index: every licence template is a sequence of words with the key phrases that it must contain. Its
-postings are (word, template, position) for all words but the commonest ones. Document frequencies of
-these words are counted over all documents, so a word's weight is its rarity in this corpus. For each
+postings are (word, template, position) for all words but the commonest ones. One pass over the texts notes
+which of these words each document has; from that their document frequencies are counted over all documents,
+so a word's weight is its rarity in this corpus. For each
 file and each template that shares words with it, the postings of the ``TOP_WORDS`` rarest of these are looked up (all
 words of equal rank; a template that stands in a file has all its words there, so none is missed), and every (template, place where the template would start) they agree on is a candidate. A
 candidate is accepted if the template's key phrases stand in the file at the relative positions of
 the template; its score is the share of the template's weight that stands at its place.
 
-A document without any indexed word is never exploded; the others become (row, position, word), of
-which only licence words stay. Postings and weights are as large as the list of templates, at most
+Only documents that have all indexed words of some template's key phrases can hold it; their words alone
+are stored and exploded to (row, position, word), of which only licence words stay. Postings and weights are as large as the list of templates, at most
 ``MOST_POSTINGS``, and broadcast. Words are counted per word and document before they move.
 
 Nulls: a null text has no words. A null id is carried. Ties: labels are a sorted set, the score is the
@@ -68,11 +69,6 @@ def normalized(text: Column) -> Column:
     return F.concat(F.lit(" "), F.trim(F.regexp_replace(lower_ascii(F.coalesce(text, F.lit(""))), NOT_WORD, " ")), F.lit(" "))
 
 
-def count_words(line: Column) -> Column:
-    """Number of words of a normalized line."""
-    return F.when(F.length(line) <= 2, 0).otherwise(F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) - 1).cast("long")
-
-
 def stands_at(words: Column, phrase: str) -> Column:
     """Condition on a position: the words of the phrase stand there (array access beyond the end is null)."""
 
@@ -82,24 +78,25 @@ def stands_at(words: Column, phrase: str) -> Column:
     return condition
 
 
-def places(line: Column, phrase: str) -> Column:
-    """Positions of a phrase in a normalized line; only lines that contain it are split into words."""
-    words = F.split(F.trim(line), " ")
+def places(line: Column, words: Column, phrase: str) -> Column:
+    """Positions of a phrase in the words of a normalized line; only lines that contain it are searched word by word."""
     found = F.filter(F.sequence(F.lit(0), F.size(words) - 1), stands_at(words, phrase))
     return F.when(F.contains(line, F.lit(f" {phrase} ")), found).otherwise(F.array().cast("array<int>"))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is computed once per row: the optimizer would copy a plain one into each expression that uses it."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def word_list(templates: list[tuple]) -> list[str]:
     """The indexed words."""
     return sorted({w for _, words, _ in templates for w in words.split()} - COMMON)
 
 
-def any_of(words: list[str]) -> str:
-    """A pattern for one of the words in a normalized line, by first letters, so that a word is left at its first differing letter."""
-    groups: dict[str, list[str]] = {}
-    for word in words:
-        groups.setdefault(word[0], []).append(word[1:])
-    return " (?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in sorted(groups.items())) + ") "
+def key_words(template: tuple) -> list[str]:
+    """The indexed words of a template's key phrases."""
+    return sorted({w for phrase in template[2] for w in phrase.split()} - COMMON)
 
 
 def postings(spark: SparkSession, templates: list[tuple]) -> DataFrame:
@@ -126,29 +123,33 @@ def keys_stand(words: Column, start: Column, template: tuple) -> Column:
 def scanned(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
     """Per document: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score."""
     spark = docs.sparkSession
-    rows = docs.select("doc_id", normalized(F.col("text")).alias("line"))
-    found = {label: places(F.col("line"), phrase) for phrase, label in PHRASES.items()}
-    rows = rows.withColumns({"n_words": count_words(F.col("line")), "hits": F.array(*found.values())})
-    every = F.flatten("hits")
-    labels = F.array(*[F.when(F.size(F.col("hits")[k]) > 0, F.lit(label)) for k, label in enumerate(found)])
+    rows = once(docs.select("doc_id", "text"), "line", normalized(F.col("text"))).select("doc_id", "line")
+    rows = once(rows, "words", F.when(F.length("line") > 2, F.split(F.trim("line"), " ")).otherwise(F.array().cast("array<string>")))
+    vocabulary = word_list(templates)
+    found = [places(F.col("line"), F.col("words"), phrase) for phrase in PHRASES]
+    rows = once(rows, "noted", F.struct(F.array(*found).alias("hits"), F.array_intersect("words", F.array(*map(F.lit, vocabulary))).alias("present")))
+    hits_of = F.col("noted.hits")
+    every = F.flatten(hits_of)
+    labels = F.array(*[F.when(F.size(hits_of[k]) > 0, F.lit(label)) for k, label in enumerate(PHRASES.values())])
+    possible = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.array_contains("noted.present", w) for w in key_words(t)], F.lit(True)) for t in templates])
     rows = rows.select(
         F.monotonically_increasing_id().alias("row"),
         "doc_id",
-        "n_words",
+        F.size("words").cast("long").alias("n_words"),
         F.size(every).cast("long").alias("n_base"),
         F.array_min(every).cast("long").alias("first_word"),
         F.array_max(every).cast("long").alias("last_word"),
         F.array_sort(F.array_compact(labels)).alias("base_list"),
-        # Kept only where an indexed word occurs; all later steps read these few columns.
-        F.when(F.rlike("line", F.lit(any_of(word_list(templates)))), F.col("line")).alias("line"),
+        F.col("noted.present").alias("present"),
+        F.when(possible, F.col("words")).alias("words"),
     )
     stored = materialize(rows, "license-rows")
     index = F.broadcast(postings(spark, templates))
-    vocabulary = F.broadcast(spark.createDataFrame([(w,) for w in word_list(templates)], "word string"))
-    words = stored.where("line IS NOT NULL").select("row", F.posexplode(F.split(F.trim("line"), " ")).alias("pos", "word"))
-    hits = materialize(words.join(vocabulary, "word"), "license-hits")
+    listed = F.broadcast(spark.createDataFrame([(w,) for w in vocabulary], "word string"))
+    words = stored.where("words IS NOT NULL").select("row", F.posexplode("words").alias("pos", "word"))
+    hits = materialize(words.join(listed, "word"), "license-hits")
     n = stored.count()
-    frequency = hits.groupBy("word", "row").count().groupBy("word").agg(F.count("*").alias("files"))
+    frequency = stored.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
     weight = F.log(F.lit(n + 1.0) / (F.col("files") + 1)) + 1
     weights = materialize(frequency.select("word", weight.alias("weight")), "license-weights")
     # The rarest words that a file shares with a template: distinct words only, so a window holds at most the template's.
@@ -161,14 +162,14 @@ def scanned(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
     agreeing = hits.join(index, "word").join(F.broadcast(weights), "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start"))
     agreeing = agreeing.agg(F.sum("weight").alias("standing")).join(F.broadcast(totals), "template")
     candidates = starts.join(agreeing, ["row", "template", "start"]).select("row", "template", "start", (F.col("standing") / F.col("total")).alias("share"))
-    lines = stored.where("line IS NOT NULL").select("row", F.split(F.trim("line"), " ").alias("words"))
+    lines = stored.where("words IS NOT NULL").select("row", "words")
     verdict = F.lit(False)
     label = F.element_at(F.array(*[F.lit(t[0]) for t in templates]), F.col("template") + 1)
     for k, template in enumerate(templates):
         verdict = F.when(F.col("template") == k, keys_stand(F.col("words"), F.col("start"), template)).otherwise(verdict)
     accepted = candidates.join(lines, "row").where(verdict).select("row", label.alias("label"), F.round("share", 6).alias("share"))
     labelled = accepted.groupBy("row").agg(F.collect_set("label").alias("more"), F.max("share").alias("share"))
-    done = stored.drop("line").join(labelled, "row", "left")
+    done = stored.drop("words", "present").join(labelled, "row", "left")
     all_labels = F.array_sort(F.array_union("base_list", F.coalesce("more", F.array().cast("array<string>"))))
     score = F.greatest(F.coalesce("share", F.lit(0.0)), F.when(F.col("n_base") > 0, 1.0).otherwise(0.0))
     return done.select(
