@@ -30,11 +30,6 @@ def to_utc(local: Column, zone: str = ZONE) -> Column:
     return F.to_utc_timestamp(local, zone)
 
 
-def to_local(utc: Column, zone: str = ZONE) -> Column:
-    """UTC to wall-clock time in ``zone``."""
-    return F.from_utc_timestamp(utc, zone)
-
-
 def day_part(ts: Column) -> Column:
     """Part of the day by the hour; null outside all parts."""
     hour = F.hour(ts)

@@ -6,7 +6,7 @@ incomplete window, or one with a missing value, has no sum.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, Window, WindowSpec
+from pyspark.sql import Column, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -29,10 +29,3 @@ def mean_agg(value: Column, na: str = "propagate") -> Column:
     if na != "propagate":
         raise ValueError("na must be 'propagate' or 'skip'")
     return F.when(F.count(value) == F.count(F.lit(1)), F.avg(value))
-
-
-def running(partition: list[str], order: list) -> WindowSpec:
-    """Rows from the start of the partition to the current one."""
-    return (
-        Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    )

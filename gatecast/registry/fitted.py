@@ -172,12 +172,28 @@ def _predicted(spark, sf):
     return scoring.predict_long(test, design, fits.collect(), OLS, ["l_orderkey", "y"])
 
 
-@query("l8_predict_subset", f"WITH {PRED_SQL} SELECT l_orderkey, round(predicted, 6) AS predicted FROM pred WHERE horizon = 'one'")
+CHOSEN_SQL = f"""{PARTS_SQL}, f AS (SELECT range::INTEGER AS fold FROM range(0, 11)),
+  s AS (SELECT fold, avg(y) AS my, avg(x1) AS m1, avg(x2) AS m2, covar_pop(x1, x1) AS s11, covar_pop(x2, x2) AS s22,
+      covar_pop(x1, x2) AS s12, covar_pop(x1, y) AS s1y, covar_pop(x2, y) AS s2y FROM f JOIN parts ON part > 0 AND part <> fold
+    GROUP BY fold),
+  b AS (SELECT *, CASE WHEN s1y * s1y / s11 >= s2y * s2y / s22 THEN s1y / s11 ELSE 0 END AS a1,
+      CASE WHEN s1y * s1y / s11 >= s2y * s2y / s22 THEN 0 ELSE s2y / s22 END AS a2,
+      (s1y * s22 - s2y * s12) / (s11 * s22 - s12 * s12) AS b1, (s2y * s11 - s1y * s12) / (s11 * s22 - s12 * s12) AS b2 FROM s),
+  e AS (SELECT fold, avg(pow(y - my - a1 * (x1 - m1) - a2 * (x2 - m2), 2)) AS e1,
+      avg(pow(y - my - b1 * (x1 - m1) - b2 * (x2 - m2), 2)) AS e2 FROM b JOIN parts ON part = fold WHERE fold > 0 GROUP BY fold),
+  pick AS (SELECT avg(e1) <= avg(e2) AS single FROM e)"""
+
+
+@query(
+    "l8_predict_subset",
+    f"""WITH {CHOSEN_SQL} SELECT l_orderkey, round(CASE WHEN single THEN my + a1 * (x1 - m1) + a2 * (x2 - m2)
+        ELSE my + b1 * (x1 - m1) + b2 * (x2 - m2) END, 6) AS predicted FROM parts, pick, b WHERE part = 0 AND fold = 0""",
+)
 def l8(spark, sf):
-    parts, design, fits = _ols(spark, sf)
-    only = fits.where(F.col("horizon") == "one").collect()
-    out = scoring.predict(parts.where(F.col("_part") == 0), design, only, OLS)
-    return out.select("l_orderkey", r6(F.col(f"one|{FULL}")).alias("predicted"))
+    """Test rows scored by the subset that cross validation picks on the forward path."""
+    parts, design, paths = _paths(spark, sf, {"two": ["x1", "x2"]}, [FORWARD])
+    out = scoring.predict(parts.where(F.col("_part") == 0), design, final_fits(paths).collect(), {"two": ["x1", "x2"]})
+    return out.select("l_orderkey", r6(F.col(f"two|{FORWARD}")).alias("predicted"))
 
 
 @query("l13_predict", f"WITH {PRED_SQL} SELECT l_orderkey, horizon, round(predicted, 6) AS predicted FROM pred")
@@ -374,6 +390,25 @@ def l12(spark, sf):
     return fits.select("model", r6("intercept").alias("intercept"), r6(F.col("betas")[0]).alias("x1"))
 
 
+@query(
+    "forecast_rows_per_horizon",
+    f"""WITH {PARTS_SQL}, late AS (SELECT *, CASE WHEN x3 >= 4 THEN x2 END AS z FROM parts),
+        h AS (SELECT 'early' AS horizon, x1 AS x, y, part FROM late UNION ALL SELECT 'late', z, y, part FROM late WHERE z IS NOT NULL),
+        c AS (SELECT horizon, avg(y) - covar_pop(x, y) / covar_pop(x, x) * avg(x) AS b0, covar_pop(x, y) / covar_pop(x, x) AS b1
+          FROM h WHERE part > 0 GROUP BY horizon)
+        SELECT horizon, count(*)::DOUBLE AS test_rows, round(any_value(b0), 6) AS intercept, round(any_value(b1), 6) AS beta,
+          round(avg(pow(y - b0 - b1 * x, 2)), 4) AS mse FROM h JOIN c USING (horizon) WHERE part = 0 GROUP BY horizon""",
+)
+def rows_per_horizon(spark, sf):
+    """A predictor that many rows lack, used by one horizon only: the other horizon keeps all rows, the split is one."""
+    rows = baskets(spark, sf).withColumn("z", F.when(F.col("x3") >= 4, F.col("x2")))
+    done = forecast(rows, "y", {"early": ["x1"], "late": ["z"]}, ["l_orderkey"], [FULL])
+    beta = F.aggregate("betas", F.lit(0.0), lambda a, b: a + b)
+    return done.fits().select(
+        "horizon", F.col("n").alias("test_rows"), r6("intercept").alias("intercept"), r6(beta).alias("beta"), r6("mse", 4).alias("mse")
+    )
+
+
 SHARED = [
     "o_orderpriority", "c_mktsegment", "last_result", "summer", "c_acctbal", "month", "week", "last_value", "last3",
     "season_so_far", "last_meeting",

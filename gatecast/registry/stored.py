@@ -44,6 +44,19 @@ def s2(spark, sf):
     )
 
 
+@query(
+    "s2_two_sources",
+    """SELECT 'customer' AS source, c_custkey AS key, c_nationkey AS nation, c_acctbal AS balance FROM customer UNION ALL
+       SELECT 'supplier', s_suppkey, s_nationkey, s_acctbal FROM supplier""",
+)
+def s2_two(spark, sf):
+    """Two stored sources in one read, the batch key from the path; columns that a source lacks are null."""
+    paths = [f"{sf}/{name}.parquet" for name in ("customer", "supplier")]
+    both = tb.with_key_from_path(spark.read.option("mergeSchema", "true").parquet(*paths), "source", r"/([a-z]+)\.parquet")
+    either = {"key": ("c_custkey", "s_suppkey"), "nation": ("c_nationkey", "s_nationkey"), "balance": ("c_acctbal", "s_acctbal")}
+    return both.select("source", *[F.coalesce(*pair).alias(name) for name, pair in either.items()])
+
+
 @query(
     "s3_json_flatten",
     """SELECT event_type AS "parameterId", value, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS observed FROM events""",
