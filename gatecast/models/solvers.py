@@ -169,12 +169,22 @@ def _lasso(r: np.ndarray, g: np.ndarray, penalties: np.ndarray, tol: float = 1e-
     return fits
 
 
+def _solve(block: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Solve symmetric equations; those that are singular, or nearly so, by least squares."""
+    try:
+        if np.linalg.cholesky(block).diagonal().min() > 1e-5:
+            return np.linalg.solve(block, right)
+    except np.linalg.LinAlgError:
+        pass
+    return np.linalg.lstsq(block, right, rcond=1e-12)[0]
+
+
 def _settle(r: np.ndarray, g: np.ndarray, b: np.ndarray, active: list[int], p: float):
     """Move to the best values of the active columns, dropping those that reach zero."""
     b = b.copy()
     while active:
         signs = np.sign(b[active])
-        goal = np.linalg.lstsq(r[np.ix_(active, active)], g[active] - p * signs, rcond=1e-12)[0]
+        goal = _solve(r[np.ix_(active, active)], g[active] - p * signs)
         step = goal - b[active]
         crossing = np.sign(goal) * signs < 0
         if not crossing.any():
