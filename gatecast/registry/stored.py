@@ -68,6 +68,22 @@ def s3(spark, sf):
     return rs.weather_long(table(spark, sf, "events").select(body.alias("body")))
 
 
+@query(
+    "s3_json_observations",
+    """SELECT strftime(ts, '%Y-%m-%d') AS created, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS observed, event_type AS "parameterId",
+       user_id::VARCHAR AS "stationId", value FROM events""",
+)
+def s3_all(spark, sf):
+    """Observations wrapped as nested responses, taken out with every property."""
+    events = table(spark, sf, "events")
+    props = F.struct(
+        F.date_format("ts", "yyyy-MM-dd").alias("created"), iso_key(F.col("ts")).alias("observed"), F.col("event_type").alias("parameterId"),
+        F.col("user_id").cast("string").alias("stationId"), "value",
+    )
+    body = F.to_json(F.struct(F.array(F.struct(props.alias("properties"))).alias("features")))
+    return rs.observations(events.select(body.alias("body")))
+
+
 @query("s3_json_props", "SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def s3_props(spark, sf):
     body = F.concat(F.lit('{"rows":['), F.col("props"), F.lit("]}")).alias("body")

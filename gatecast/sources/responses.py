@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WEATHER = "features array<struct<properties: struct<parameterId: string, value: double, observed: string>>>"
+# The properties of an observation in the public weather interface, and the three that the model frame uses.
+OBSERVATION = "created: string, observed: string, parameterId: string, stationId: string, value: double"
+CHOSEN = ("parameterId", "value", "observed")
 HOLIDAYS = "array<struct<date: string, localName: string>>"
 
 
@@ -16,9 +18,15 @@ def json_flatten(df: DataFrame, column: str, schema: str, path: str, inner: str,
     return rows.select(*keep, f"_e.{inner}.*" if inner else "_e.*")
 
 
+def observations(responses: DataFrame, column: str = "body", properties: str = OBSERVATION) -> DataFrame:
+    """Observations with all their properties, for the full stored table."""
+    schema = f"features array<struct<properties: struct<{properties}>>>"
+    return json_flatten(responses, column, schema, "features", "properties")
+
+
 def weather_long(responses: DataFrame, column: str = "body") -> DataFrame:
     """Observations (parameterId, value, observed)."""
-    return json_flatten(responses, column, WEATHER, "features", "properties")
+    return observations(responses, column).select(*CHOSEN)
 
 
 def holidays(responses: DataFrame, column: str = "body") -> DataFrame:
