@@ -13,9 +13,9 @@ of 32 bits, which is the setting for billions of distinct fingerprints.
 
 Similarity (``near_classes``). Shingle sets of Jaccard similarity 0.8 differ in about 15 % of the bits,
 too many for runs of 64. So the fingerprint gets ``64 * LANES`` bits over the set of shingles, and its
-blocks are as many runs of log2(n) bits (n: distinct fingerprints) as make a pair of exactly the wanted
-similarity share one with the probability ``recall``; closer pairs share several. Blocks meet by
-equi-join, a 64-bit sketch and then all bits are compared, and pairs near the border are decided by
+blocks are as many runs of ``bits`` bits as make a pair of exactly the wanted similarity share one with
+the probability ``recall``; closer pairs share several. Blocks meet by
+equi-join, the first lanes and then all bits are compared, and pairs near the border are decided by
 their true Jaccard similarity. Two steps avoid all pairs inside a group of copies: first every row of
 a block only meets the block's smallest row, and what that links becomes one class; then the classes
 of a block meet, one row for each.
@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm.common import free_name, per_text
-from gatecast.session import materialize
+from gatecast.session import made_paths, materialize, remove_since
 
 ROUNDS = 60  # of label spreading; every round at least squares the reach, so no table gets near it
 
@@ -127,6 +127,8 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     are only ever met by aggregates with map-side combine and equi-joins that AQE splits, and
     each round is written to the shared folder, so a lost executor costs one round.
     """
+    spark = edges.sparkSession
+    mark = len(made_paths(spark))
     now = materialize(edges.select("a", "b").where("a != b").distinct(), label)
     before = None
     for _ in range(ROUNDS):
@@ -139,6 +141,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         moved = small.where("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))
         kept = lowest.select(F.col("u").alias("a"), F.col("m").alias("b"))
         now = materialize(moved.unionByName(kept).distinct(), label)
+        remove_since(spark, mark, keep=1)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if state == before:
             break
@@ -163,7 +166,9 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 
 
 LANES = 16
-SKETCH_BITS = 20  # of 64; chance pairs differ in 32 on average (0.2 % pass), pairs of similarity 0.8 in 10 (99.9 % pass)
+BITS = 18  # of a block; a block has about n / 2**BITS chance members, all of which a join compares: 24 and more for 10**8 documents
+FIRST = 10  # blocks of the first step
+SKETCH = 4  # lanes that travel with a block's rows; few chance pairs pass their check, and of pairs below the similarity those near it
 
 
 def wide_fingerprint(text: Column, words: int) -> Column:
@@ -177,15 +182,19 @@ def differing_share(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def block_plan(n: int, similarity: float, recall: float) -> tuple[int, int]:
-    """(bits of a block, number of blocks) for n distinct fingerprints; both only depend on their logarithm."""
-    bits = min(max(math.ceil(math.log2(max(n, 2))), 10), 60)
-    share = (1 - differing_share(similarity)) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - share))
+def most_differing(bits: int, similarity: float, deviations: float) -> float:
+    """Differing bits that a pair of the similarity stays below, but for a normal tail."""
+    share = differing_share(similarity)
+    return bits * share + deviations * math.sqrt(bits * share * (1 - share))
+
+
+def block_count(bits: int, similarity: float, recall: float) -> int:
+    """Blocks of ``bits`` bits of which a pair of the similarity shares at least one with the probability ``recall``."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** bits))
 
 
 def block_keys(lanes: Column, bits: int, blocks: int) -> Column:
-    """Array of (part, key): runs of ``bits`` bits at evenly spread places, around the end where needed."""
+    """Array of longs, one per block: its number above its ``bits`` bits, runs at evenly spread places, around the end where needed."""
 
     def key(part: Column) -> Column:
         first = F.floor(part * F.lit(64 * LANES / blocks)).cast("int")
@@ -194,12 +203,12 @@ def block_keys(lanes: Column, bits: int, blocks: int) -> Column:
         high = F.element_at(lanes, (lane + 1) % LANES + 1)
         # The second lane is shifted in two steps, as a shift by 64 would be none.
         window = F.call_function("shiftrightunsigned", low, shift).bitwiseOR(F.call_function("shiftleft", F.call_function("shiftleft", high, 63 - shift), F.lit(1)))
-        return F.struct(part.alias("part"), window.bitwiseAND(F.lit((1 << bits) - 1)).alias("key"))
+        return F.shiftleft(part.cast("long"), bits).bitwiseOR(window.bitwiseAND(F.lit((1 << bits) - 1)))
 
     return F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), key)
 
 
-def near_classes(docs: DataFrame, row: str, order: list[str], text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.97) -> DataFrame:
+def near_classes(docs: DataFrame, row: str, order: list[str], text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.97, bits: int = BITS) -> DataFrame:
     """(row, kept): of every class of near copies the row that is first by ``order`` is kept.
 
     ``docs`` must be stored and ``row`` a long that no two rows share.
@@ -207,23 +216,30 @@ def near_classes(docs: DataFrame, row: str, order: list[str], text: str = "text"
     prints = docs.select(F.col(row).alias("row"), F.struct(*order).alias("place"), wide_fingerprint(F.col(text), words).alias("lanes"))
     rows = materialize(prints.withColumn("print", F.md5(F.array_join(F.col("lanes").cast("array<string>"), ","))), "near-rows")
     distinct = materialize(rows.groupBy("print").agg(F.min("row").alias("node"), F.first("lanes").alias("lanes")), "near-distinct")
-    bits, blocks = block_plan(distinct.count(), similarity, recall)
-    keys = distinct.select("node", F.element_at("lanes", 1).alias("sketch"), F.inline(block_keys(F.col("lanes"), bits, blocks)))
+    blocks = block_count(bits, similarity, recall)
+    keys = block_keys(F.col("lanes"), bits, blocks)
+    sketch = F.struct(*[F.element_at("lanes", k + 1).alias(f"s{k}") for k in range(SKETCH)]).alias("sketch")
+    limit = int(most_differing(64 * SKETCH, similarity, 2.7))
     sets = docs.select(F.col(row).alias("node"), F.col(text).alias("text"))
 
     def close(pairs: DataFrame) -> DataFrame:
-        return similar_pairs(materialize(pairs.distinct(), "near-met"), distinct.select("node", "lanes"), sets, words, similarity)
+        return similar_pairs(pairs.distinct(), distinct.select("node", "lanes"), sets, words, similarity)
+
+    def alike(a: str, b: str) -> Column:
+        return sum(F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH)) <= limit
 
-    least = keys.groupBy("part", "key").agg(F.min(F.struct("node", "sketch")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    met = keys.join(least, ["part", "key"]).where("node > least.node").where(F.bit_count(F.col("sketch").bitwiseXOR(F.col("least.sketch"))) <= SKETCH_BITS)
+    # Step one, a few blocks: every row of a block meets the block's smallest row. Rows move once: both sides of the join and
+    # the aggregate share the exchange. A document has many blocks, so a group of copies spreads over as many tasks.
+    spread = distinct.select("node", sketch, F.explode(F.slice(keys, 1, FIRST)).alias("block")).repartition("block")
+    least = spread.groupBy("block").agg(F.min(F.struct("node", "sketch")).alias("least"))
+    met = spread.join(least, "block").where("node > least.node").where(alike("sketch", "least.sketch"))
     stars = close(met.select(F.col("least.node").alias("a"), F.col("node").alias("b")))
-    first = components(stars, "near-first")
-    classes = materialize(distinct.join(first, "node", "left").select("node", F.coalesce("root", "node").alias("root")), "near-class")
-    classed = keys.join(classes, "node").groupBy("part", "key", "root").agg(F.min(F.struct("node", "sketch")).alias("one"))
-    shared = classed.select("part", "key", "root", "one.node", "one.sketch")
-    x, y = shared.alias("x"), shared.alias("y")
-    across = x.join(y, ["part", "key"]).where("x.node < y.node").where("x.root != y.root").where(F.bit_count(F.col("x.sketch").bitwiseXOR(F.col("y.sketch"))) <= SKETCH_BITS)
-    more = close(across.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")))
+    classes = distinct.join(components(stars, "near-first"), "node", "left").select("node", sketch, "lanes", F.coalesce("root", "node").alias("root"))
+    # Step two, all blocks: one row for each class of a block, and classes meet each other.
+    spread = classes.select("node", "sketch", "root", F.explode(keys).alias("block")).repartition("block")
+    one = spread.groupBy("block", "root").agg(F.min(F.struct("node", "sketch")).alias("one")).select("block", "root", "one.node", "one.sketch")
+    across = one.alias("x").join(one.alias("y"), "block").where("x.root < y.root").where(alike("x.sketch", "y.sketch"))
+    more = close(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
     joined = components(stars.unionByName(more), "near-classes")
     named = distinct.join(joined, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
     labelled = materialize(rows.select("row", "place", "print").join(named, "print").select("row", "place", "root"), "near-labels")
@@ -233,9 +249,11 @@ def near_classes(docs: DataFrame, row: str, order: list[str], text: str = "text"
 
 def similar_pairs(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have the similarity: by Hamming distance, near the border by the sets themselves."""
+    spark = pairs.sparkSession
+    mark = len(made_paths(spark))
+    pairs = materialize(pairs, "near-met")
     width = 64 * LANES
-    border, spread = differing_share(similarity), math.sqrt(differing_share(similarity) * (1 - differing_share(similarity)) / width)
-    sure, never = width * (border - 3 * spread), width * (border + 4 * spread)
+    sure, never = most_differing(width, similarity, -3), most_differing(width, similarity, 4)
     a = prints.select(F.col("node").alias("a"), F.col("lanes").alias("left"))
     b = prints.select(F.col("node").alias("b"), F.col("lanes").alias("right"))
     bits = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
@@ -249,7 +267,9 @@ def similar_pairs(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words:
     common = F.size(F.array_intersect("left", "right"))
     both = F.size("left") + F.size("right") - common
     exact = unsure.join(left, "a").join(right, "b").where(common >= F.lit(similarity) * both).select("a", "b")
-    return materialize(near.where(F.col("bits") <= sure).select("a", "b").unionByName(exact), "near-links")
+    links = materialize(near.where(F.col("bits") <= sure).select("a", "b").unionByName(exact), "near-links")
+    remove_since(spark, mark, keep=1)
+    return links
 
 
 def without_near_copies(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
