@@ -8,7 +8,7 @@ import re
 from array import array
 from functools import lru_cache
 
-MOST_KNOWN = 300_000  # fragments per generation and worker, some 60 MB
+MOST_KNOWN = 250_000  # fragments per generation and worker, some 50 MB
 LONGEST_KNOWN = 48  # bytes of a fragment that is worth remembering
 
 # Fragments of Latin letters, digits and marks that never start a contraction or a special token. They split into pre-tokens by
@@ -17,6 +17,7 @@ EASY_BYTE_LEVEL = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,./:;=>?@_|-
 PIECES_BYTE_LEVEL = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+| ?[0-9]+| ?[^ A-Za-zÀ-ÖØ-öø-ÿ0-9]+")
 EASY_WORD_ENDS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ0-9!\"#$%&()*+,./:;=>?@_|-]+")
 PIECES_WORD_ENDS = re.compile("[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+STOPS = (b".", b",")
 
 
 @lru_cache(maxsize=1)
@@ -33,11 +34,12 @@ class Known(dict):
     Two generations: a full table becomes the old one, from which fragments that are met again return.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int | None = None):
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         super().__init__()
+        self.most = most or MOST_KNOWN
         self.whole = Tokenizer.from_file(path)
         self.whole.no_truncation()
         self.whole.no_padding()
@@ -58,6 +60,13 @@ class Known(dict):
         return found
 
     def fresh(self, part: bytes) -> bytes:
+        body = part if self.lower or part[:1] != b" " else part[1:]
+        if body.isalpha():  # ASCII letters only, which stand for themselves in the byte alphabet
+            word = body.decode("ascii")
+            word = word.lower() if self.lower else word if body is part else "Ġ" + word
+            return array("I", [t.id for t in self.merge(word)]).tobytes()
+        if self.lower and part[-1:] in STOPS and part[:-1].isalpha():
+            return self[part[:-1]] + self[part[-1:]]
         text = part.decode("utf-8", "replace")
         if self.easy(text):
             ids = array("I")
@@ -69,13 +78,13 @@ class Known(dict):
 
     def encode(self, parts: list[bytes]) -> bytes:
         """The ids of all fragments, one after the other."""
-        if len(self) > MOST_KNOWN:
+        if len(self) > self.most:
             self.old = dict(self)
             self.clear()
         return b"".join(map(self.__getitem__, parts))
 
 
 @lru_cache(maxsize=2)
-def encoder(path: str) -> Known:
+def encoder(path: str, most: int | None = None) -> Known:
     """One table per worker process and vocabulary file; later tasks of the worker find it filled."""
-    return Known(path)
+    return Known(path, most)

@@ -45,6 +45,7 @@ for _selector, _count, _bits in SELECTORS:
     COUNT[_selector] = _count
 COUNT[ESCAPE] = 1
 BLOCK = 65_536
+MOST_KNOWN = 700_000  # words per generation of a worker's table, some 140 MB
 MAGIC = b"S8BTOK01"
 TAIL = struct.Struct("<QQQ8s")
 BLOCKS = np.dtype([("offset", "<u8"), ("words", "<u4"), ("ids", "<u4")])
@@ -70,20 +71,25 @@ def pack(ids: np.ndarray) -> np.ndarray:
             step = min(width, count - width)
             fits = fits[:-step] & fits[step:]
             width += step
-        choice[fits[:total]] = selector
-    steps, at, starts = COUNT[choice].tolist(), 0, []
+        np.putmask(choice, fits[:total], selector)
+    # The words' starts: from each place the next word begins behind the ids that fit.
+    following, at, listed = (np.arange(total) + COUNT[choice]).tolist(), 0, []
+    add = listed.append
     while at < total:
-        starts.append(at)
-        at += steps[at]
-    starts = np.array(starts)
+        add(at)
+        at = following[at]
+    starts = np.array(listed)
     chosen = choice[starts]
     padded = np.append(ids, np.zeros(60, np.uint64))
     words = chosen.astype(np.uint64) << np.uint64(60)
     for selector, count, bits in [*SELECTORS, (ESCAPE, 1, 60)]:
         mine = np.flatnonzero(chosen == selector)
         if len(mine):
-            shifts = np.arange(count, dtype=np.uint64) * np.uint64(bits)
-            words[mine] |= np.bitwise_or.reduce(padded[starts[mine, None] + np.arange(count)] << shifts, axis=1)
+            first = starts[mine]
+            payload = padded[first]
+            for k in range(1, count):
+                payload |= padded[first + k] << np.uint64(k * bits)
+            words[mine] |= payload
     return words
 
 
@@ -183,7 +189,7 @@ def word_fragments(raw: bytes) -> list[bytes]:
 
 def token_ids(text: str, path: str, end_id: int) -> np.ndarray:
     """Ids of a whole text and the end id."""
-    coded = encoder(path).encode(word_fragments(text.encode("utf-8", "replace")))
+    coded = encoder(path, MOST_KNOWN).encode(word_fragments(text.encode("utf-8", "replace")))
     return np.append(np.frombuffer(coded, "<u4"), np.uint32(end_id))
 
 
