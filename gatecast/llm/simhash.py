@@ -16,9 +16,10 @@ too many for runs of 64. So the fingerprint gets ``64 * LANES`` bits over the se
 blocks are as many runs of ``bits`` bits as make a pair of exactly the wanted similarity share one with
 the probability ``recall``; closer pairs share several. Blocks meet by
 equi-join, the first lanes and then all bits are compared, and pairs near the border are decided by
-their true Jaccard similarity. Two steps avoid all pairs inside a group of copies: first every row of
+their true Jaccard similarity. Three steps avoid all pairs inside a group of copies: first every row of
 a block only meets the block's smallest row, and what that links becomes one class; then the classes
-of a block meet, one row for each.
+of a block meet, one row for each, a few times with different rows; at last every row meets all rows of
+its block that are still in other classes, so each pair that shares a block is linked or compared.
 
 Nulls and empty texts have the fingerprint zero and link like any other. Texts with fewer
 words than a shingle have one shingle of all their words. Rows with a null id take part;
@@ -29,6 +30,7 @@ rows and ids are kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -168,6 +170,8 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 LANES = 16
 BITS = 18  # of a block; a block has about n / 2**BITS chance members, all of which a join compares: 24 and more for 10**8 documents
 FIRST = 10  # blocks of the first step
+REPEATS = 4  # of the second step at most; what they leave is met in the third
+CELL = 1000  # rows of a block on each side that one cell of the third step compares
 SKETCH = 4  # lanes that travel with a block's rows; few chance pairs pass their check, and of pairs below the similarity those near it
 
 
@@ -234,19 +238,56 @@ def near_classes(docs: DataFrame, row: str, order: list[str], text: str = "text"
     least = spread.groupBy("block").agg(F.min(F.struct("node", "sketch")).alias("least"))
     met = spread.join(least, "block").where("node > least.node").where(alike("sketch", "least.sketch"))
     stars = close(met.select(F.col("least.node").alias("a"), F.col("node").alias("b")))
-    classes = distinct.join(components(stars, "near-first"), "node", "left").select("node", sketch, "lanes", F.coalesce("root", "node").alias("root"))
-    # Step two, all blocks: one row for each class of a block, and classes meet each other.
-    spread = classes.select("node", "sketch", "root", F.explode(keys).alias("block")).repartition("block")
-    one = spread.groupBy("block", "root").agg(F.min(F.struct("node", "sketch")).alias("one")).select("block", "root", "one.node", "one.sketch")
-    across = one.alias("x").join(one.alias("y"), "block").where("x.root < y.root").where(alike("x.sketch", "y.sketch"))
-    more = close(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-    joined = components(stars.unionByName(more), "near-classes")
+
+    def classed(linked: DataFrame) -> DataFrame:
+        return distinct.join(components(linked, "near-first"), "node", "left").select("node", sketch, "lanes", F.coalesce("root", "node").alias("root"))
+
+    classes = classed(stars)
+    # Step two, all blocks: one row for each class of a block, and classes meet each other. Every repeat sends other rows of
+    # the classes, as the link may be between any two, until a repeat links nothing; it only spares step three work.
+    found = stars
+    for turn in range(REPEATS):
+        spread = classes.select("node", "sketch", "root", F.explode(keys).alias("block")).repartition("block")
+        chosen = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "node", "sketch")
+        one = spread.groupBy("block", "root").agg(F.min(chosen).alias("one")).select("block", "root", "one.node", "one.sketch")
+        across = one.alias("x").join(one.alias("y"), "block").where("x.root < y.root").where(alike("x.sketch", "y.sketch"))
+        more = close(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
+        if more.isEmpty():
+            break
+        found = found.unionByName(more)
+        classes = classed(found)
+    # Step three: every row meets all rows of the block's other classes.
+    more = close(unmet_pairs(classes.select("node", "sketch", "root", F.explode(keys).alias("block")), alike))
+    joined = components(found.unionByName(more), "near-classes")
     named = distinct.join(joined, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
     labelled = materialize(rows.select("row", "place", "print").join(named, "print").select("row", "place", "root"), "near-labels")
     winners = labelled.groupBy("root").agg(F.min(F.struct("place", "row")).alias("best")).select("root", F.col("best.row").alias("winner"))
     return labelled.join(winners, "root").select("row", (F.col("row") == F.col("winner")).alias("kept"))
 
 
+def unmet_pairs(spread: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
+    """All pairs (a, b) of ``alike`` nodes of different classes that share a block, from rows (node, sketch, root, block).
+
+    Rows of a block's largest class only meet the rows of its other classes. Blocks of one class drop out, and those with
+    one row for each class, as step two has compared these. Both
+    sides of a block are dealt into cells of about ``CELL`` by ``CELL`` rows, so that no block is held by one task.
+    """
+    sizes = spread.groupBy("block", "root").agg(F.count("*").alias("n"))
+    blocks = sizes.groupBy("block").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n AND most.n > 1")
+    cells = [F.ceil(rows / F.lit(CELL)).cast("int") for rows in (F.col("n"), F.col("n") - F.col("most.n"))]
+    blocks = blocks.select("block", F.col("most.root").alias("main"), cells[0].alias("down"), cells[1].alias("over"))
+    met = materialize(spread.join(blocks, "block"), "near-unmet")
+    at = F.xxhash64("node")
+
+    def copies(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    every = met.select("block", "node", "sketch", "root", "main", F.pmod(at, F.col("down")).cast("int").alias("i"), copies("over").alias("j"))
+    others = met.where("root != main").select("block", "node", "sketch", "root", F.pmod(at, F.col("over")).cast("int").alias("j"), copies("down").alias("i"))
+    pairs = others.alias("x").join(every.alias("y"), ["block", "i", "j"]).where("x.root != y.root").where("y.root = y.main OR x.node < y.node")
+    return pairs.where(alike("x.sketch", "y.sketch")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+
+
 def similar_pairs(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
     """The pairs (a, b) of nodes whose shingle sets have the similarity: by Hamming distance, near the border by the sets themselves."""
     spark = pairs.sparkSession

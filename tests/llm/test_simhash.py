@@ -120,6 +120,33 @@ def test_one_of_each_class_stays(spark):
     assert sorted(r.doc_id for r in got.collect()) == sorted(want)
 
 
+def test_a_large_group_of_edited_copies_is_one_class(spark):
+    random.seed(11)
+    base = [f"g{k}" for k in range(100)]
+    rows = [(0, " ".join(base))]
+    for number in range(1, 401):
+        changed = list(base)
+        for at in random.sample(range(100), random.randint(1, 2)):
+            changed[at] = f"edit{random.randrange(10**6)}"
+        rows.append((number, " ".join(changed)))
+    random.shuffle(rows)  # every copy of one edit is within 0.8 of the base text, most of two edits are
+    kept = S.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sets = {i: set(S.shingle_hashes(t, 5).tolist()) for i, t in rows}
+    root = brute_components(sorted(sets), lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    print("kept", len(kept), "brute force", len(set(root.values())))
+    assert len(kept) == len(set(root.values()))
+
+
+def test_unmet_pairs_are_all_pairs_of_other_classes(spark, monkeypatch):
+    monkeypatch.setattr(S, "CELL", 3)
+    random.seed(12)
+    rows = [(node, random.choice([0, 0, 0, 1, 2, node]), random.randrange(4)) for node in range(60)]
+    spread = spark.createDataFrame(rows, "node long, root long, block long").withColumn("sketch", F.struct(F.lit(0).alias("s0")))
+    got = [tuple(r) for r in S.unmet_pairs(spread, lambda a, b: F.lit(True)).collect()]
+    want = {(a, b) for (a, p, x), (b, q, y) in itertools.combinations(rows, 2) if p != q and x == y}
+    assert len(got) == len(want) and set(got) == want
+
+
 def test_near_classes_with_nulls_and_empty_texts(spark):
     docs = spark.createDataFrame([(2, None), (1, ""), (None, "a b c d e f g"), (None, "a b c d e f g"), (9, "other words stand in this text")], "doc_id long, text string")
     got = sorted((tuple(r) for r in S.without_near_copies(docs).collect()), key=str)
