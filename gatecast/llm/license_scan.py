@@ -7,8 +7,8 @@ Index: every licence template is a sequence of words with the key phrases that i
 postings are (word, template, position) for all words but the commonest ones. One pass over the texts notes
 which of these words each document has; from that their document frequencies are counted over all documents,
 so a word's weight is its rarity in this corpus. For each
-file and each template that shares words with it, the postings of the ``TOP_WORDS`` rarest of these are looked up (all
-words of equal rank; a template that stands in a file has all its words there, so none is missed), and every (template, place where the template would start) they agree on is a candidate. A
+template the rarest indexed word of its key phrases is looked up (all of these words must stand at their place, so
+any one of them alone finds every start), and every (template, place where the template would start) is a candidate. A
 candidate is accepted if the template's key phrases stand in the file at the relative positions of
 the template; its score is the share of the template's weight that stands at its place.
 
@@ -25,7 +25,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatecast.llm.common import lower_ascii
@@ -59,7 +59,6 @@ TEMPLATES = [
 
 # Words too common in running text to be indexed; they still count inside key phrases.
 COMMON = set("a all and any are available by for fee free in into is made of or person public released software source subject terms the this to under use version with without work 0 1 2 3 4 v".split())
-TOP_WORDS = 2
 MOST_POSTINGS = 100_000
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -107,16 +106,24 @@ def postings(spark: SparkSession, templates: list[tuple]) -> DataFrame:
     return spark.createDataFrame(listed, "word string, template int, at int")
 
 
-def keys_stand(words: Column, start: Column, template: tuple) -> Column:
-    """The template's key phrases stand at its places, if it starts at ``start`` (which may lie before the text)."""
-    line = template[1].split()
+def offset(template: tuple, phrase: str) -> int:
+    """The place of a key phrase in its template."""
+    line, part = template[1].split(), phrase.split()
+    return next(k for k in range(len(line)) if line[k : k + len(part)] == part)
 
-    def offset(phrase: str) -> int:
-        part = phrase.split()
-        return next(k for k in range(len(line)) if line[k : k + len(part)] == part)
 
-    checks = [F.coalesce(F.try_element_at(words, start + offset(p) + k + 1) == w, F.lit(False)) for p in template[2] for k, w in enumerate(p.split())]
-    inside = [start + offset(p) >= 0 for p in template[2]]
+def key_postings(spark: SparkSession, templates: list[tuple]) -> DataFrame:
+    """(word, template, at) for the indexed words of the key phrases, at the places where these must stand."""
+    listed = [(w, t, offset(template, p) + k) for t, template in enumerate(templates) for p in template[2] for k, w in enumerate(p.split()) if w not in COMMON]
+    if {t for _, t, _ in listed} != set(range(len(templates))):
+        raise ValueError("every template needs an indexed word in its key phrases; nothing else finds it")
+    return spark.createDataFrame(listed, "word string, template int, at int")
+
+
+def keys_stand(words: Column, start: Column, template: tuple) -> Column:
+    """The template's key phrases stand at its places, if it starts at ``start`` (which may lie before the text)."""
+    checks = [F.coalesce(F.try_element_at(words, start + offset(template, p) + k + 1) == w, F.lit(False)) for p in template[2] for k, w in enumerate(p.split())]
+    inside = [start + offset(template, p) >= 0 for p in template[2]]
     return reduce(lambda a, b: a & b, [*inside, *checks])
 
 
@@ -152,11 +159,10 @@ def scanned(docs: DataFrame, templates: list[tuple] = TEMPLATES) -> DataFrame:
     frequency = stored.select(F.explode("present").alias("word")).groupBy("word").agg(F.count("*").alias("files"))
     weight = F.log(F.lit(n + 1.0) / (F.col("files") + 1)) + 1
     weights = materialize(frequency.select("word", weight.alias("weight")), "license-weights")
-    # The rarest words that a file shares with a template: distinct words only, so a window holds at most the template's.
-    shared = hits.select("row", "word").distinct().join(index.select("word", "template").distinct(), "word").join(F.broadcast(weights), "word")
-    rarest = shared.withColumn("rank", F.rank().over(Window.partitionBy("row", "template").orderBy(F.desc("weight")))).where(F.col("rank") <= TOP_WORDS)
-    looked_up = hits.join(rarest.select("row", "word", "template"), ["row", "word"]).join(index, ["word", "template"])
-    starts = looked_up.select("row", "template", (F.col("pos") - F.col("at")).alias("start")).distinct()
+    # A template's key phrases stand at their place only where each of their words does, so their rarest word finds every start.
+    keys = F.broadcast(key_postings(spark, templates))
+    rarest = keys.join(F.broadcast(weights), "word").groupBy("template").agg(F.max(F.struct("weight", "word")).alias("key")).select("template", "key.word")
+    starts = hits.join(F.broadcast(keys.join(rarest, ["template", "word"])), "word").select("row", "template", (F.col("pos") - F.col("at")).alias("start")).distinct()
     # All indexed words of the template that stand where it says, for the score.
     totals = index.join(F.broadcast(weights), "word").groupBy("template").agg(F.sum("weight").alias("total"))
     agreeing = hits.join(index, "word").join(F.broadcast(weights), "word").groupBy("row", "template", (F.col("pos") - F.col("at")).alias("start"))

@@ -238,6 +238,17 @@ def test_scan_equals_brute_force(spark):
     assert L.scanned(docs.where("doc_id < 0")).count() == 0
 
 
+def test_key_phrases_alone_are_found_whatever_words_are_rarest(spark):
+    header = "Unauthorized copying of this file via any medium is strictly prohibited. Proprietary and confidential"
+    rows = [(0, header), (1, "The universal dedication of one public domain. CC0 1.0 holds")]
+    rows += [(k, "proprietary or confidential, cc0 or not") for k in range(2, 30)]
+    got = {r.doc_id: (r.labels, r.score) for r in L.scanned(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("labels", got[0], got[1])
+    assert got[0][0] == "proprietary" and 0 < got[0][1] < 1
+    assert got[1][0] == "cc0-1.0" and 0 < got[1][1] < 1
+    assert not any(got[k][0] for k in range(2, 30))
+
+
 # Weighted sampling
 
 
