@@ -8,11 +8,12 @@ an identifier of some kind (``candidates``), is an instance with up to three lex
 before it, the two words before it, the words on both sides. In rounds Spark scores the bipartite graph
 of patterns and instances:
 - a pattern's confidence for a kind is the sum of the confidences of its instances of that kind over
-  the number of all its distinct instances; it counts from ``LEAST_SEEDS`` distinct instances on;
+  the number of all its distinct instances; it counts from ``LEAST_SEEDS`` distinct instances on that are seeds or as
+  sure as ``CONFIDENT`` by then;
 - an instance is as sure as the chance that not all of its confident patterns err: 1 - prod(1 - c).
-Seeds stay at 1, candidates start at 0. After ``ROUNDS`` rounds a candidate is personal data where it
-stands in a pattern of confidence ``CONFIDENT`` or more. So a number after "call", when what follows
-"call" is nearly always a phone number, is found although it has no "+".
+Seeds stay at 1, wherever they stand, candidates start at 0. After ``ROUNDS`` rounds a candidate that is as sure as
+``CONFIDENT`` is personal data at all its places. So a number after "call", when what follows
+"call" is nearly always a phone number, is found although it has no "+", and so are numbers in contexts that only it made known.
 
 Edges are counted per (pattern, instance) with map-side combine before anything else, joins are on
 hashed keys, no pattern's instances are gathered, and the graph is written to the shared folder before the rounds.
@@ -186,22 +187,27 @@ def discovered(rows: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """(uid, more): spans found by context, from stored rows (uid, marks). Texts without such a span have no row."""
     marks = rows.select("uid", F.explode("marks").alias("m")).select("uid", "m.*")
     seen = marks.select("uid", "k", "s", "e", "seed", F.md5("instance").alias("instance"), F.explode("patterns").alias("pattern"))
+    seeds = seen.where("seed").select("k", "instance").distinct().withColumn("known", F.lit(True))
     edges = seen.groupBy("pattern", "k", "instance").agg(F.max("seed").alias("seed"))
-    # Patterns without any candidate discover nothing, those with too few seeds never count; most go here.
-    alive = edges.groupBy("pattern").agg(F.count("*").alias("n"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-    alive = alive.where((F.col("seeds") >= LEAST_SEEDS) & (F.col("n") > F.col("seeds"))).select("pattern", "n")
-    graph = materialize(edges.join(alive, "pattern"), "pii-graph")
+    edges = edges.join(seeds, ["k", "instance"], "left").withColumn("seed", F.coalesce("known", "seed")).drop("known")
+    # Patterns without any candidate discover nothing; those that fail even if all their instances are sure never count. Most go here.
+    kinds = edges.groupBy("pattern", "k").agg(F.count("*").alias("own"), F.sum(F.col("seed").cast("int")).alias("seeds"))
+    alive = kinds.join(kinds.groupBy("pattern").agg(F.sum("own").alias("n")), "pattern")
+    alive = alive.where((F.col("own") >= LEAST_SEEDS) & (F.col("own") >= CONFIDENT * F.col("n")) & (F.col("own") > F.col("seeds"))).select("pattern", "k", "n")
+    graph = materialize(edges.join(alive, ["pattern", "k"]), "pii-graph")
     # Each round reads the stored graph and the round before once, so all rounds are one plan.
-    strong, sure = None, graph.withColumn("sure", F.col("seed").cast("double"))
-    for last in [k == rounds - 1 for k in range(rounds)]:
-        believed = sure.groupBy("pattern", "k").agg((F.sum("sure") / F.max("n")).alias("confidence"), F.sum(F.col("seed").cast("int")).alias("seeds"))
-        strong = believed.where((F.col("confidence") >= CONFIDENT) & (F.col("seeds") >= LEAST_SEEDS)).select("pattern", "k", "confidence")
-        if not last:
-            doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
-            found = graph.where("NOT seed").join(strong, ["pattern", "k"]).groupBy("k", "instance").agg((1 - doubt).alias("found"))
-            belief = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0)))
-            sure = graph.join(found, ["k", "instance"], "left").withColumn("sure", belief)
-    new = seen.where("NOT seed").join(strong.select("pattern", "k"), ["pattern", "k"]).select("uid", "k", "s", "e").distinct()
+    least = CONFIDENT - 1e-9  # the logarithms below round
+    found, sure = None, graph.withColumn("sure", F.col("seed").cast("double"))
+    for _ in range(rounds):
+        believed = sure.groupBy("pattern", "k").agg((F.sum("sure") / F.max("n")).alias("confidence"), F.sum((F.col("sure") >= least).cast("int")).alias("certain"))
+        strong = believed.where((F.col("confidence") >= CONFIDENT) & (F.col("certain") >= LEAST_SEEDS)).select("pattern", "k", "confidence")
+        doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
+        found = graph.where("NOT seed").join(strong, ["pattern", "k"]).groupBy("k", "instance").agg((1 - doubt).alias("found"))
+        belief = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.coalesce("found", F.lit(0.0)))
+        sure = graph.join(found, ["k", "instance"], "left").withColumn("sure", belief)
+    known = seeds.select("k", "instance").unionByName(found.where(F.col("found") >= least).select("k", "instance"))
+    places = marks.where("NOT seed").select("uid", "k", "s", "e", F.md5("instance").alias("instance"))
+    new = places.join(known, ["k", "instance"], "left_semi").select("uid", "k", "s", "e").distinct()
     # One row per text with a find; a text's own spans only.
     return new.groupBy("uid").agg(F.sort_array(F.collect_list(F.struct("k", "s", "e"))).alias("more"))
 

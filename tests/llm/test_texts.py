@@ -190,6 +190,17 @@ def test_rounds_equal_a_brute_force_graph(spark):
     assert {tuple(x) for r in got for x in r.more} == want
 
 
+def test_found_identifiers_make_patterns_count_and_are_marked_everywhere(spark):
+    rows = [(k, f"w{k} please call +1 ({200 + k}) 555-{1000 + k} now") for k in range(60)]
+    rows += [(100 + k, f"x{k} please call 555-{3000 + k} now") for k in range(8)]
+    rows += [(200 + k, f"y{k} kindly reach me at 555-{3000 + k} tonight") for k in range(8)]
+    rows += [(300, "z kindly reach me at 555-4444 tonight"), (301, "lot 555-3000 here"), (302, "lot 555-9999 here")]
+    got = {r.doc_id: r for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    print("added", sum(r.n_added for r in got.values()))
+    assert all(got[k].n_added == 1 for k in [*range(100, 108), *range(200, 208), 300, 301]) and got[302].n_added == 0
+    assert got[301].spans == "phone:4:12"
+
+
 # Licences
 
 
