@@ -95,6 +95,19 @@ def test_rules_equal_brute_force_and_keep_clean_documents(spark):
             assert r.kept == (r.doc_id % 4 != 0)
 
 
+def test_trusted_counts_use_all_labels_beyond_the_sample(spark, monkeypatch):
+    rows, labels = corpus()
+    rows += [(2, rows[2][1]), (None, rows[3][1])]
+    docs, table = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), spark.createDataFrame(labels + [(6, 0), (None, 1)], "doc_id long, quality int")
+    monkeypatch.setattr(Q, "LABELLED", 10)
+    rules = Q.fit(docs, table)
+    good = {i for i, q in labels if q} - {6}
+    raw, trusted = (sum(np.bincount(Q.slots(t), minlength=Q.SLOTS) for i, t in rows if i in ids) for ids in ({i for i, _ in rows}, good))
+    counted = np.exp(rules.ratio + np.log((raw + 1) / (raw.sum() + Q.SLOTS)))  # (trusted + 1) / (all trusted + SLOTS)
+    print("trusted trigrams", round(1 / counted.min()) - Q.SLOTS, "of", trusted.sum())
+    assert np.allclose(counted, (trusted + 1) / (trusted.sum() + Q.SLOTS))
+
+
 def test_rules_without_labels_or_documents(spark):
     docs = spark.createDataFrame(corpus()[0], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
