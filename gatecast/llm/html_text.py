@@ -1,8 +1,8 @@
 """HTML extraction: flat text blocks, judged by a decision tree on their own and their neighbours' shape.
 
 A page becomes a flat list of text blocks: text between block-level tags, inline tags dropped, character
-references decoded, white space turned into single spaces. Scripts, styles, templates, comments and markup
-give no text. Each block has the features ``FEATURES``: word count and link density of itself, the block
+references decoded, white space turned into single spaces. Scripts, styles, templates, drawings, players, choices,
+comments and markup give no text; the words of math and the fallback of object do. Each block has the features ``FEATURES``: word count and link density of itself, the block
 before and the block after, and where it stands: inside an article or main element, inside boilerplate
 elements (nav, header, footer, aside, form, …, or an element whose class, id or role names a menu, advert,
 notice, comment list and the like), in a heading, in the page's head.
@@ -12,7 +12,8 @@ It is plain data of at most 2 ** (depth + 1) nodes and travels inside the task c
 where they are read, one pass and no shuffle. A page is held alone in memory, however long.
 
 Nulls and empty pages have an empty text. Broken markup never fails: a tag that does not close is text,
-an element that is not closed ends with its parent or the page. Ties in the tree go to "content". Repeated
+an element that is not closed ends with its parent or the page (script, style, textarea and iframe, whose content is not
+markup, with the page). Ties in the tree go to "content". Repeated
 rows are extracted each; empty tables give empty results. Extra columns are not read.
 """
 
@@ -33,8 +34,10 @@ FEATURES = [
     "in_article", "in_boilerplate", "heading", "in_head",
 ]
 
-# Fixed values of the HTML standard: elements without text, without content, and those that do not break a block.
-SILENT = set("script style template noscript svg math iframe object canvas audio video select textarea".split())
+# Fixed values of the HTML standard: elements that are read to their end tag without a look at what is inside, other elements without text, without content, and those that do not break a block.
+RAW = set("script style textarea iframe".split())
+SILENT = set("template noscript svg canvas audio video select".split())
+FOREIGN = {"svg", "math"}  # these may close themselves, and block elements end them
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -81,6 +84,7 @@ class Open:
     heading: bool
     head: bool
     link: bool
+    silent: bool = False
 
 
 @dataclass
@@ -102,6 +106,8 @@ class Parser:
             self.pieces, self.linked = [], []
 
     def say(self, text: str) -> None:
+        if self.stack[-1].silent:
+            return
         self.pieces.append(text)
         if self.stack[-1].link:
             self.linked.append(text)
@@ -110,6 +116,7 @@ class Parser:
         if name not in INLINE:
             self.end_block()
         if name in CLOSES_P:
+            self.close_upto(FOREIGN, stop={"foreignobject", "annotation-xml"})
             self.close_upto({"p"}, stop={"article", "section", "div", "body", "td", "li", "blockquote", "main", "aside", "nav", "header", "footer", "form"})
         if name in SAME_LEVEL:
             self.close_upto(SAME_LEVEL[name], stop={"ul", "ol", "dl", "table", "tbody", "thead", "tfoot", "menu", "select"})
@@ -117,7 +124,7 @@ class Parser:
             self.close_upto({"head"}, stop=set())
         if name == "br":
             self.pieces.append(" ")
-        if name in VOID:
+        if name in VOID or (name in FOREIGN and attributes.endswith("/")):
             return
         above = self.stack[-1]
         marked = name in BOILERPLATE
@@ -139,6 +146,7 @@ class Parser:
                 name in ("h1", "h2", "h3", "h4", "h5", "h6") or (above.heading and name in INLINE),
                 above.head or name in ("head", "title"),
                 above.link or name == "a",
+                above.silent or name in SILENT,
             )
         )
 
@@ -160,7 +168,7 @@ class Parser:
             if self.stack[at].name == name:
                 del self.stack[at:]
                 return
-            if name in INLINE and self.stack[at].name not in INLINE:
+            if name in INLINE and self.stack[at].name not in INLINE and not self.stack[at].silent:
                 return
 
 
@@ -181,7 +189,7 @@ def blocks_of(page: str) -> list[Block]:
         name = name.lower()
         if tag[1] or tag[4]:
             parser.end(name)
-        elif name in SILENT:
+        elif name in RAW:
             parser.end_block()
             closing = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = closing.end() if closing else size

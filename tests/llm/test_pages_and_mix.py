@@ -40,6 +40,18 @@ def test_broken_pages_never_fail(page, tree):
     H.main_text(page, tree)
 
 
+@pytest.mark.parametrize("tag", ['<svg class="i"/>', "<svg/>", "<math/>", "<svg><path d=x>", "<noscript>", "<object>", "<audio>", "<canvas>", "<select><option>", "<math>"])
+def test_silent_elements_without_an_end_tag_end_with_their_parent(tag):
+    page = f"<article><p>Before it.</p><p>Beside {tag}</p><p>Text after it.</p></article><p>The end.</p>"
+    texts = [b.text for b in H.blocks_of(page)]
+    assert texts == ["Before it.", "Beside", "Text after it.", "The end."]
+
+
+def test_math_and_fallback_text_stay_and_drawings_give_none():
+    page = "<p>Let</p><math><mi>x</mi></math><object data=a>A fallback.</object><svg><text>label</text></svg><select><option>One</select><p>End.</p>"
+    assert "".join(b.text + "|" for b in H.blocks_of(page)).replace("| ", "|") == "Let|x|A fallback.|End.|"
+
+
 def test_pages_table(spark, tree):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>Some text that stands alone here.</p>"), (3, "u", "<article><p>é" + " x" * 40_000 + "</article>"), (3, "u", "<nav>n</nav>")]
     pages = spark.createDataFrame([(i, u, h, "t", 3) for i, u, h in rows], "page_id long, url string, html string, text string, n_chars int")
