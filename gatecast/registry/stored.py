@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gatecast.functions.dates import iso_key
@@ -169,24 +171,31 @@ PLAN_PAGES_SQL = """WITH o AS (SELECT year(o_orderdate)::INTEGER AS y, month(o_o
     'C' || o_custkey || '-K' || o_orderkey AS fixture, o_orderstatus AS result, round(floor(o_totalprice) / 1000 * 1000, 3) AS value FROM o"""
 
 
+PAGE_KEYS = 1 << 14  # order keys of a page; keys do not repeat, so a page has at most as many rows, some 2 MB
+
+
 @query("plan_matches", PLAN_PAGES_SQL)
 def plan_matches(spark, sf):
-    """Orders written as schedule pages (a page per month, a table per day, twelve pages a season) and read back."""
-    o = table(spark, sf, "orders")
-    day = F.col("o_orderdate")
+    """Orders written as schedule pages (a table per day, on pages of at most ``PAGE_KEYS`` order keys) and read back as a page a month."""
+    day, key = F.col("o_orderdate"), ["season", "p", "d", "part"]
+    o = table(spark, sf, "orders").withColumns({"season": F.year(day), "p": F.month(day), "d": F.dayofmonth(day), "part": F.floor(F.col("o_orderkey") / PAGE_KEYS)})
     cells = [F.lit("Man"), F.date_format(day, "dd/MM"), F.concat(F.lit("C"), "o_custkey", F.lit("-K"), "o_orderkey"), F.col("o_orderstatus")]
     cells += [(F.floor("o_totalprice") / 1000).cast("decimal(18,3)").cast("string"), F.lit("A &amp; B"), F.lit("")]
     line = F.concat(F.lit("<tr>"), *[F.concat(F.lit("<td>"), c, F.lit("</td>")) for c in cells], F.lit("</tr>"))
-    lines = o.select(F.year(day).alias("season"), F.month(day).alias("p"), F.dayofmonth(day).alias("d"), F.struct("o_orderkey", line.alias("t")).alias("l"))
-
-    def joined(column: str):
-        return F.array_join(F.transform(F.sort_array(F.collect_list(column)), lambda x: x["t"]), "")
-
-    head = F.concat(F.lit("<table><tr><th>Runde "), F.col("d").cast("string"), F.lit("</th><th>Dato</th></tr>"))
-    days = lines.groupBy("season", "p", "d").agg(joined("l").alias("rows"))
-    days = days.select("season", "p", F.struct("d", F.concat(head, "rows", F.lit("</table>")).alias("t")).alias("l"))
-    pages = days.groupBy("season", "p").agg(F.concat(F.lit('<html><div id="content">'), joined("l"), F.lit("</div></html>")).alias("html"))
-    found = matches_from_pages(pages, page="p")
+    lines = o.select(*key, F.struct("o_orderkey", line.alias("t")).alias("l"))
+    head = F.concat(F.lit('<html><div id="content"><table><tr><th>Runde '), F.col("d").cast("string"), F.lit("</th><th>Dato</th></tr>"))
+    body = F.array_join(F.transform(F.sort_array(F.collect_list("l")), lambda x: x["t"]), "")
+    pages = lines.groupBy(*key).agg(F.concat(head, body, F.lit("</table></div></html>")).alias("html"))
+    name = F.concat_ws("-", *key)
+    found = matches_from_pages(pages.select("season", name.alias("name"), "html"), page="name").withColumnRenamed("page", "name")
+    # Where a page's rows stand in the month: the tables of earlier days, and the day's rows on earlier pages.
+    sizes = o.groupBy(*key).agg(F.count("*").alias("n"))
+    days = sizes.select("season", "p", "d").distinct().withColumn("table_no", F.dense_rank().over(Window.partitionBy("season", "p").orderBy("d")))
+    earlier = Window.partitionBy("season", "p", "d").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(earlier), F.lit(0))).withColumn("name", name)
+    same = reduce(lambda x, y: x & y, [sizes[c].eqNullSafe(days[c]) for c in ("season", "p", "d")])
+    places = sizes.join(days, same).select("name", sizes["p"].alias("page"), days["table_no"], "before")
+    found = found.drop("table_no").join(places, "name").withColumn("row_no", (F.col("before") + F.col("row_no")).cast("int"))
     return found.select(
         F.col("sæson_år").alias("season"), "page", "table_no", "row_no", F.col("runde_nr").alias("round"),
         F.col("kamp").alias("fixture"), F.col("resultat").alias("result"), r6("tilskuere", 3).alias("value"),

@@ -191,3 +191,25 @@ def test_forecast_to_scenarios(spark, frame):
     assert {r.model for r in done.penalties().collect()} == {"Ridge", "Lasso"}
     assert all(r.lambda_1se >= r.lambda_min for r in done.penalties().collect())
     assert done.coefficients().where("term = '(Intercept)'").count() == 20
+
+
+def test_schedule_pages_stay_small_however_many_orders_a_month_has(spark, tmp_path, monkeypatch):
+    import datetime
+
+    from gatecast.registry import stored
+
+    rows = [(k, k % 7, datetime.date(1995, 3, 1 + k % 3), "O", 1000.0 + k) for k in range(90)]
+    spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_orderdate date, o_orderstatus string, o_totalprice double").write.parquet(f"{tmp_path}/orders.parquet")
+    sizes = []
+    read = stored.matches_from_pages
+
+    def seen(pages, **more):
+        sizes.extend(r.html.count("<td>Man") for r in pages.collect())
+        return read(pages, **more)
+
+    monkeypatch.setattr(stored, "matches_from_pages", seen)
+    monkeypatch.setattr(stored, "PAGE_KEYS", 20, raising=False)
+    got = sorted((r.page, r.table_no, r.row_no, r.fixture) for r in stored.plan_matches(spark, str(tmp_path)).collect())
+    print("largest page", max(sizes), "pages", len(sizes))
+    assert got == [(3, 1 + d, 2 + n, f"C{(3 * n + d) % 7}-K{3 * n + d}") for d in range(3) for n in range(30)]
+    assert max(sizes) <= 20 and sum(sizes) == 90
