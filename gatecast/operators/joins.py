@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.functions.dates import floor_hour
+from gatecast.session import materialize
 
 
 def one_per_key(right: DataFrame, keys: Sequence[str], expect: str) -> DataFrame:
@@ -94,3 +95,52 @@ def keyed_lookup(observations: DataFrame, wanted: DataFrame, key: str, wanted_ke
     """
     keys = wanted.select(F.col(wanted_key).alias("_key")).distinct()
     return observations.join(keys, observations[key] == keys["_key"], "left_semi")
+
+
+KEYS_PER_WORD = 4  # of a key filter: 16 bits and four set bits a key, about 2 of 100 other keys pass
+MOST_WORDS = 1 << 20  # of a filter that is broadcast: 16 MB of words, for some four million keys
+
+
+def _word_and_bits(key: Column, words: int) -> tuple[Column, Column]:
+    """The word of a key, and its four bits in that word."""
+    spread = F.xxhash64(key, F.lit(1))
+    bits = [F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(spread, 6 * k).bitwiseAND(F.lit(63)).cast("int")) for k in range(4)]
+    return F.pmod(F.xxhash64(key), F.lit(words)), reduce(lambda a, b: a.bitwiseOR(b), bits)
+
+
+def key_filter(keys: DataFrame, key: Column, count: int, most_words: int = MOST_WORDS) -> DataFrame | None:
+    """A Bloom filter of ``count`` keys as rows (word, mask), or None where it would need more than ``most_words``.
+
+    All bits of a key stand in one 64-bit word, so masks merge by a bitwise or per word, with map-side combine,
+    and a look-up reads one row. The number of words grows with the keys.
+    """
+    words = 1 << max(0, (count - 1) // KEYS_PER_WORD).bit_length()
+    if words > most_words:
+        return None
+    word, bits = _word_and_bits(key, words)
+    return keys.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("mask"))
+
+
+def may_match(rows: DataFrame, filtered: DataFrame | None, key: Column, count: int) -> DataFrame:
+    """The rows whose key may be one of the ``count`` keys of ``key_filter``: all that are, and few others. Nothing is exchanged."""
+    if filtered is None:
+        return rows
+    word, bits = _word_and_bits(key, 1 << max(0, (count - 1) // KEYS_PER_WORD).bit_length())
+    small = F.broadcast(filtered)
+    return rows.join(small, (word == small["word"]) & (small["mask"].bitwiseAND(bits) == bits), "left_semi")
+
+
+def keyed_lookup_large(observations: DataFrame, wanted: DataFrame, key: str, wanted_key: str, most_words: int = MOST_WORDS) -> DataFrame:
+    """``keyed_lookup`` where neither side can be broadcast: the same rows, and only rows that can match are exchanged.
+
+    A Bloom filter of the wanted keys (at most ``most_words`` words of 16 bytes, else there is none) drops observations
+    before the exchange; an exact semi join decides the rest. It hashes the keys, so no observation is sorted, and the
+    strategy is the same at every size. Exchanged: the distinct wanted keys, the observations wanted, and some
+    2 in 100 of the others. AQE splits a key that many observations share. A null key matches nothing.
+    """
+    kind = observations.select(key).union(wanted.select(wanted_key)).schema[0].dataType  # both sides must hash the same type
+    keys = materialize(wanted.select(F.col(wanted_key).cast(kind).alias("_key")).where("_key IS NOT NULL").distinct(), "wanted-keys")
+    count = keys.count()
+    asked = observations[key].cast(kind)
+    near = may_match(observations.where(asked.isNotNull()), key_filter(keys, F.col("_key"), count, most_words), asked, count)
+    return near.join(keys.hint("shuffle_hash"), asked == keys["_key"], "left_semi")

@@ -134,6 +134,17 @@ def j6(spark, sf):
     return joins.keyed_lookup(obs, wanted, "observed", "observed").select("event_id", "event_type", "value")
 
 
+@query(
+    "j6_keyed_lookup_large",
+    """SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem
+       WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_totalprice > 300000)""",
+)
+def j6_large(spark, sf):
+    wanted = table(spark, sf, "orders").where("o_totalprice > 300000")
+    found = joins.keyed_lookup_large(table(spark, sf, "lineitem"), wanted, "l_orderkey", "o_orderkey")
+    return found.select("l_orderkey", "l_linenumber", "l_quantity")
+
+
 @query(
     "u1_union_by_name",
     """SELECT c_custkey AS key, c_name AS name, c_nationkey AS nation, c_mktsegment AS segment FROM customer UNION ALL

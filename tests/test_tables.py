@@ -173,3 +173,25 @@ def test_levels_beyond_a_thousand_are_all_known(spark):
     df = spark.range(3000).select(F.col("id").cast("string").alias("c"))
     levels = df.where("cast(c AS int) < 2500").select(F.col("c").alias("level"))
     assert cat.align_to_levels(df, "c", levels).agg(F.count("c").alias("n")).first().n == 2500
+
+
+def test_keyed_lookup_large_gives_the_rows_of_the_plain_lookup(spark):
+    rows_of = [(k % 700, k) for k in range(3000)] + [(None, 1), (5, 2), (5, 3)]
+    observed = spark.createDataFrame(rows_of, "key int, _word int")
+    wanted = spark.createDataFrame([(3 * k,) for k in range(400)] + [(3,), (None,), (1 << 40,)], "id long")
+    want = sorted((k, v) for k, v in rows_of if k is not None and k % 3 == 0 and k < 1200)
+    for most in (joins.MOST_WORDS, 8):  # with a filter, and without one as it would be too large
+        got = joins.keyed_lookup_large(observed, wanted, "key", "id", most)
+        assert got.columns == observed.columns
+        assert sorted(map(tuple, got.collect())) == want
+    assert joins.keyed_lookup_large(observed, wanted.where("id < 0"), "key", "id").count() == 0
+    assert joins.keyed_lookup_large(observed.where("key < 0"), wanted, "key", "id").count() == 0
+
+
+def test_key_filter_passes_all_keys_and_few_others(spark):
+    keys, others = spark.range(10_000), spark.range(1_000_000, 1_100_000)
+    filtered = joins.key_filter(keys, F.col("id"), 10_000)
+    assert joins.may_match(keys, filtered, F.col("id"), 10_000).count() == 10_000
+    passed = joins.may_match(others, filtered, F.col("id"), 10_000)
+    assert passed.count() < 4_000
+    assert "Exchange hashpartitioning(id" not in passed._jdf.queryExecution().executedPlan().toString()
