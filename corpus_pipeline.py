@@ -7,36 +7,15 @@ names are as the operators define them.
 
 from __future__ import annotations
 
-import threading
-from functools import wraps
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatecast.llm import boundary_bpe, mixing, pii, quality, simhash
 from gatecast.llm.common import free_name, table
 from gatecast.llm.queries import vocabulary
-from gatecast.session import made_paths, materialize, remove_paths
-
-BEFORE = threading.local()  # what the stage before has stored for itself, per thread
-
-
-def stage(function):
-    """A stage that first removes what the stage before stored for itself: by contract that one's result has been written and read again."""
-
-    @wraps(function)
-    def tidy(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        made = made_paths(spark)
-        remove_paths(spark, [path for path in getattr(BEFORE, "paths", []) if path in made])
-        others = set(made)
-        result = function(spark, docs, sf_dir)
-        BEFORE.paths = [path for path in made if path not in others]
-        return result
-
-    return tidy
+from gatecast.session import made_paths, materialize, remove_since
 
 
-@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Only documents that the base rules and the likelihood ratio keep."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
@@ -44,25 +23,21 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.withColumn(name, quality.judged(F.col("text"), rules)).where(F.col(name)["kept"]).drop(name)
 
 
-@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8 or more): the one of smallest id."""
-    return simhash.without_near_copies(docs, words=5, similarity=0.8)
+    """One document of each group of near copies (fingerprints of four-word shingles that link at 4 or fewer bits): the one of smallest id."""
+    return simhash.without_near_copies(docs, words=4, max_bits=4)
 
 
-@stage
 def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with personal data in their text replaced by its kind."""
     return pii.mask(docs)
 
 
-@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix takes it: not at all, once or twice."""
     return mixing.mixed_documents(docs)
 
 
-@stage
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Per document the number of its tokens and the digests of its ids and of their decoded text."""
     coded = docs.select("doc_id", boundary_bpe.round_trip(F.col("text"), vocabulary("byte_bpe_50k.json")).alias("r"))
@@ -82,10 +57,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, read = table(spark, sf_dir, "documents"), []
+    """All stages over ``documents``; what a stage stored for itself, and what it read, goes as soon as its rows are written."""
+    docs, mark = table(spark, sf_dir, "documents"), len(made_paths(spark))
     for name, step in STAGES:
         docs = materialize(step(spark, docs, sf_dir), f"pipeline-{name}")
-        remove_paths(spark, [*read, *BEFORE.paths])
-        read, BEFORE.paths = made_paths(spark)[-1:], []
+        remove_since(spark, mark, keep=1)
     return docs

@@ -28,6 +28,11 @@ def free_name(columns: list[str], wish: str) -> str:
     return name
 
 
+def quoted(name: str) -> Column:
+    """The column of that name, whatever characters it holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z in lower case, all other characters as they are."""
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")

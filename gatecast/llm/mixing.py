@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatecast.llm.common import word_count
+from gatecast.llm.common import free_name, quoted, word_count
 from gatecast.session import materialize
 
 WEIGHTS = (3, 1, 2)
@@ -99,13 +99,11 @@ def mixed_documents(docs: DataFrame, seed: str = "mix") -> DataFrame:
 
     Rows are stored once with a number of their own, so copies find their row whatever the ids are.
     """
-    from gatecast.llm.common import free_name
-
     number = free_name(docs.columns, "row_number")
     stored = materialize(docs.withColumn(number, F.monotonically_increasing_id()), "mix-rows")
     sized = stored.select(F.col(number).alias("mix_row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    taken = copies(materialize(sized, "mix-sizes"), seed).where("copies > 0").select("mix_row", "copies")
-    found = stored.join(taken, stored[number] == taken["mix_row"])
-    again = free_name(docs.columns, "mix_copy")
-    each = found.select(*[stored[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias(again))
-    return each.select(*[each[c] for c in docs.columns])
+    taken = copies(materialize(sized, "mix-sizes"), seed).where("copies > 0").select("mix_row", F.sequence(F.lit(1), F.col("copies").cast("int")).alias("mix_times"))
+    names = [quoted(c) for c in docs.columns]
+    rows = stored.select(F.col(number).alias("mix_number"), F.struct(*names).alias("mix_whole"))  # columns of any name travel in one struct
+    each = rows.join(taken, rows["mix_number"] == taken["mix_row"]).select("mix_whole", F.explode("mix_times"))
+    return each.select(*[F.col("mix_whole")[c].alias(c) for c in docs.columns])

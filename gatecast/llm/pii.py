@@ -33,7 +33,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecast.llm.common import free_name, per_text
+from gatecast.llm.common import free_name, per_text, quoted
 from gatecast.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -251,7 +251,7 @@ def mask(docs: DataFrame) -> DataFrame:
     taken = [free_name(docs.columns, "pii_found"), free_name(docs.columns, "pii_uid")]
     stored = materialize(docs.withColumn(taken[0], found(F.col("text"))).withColumn(taken[1], F.monotonically_increasing_id()), "pii-docs")
     # Columns of any name may be in docs, so they travel in one struct.
-    rows = stored.select(F.col(taken[1]).alias("uid"), F.col(f"{taken[0]}.spans"), F.col(f"{taken[0]}.marks"), F.struct(*docs.columns).alias("row"))
+    rows = stored.select(F.col(taken[1]).alias("uid"), F.col(f"{taken[0]}.spans"), F.col(f"{taken[0]}.marks"), F.struct(*map(quoted, docs.columns)).alias("row"))
     done = all_spans(rows)
 
     def apply(texts: pd.Series, spans: pd.Series, more: pd.Series) -> pd.Series:
@@ -259,4 +259,4 @@ def mask(docs: DataFrame) -> DataFrame:
 
     apply.__annotations__ = {"texts": pd.Series, "spans": pd.Series, "more": pd.Series, "return": pd.Series}
     clean = F.pandas_udf(apply, "string")(F.col("row.text"), F.col("spans"), F.col("more"))
-    return done.select(clean.alias("clean"), "row").select(*[F.col("clean").alias(c) if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    return done.select(clean.alias("clean"), "row").select(*[F.col("clean").alias(c) if c == "text" else F.col("row")[c].alias(c) for c in docs.columns])

@@ -9,17 +9,8 @@ agrees in ``blocks - max_bits`` at least. Every choice of that many runs is a jo
 Rows are distinct fingerprints, not documents, so copies never meet each other, and a pair
 is given out only under the first key it shares. More blocks mean longer keys (fewer chance
 meetings) and more rows per fingerprint: 6 blocks give 15 keys of about 21 bits, 8 give 70
-of 32 bits, which is the setting for billions of distinct fingerprints.
-
-Similarity (``near_classes``). Shingle sets of Jaccard similarity 0.8 differ in about 15 % of the bits,
-too many for runs of 64. So the fingerprint gets ``64 * LANES`` bits over the set of shingles, and its
-blocks are as many runs of ``bits`` bits as make a pair of exactly the wanted similarity share one with
-the probability ``recall``; closer pairs share several. Blocks meet by
-equi-join, the first lanes and then all bits are compared, and pairs near the border are decided by
-their true Jaccard similarity. Three steps avoid all pairs inside a group of copies: first every row of
-a block only meets the block's smallest row, and what that links becomes one class; then the classes
-of a block meet, one row for each, a few times with different rows; at last every row meets all rows of
-its block that are still in other classes, so each pair that shares a block is linked or compared.
+of 32 bits. ``blocks_for`` picks the number with the least expected work from the count of
+distinct fingerprints; the links are the same for all.
 
 Nulls and empty texts have the fingerprint zero and link like any other. Texts with fewer
 words than a shingle have one shingle of all their words. Rows with a null id take part;
@@ -30,7 +21,6 @@ rows and ids are kept. An empty table gives an empty result.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
@@ -39,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatecast.llm.common import free_name, per_text
+from gatecast.llm.common import free_name, per_text, quoted
 from gatecast.session import made_paths, materialize, remove_since
 
 ROUNDS = 60  # of label spreading; every round at least squares the reach, so no table gets near it
@@ -60,34 +50,24 @@ def shingle_hashes(text: str, words: int, seed: int = 42) -> np.ndarray:
     return np.array([digest(joined[a:b], seed) for a, b in zip(starts, stops)], np.uint64)
 
 
-def majority(hashes: np.ndarray, lanes: int = 1) -> np.ndarray:
-    """The 64 * ``lanes`` bits set in over half of the hashes, as unsigned 64-bit lanes; zeros for no hash."""
-    counts = np.zeros(64 * lanes, np.int64)
+def majority(hashes: np.ndarray) -> int:
+    """The 64 bits set in over half of the hashes, as an unsigned number; zero for no hash."""
+    counts = np.zeros(64, np.int64)
     for at in range(0, len(hashes), 255):  # counts of 255 rows fit a byte
         rows = hashes[at : at + 255]
-        if lanes > 1:  # further lanes are rehashes of the first, so one XXH64 per shingle is enough
-            rows = remix(rows[:, None] + STEP * np.arange(lanes, dtype=np.uint64)[None, :])
         bits = np.unpackbits(rows.astype(">u8").view(np.uint8).reshape(len(rows), -1), axis=1)
         counts += bits.sum(axis=0, dtype=np.uint8)
-    return np.packbits(2 * counts > len(hashes)).view(">u8").astype(np.uint64)
-
-
-# The increment and multipliers of the public SplitMix64 generator.
-STEP = np.uint64(0x9E3779B97F4A7C15)
-MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
-
-
-def remix(x: np.ndarray) -> np.ndarray:
-    """SplitMix64's output function."""
-    x = (x ^ (x >> np.uint64(30))) * MIX[0]
-    x = (x ^ (x >> np.uint64(27))) * MIX[1]
-    return x ^ (x >> np.uint64(31))
+    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
 
 
 def fingerprint(text: Column, words: int) -> Column:
     """The 64-bit fingerprint of each text, as a signed long."""
-    one = per_text(lambda t: (int(majority(shingle_hashes(t, words)).astype(np.int64)[0]),), "fp long")
-    return one(text)["fp"]
+
+    def one(whole: str) -> tuple[int]:
+        value = majority(shingle_hashes(whole, words))
+        return (value - (value >> 63 << 64),)
+
+    return per_text(one, "fp long")(text)["fp"]
 
 
 def block_bounds(bits: int, blocks: int) -> list[tuple[int, int]]:
@@ -96,6 +76,15 @@ def block_bounds(bits: int, blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(ends, ends[1:])]
 
 
+def blocks_for(prints: int, max_bits: int = 4) -> int:
+    """The blocks with the least expected work for so many distinct fingerprints: key rows, and the chance members of a key that each meets."""
+
+    def work(blocks: int) -> float:
+        return math.comb(blocks, max_bits) * (1 + prints / 2.0 ** (1 + 64 * (blocks - max_bits) / blocks))
+
+    return min(range(max_bits + 2, max_bits + 9), key=work)
+
+
 def links(prints: DataFrame, max_bits: int = 4, blocks: int = 6) -> DataFrame:
     """All pairs (a, b), a < b, of the distinct longs ``fp`` at ``max_bits`` or fewer differing bits, each once."""
     if blocks <= max_bits:
@@ -154,11 +143,11 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root")).groupBy("node").agg(F.min("root").alias("root"))
 
 
-def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4, blocks: int = 6) -> DataFrame:
+def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per document: the id, its fingerprint (16 hex digits) and the smallest id of its component."""
     rows = materialize(docs.select(F.col(id_column).alias("id"), fingerprint(F.col(text), words).alias("fp")), "simhash")
     prints = materialize(rows.groupBy("fp").agg(F.min("id").alias("least")), "simhash-distinct")
-    found = components(links(prints.select("fp"), max_bits, blocks), "simhash-components")
+    found = components(links(prints.select("fp"), max_bits, blocks_for(prints.count(), max_bits)), "simhash-components")
     # The smallest fingerprint names a component; its smallest id is an aggregate over fingerprints.
     named = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     best = named.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -167,156 +156,17 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
     return rows.join(label, "fp").select(F.col("id").alias(id_column), hexed.alias("fingerprint"), "component_id")
 
 
-LANES = 16
-BITS = 18  # of a block; a block has about n / 2**BITS chance members, all of which a join compares: 24 and more for 10**8 documents
-FIRST = 10  # blocks of the first step
-REPEATS = 4  # of the second step at most; what they leave is met in the third
-CELL = 1000  # rows of a block on each side that one cell of the third step compares
-SKETCH = 4  # lanes that travel with a block's rows; few chance pairs pass their check, and of pairs below the similarity those near it
-
-
-def wide_fingerprint(text: Column, words: int) -> Column:
-    """``64 * LANES`` bits over the set of a text's shingles, as an array of longs."""
-    one = per_text(lambda t: (majority(np.unique(shingle_hashes(t, words)), LANES).astype(np.int64),), "lanes array<long>")
-    return one(text)["lanes"]
-
-
-def differing_share(similarity: float) -> float:
-    """Expected share of differing bits of two equally large sets of a Jaccard similarity."""
-    return math.acos(2 * similarity / (1 + similarity)) / math.pi
-
-
-def most_differing(bits: int, similarity: float, deviations: float) -> float:
-    """Differing bits that a pair of the similarity stays below, but for a normal tail."""
-    share = differing_share(similarity)
-    return bits * share + deviations * math.sqrt(bits * share * (1 - share))
+def without_near_copies(docs: DataFrame, text: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
+    """``docs`` with one row of each component: the one of smallest ``doc_id`` (null last, then any), same columns.
 
-
-def block_count(bits: int, similarity: float, recall: float) -> int:
-    """Blocks of ``bits`` bits of which a pair of the similarity shares at least one with the probability ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing_share(similarity)) ** bits))
-
-
-def block_keys(lanes: Column, bits: int, blocks: int) -> Column:
-    """Array of longs, one per block: its number above its ``bits`` bits, runs at evenly spread places, around the end where needed."""
-
-    def key(part: Column) -> Column:
-        first = F.floor(part * F.lit(64 * LANES / blocks)).cast("int")
-        lane, shift = F.floor(first / 64).cast("int"), first % 64
-        low = F.element_at(lanes, lane + 1)
-        high = F.element_at(lanes, (lane + 1) % LANES + 1)
-        # The second lane is shifted in two steps, as a shift by 64 would be none.
-        window = F.call_function("shiftrightunsigned", low, shift).bitwiseOR(F.call_function("shiftleft", F.call_function("shiftleft", high, 63 - shift), F.lit(1)))
-        return F.shiftleft(part.cast("long"), bits).bitwiseOR(window.bitwiseAND(F.lit((1 << bits) - 1)))
-
-    return F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), key)
-
-
-def near_classes(docs: DataFrame, row: str, order: list[str], text: str = "text", words: int = 5, similarity: float = 0.8, recall: float = 0.97, bits: int = BITS) -> DataFrame:
-    """(row, kept): of every class of near copies the row that is first by ``order`` is kept.
-
-    ``docs`` must be stored and ``row`` a long that no two rows share.
+    Only ids, fingerprints and row numbers are exchanged, but for the last join, which drops rows of the stored ``docs``.
     """
-    prints = docs.select(F.col(row).alias("row"), F.struct(*order).alias("place"), wide_fingerprint(F.col(text), words).alias("lanes"))
-    rows = materialize(prints.withColumn("print", F.md5(F.array_join(F.col("lanes").cast("array<string>"), ","))), "near-rows")
-    distinct = materialize(rows.groupBy("print").agg(F.min("row").alias("node"), F.first("lanes").alias("lanes")), "near-distinct")
-    blocks = block_count(bits, similarity, recall)
-    keys = block_keys(F.col("lanes"), bits, blocks)
-    sketch = F.struct(*[F.element_at("lanes", k + 1).alias(f"s{k}") for k in range(SKETCH)]).alias("sketch")
-    limit = int(most_differing(64 * SKETCH, similarity, 2.7))
-    sets = docs.select(F.col(row).alias("node"), F.col(text).alias("text"))
-
-    def close(pairs: DataFrame) -> DataFrame:
-        return similar_pairs(pairs.distinct(), distinct.select("node", "lanes"), sets, words, similarity)
-
-    def alike(a: str, b: str) -> Column:
-        return sum(F.bit_count(F.col(f"{a}.s{k}").bitwiseXOR(F.col(f"{b}.s{k}"))) for k in range(SKETCH)) <= limit
-
-    # Step one, a few blocks: every row of a block meets the block's smallest row. Rows move once: both sides of the join and
-    # the aggregate share the exchange. A document has many blocks, so a group of copies spreads over as many tasks.
-    spread = distinct.select("node", sketch, F.explode(F.slice(keys, 1, FIRST)).alias("block")).repartition("block")
-    least = spread.groupBy("block").agg(F.min(F.struct("node", "sketch")).alias("least"))
-    met = spread.join(least, "block").where("node > least.node").where(alike("sketch", "least.sketch"))
-    stars = close(met.select(F.col("least.node").alias("a"), F.col("node").alias("b")))
-
-    def classed(linked: DataFrame) -> DataFrame:
-        return distinct.join(components(linked, "near-first"), "node", "left").select("node", sketch, "lanes", F.coalesce("root", "node").alias("root"))
-
-    classes = classed(stars)
-    # Step two, all blocks: one row for each class of a block, and classes meet each other. Every repeat sends other rows of
-    # the classes, as the link may be between any two, until a repeat links nothing; it only spares step three work.
-    found = stars
-    for turn in range(REPEATS):
-        spread = classes.select("node", "sketch", "root", F.explode(keys).alias("block")).repartition("block")
-        chosen = F.struct(F.xxhash64("node", F.lit(turn)).alias("h") if turn else F.lit(0).alias("h"), "node", "sketch")
-        one = spread.groupBy("block", "root").agg(F.min(chosen).alias("one")).select("block", "root", "one.node", "one.sketch")
-        across = one.alias("x").join(one.alias("y"), "block").where("x.root < y.root").where(alike("x.sketch", "y.sketch"))
-        more = close(across.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")))
-        if more.isEmpty():
-            break
-        found = found.unionByName(more)
-        classes = classed(found)
-    # Step three: every row meets all rows of the block's other classes.
-    more = close(unmet_pairs(classes.select("node", "sketch", "root", F.explode(keys).alias("block")), alike))
-    joined = components(found.unionByName(more), "near-classes")
-    named = distinct.join(joined, "node", "left").select("print", F.coalesce("root", "node").alias("root"))
-    labelled = materialize(rows.select("row", "place", "print").join(named, "print").select("row", "place", "root"), "near-labels")
-    winners = labelled.groupBy("root").agg(F.min(F.struct("place", "row")).alias("best")).select("root", F.col("best.row").alias("winner"))
-    return labelled.join(winners, "root").select("row", (F.col("row") == F.col("winner")).alias("kept"))
-
-
-def unmet_pairs(spread: DataFrame, alike: Callable[[str, str], Column]) -> DataFrame:
-    """All pairs (a, b) of ``alike`` nodes of different classes that share a block, from rows (node, sketch, root, block).
-
-    Rows of a block's largest class only meet the rows of its other classes. Blocks of one class drop out, and those with
-    one row for each class, as step two has compared these. Both
-    sides of a block are dealt into cells of about ``CELL`` by ``CELL`` rows, so that no block is held by one task.
-    """
-    sizes = spread.groupBy("block", "root").agg(F.count("*").alias("n"))
-    blocks = sizes.groupBy("block").agg(F.max(F.struct("n", "root")).alias("most"), F.sum("n").alias("n")).where("n > most.n AND most.n > 1")
-    cells = [F.ceil(rows / F.lit(CELL)).cast("int") for rows in (F.col("n"), F.col("n") - F.col("most.n"))]
-    blocks = blocks.select("block", F.col("most.root").alias("main"), cells[0].alias("down"), cells[1].alias("over"))
-    met = materialize(spread.join(blocks, "block"), "near-unmet")
-    at = F.xxhash64("node")
-
-    def copies(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    every = met.select("block", "node", "sketch", "root", "main", F.pmod(at, F.col("down")).cast("int").alias("i"), copies("over").alias("j"))
-    others = met.where("root != main").select("block", "node", "sketch", "root", F.pmod(at, F.col("over")).cast("int").alias("j"), copies("down").alias("i"))
-    pairs = others.alias("x").join(every.alias("y"), ["block", "i", "j"]).where("x.root != y.root").where("y.root = y.main OR x.node < y.node")
-    return pairs.where(alike("x.sketch", "y.sketch")).select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
-
-
-def similar_pairs(pairs: DataFrame, prints: DataFrame, texts: DataFrame, words: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of nodes whose shingle sets have the similarity: by Hamming distance, near the border by the sets themselves."""
-    spark = pairs.sparkSession
-    mark = len(made_paths(spark))
-    pairs = materialize(pairs, "near-met")
-    width = 64 * LANES
-    sure, never = most_differing(width, similarity, -3), most_differing(width, similarity, 4)
-    a = prints.select(F.col("node").alias("a"), F.col("lanes").alias("left"))
-    b = prints.select(F.col("node").alias("b"), F.col("lanes").alias("right"))
-    bits = F.aggregate(F.zip_with("left", "right", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    near = materialize(pairs.join(a, "a").join(b, "b").select("a", "b", bits.alias("bits")).where(F.col("bits") <= never), "near-verified")
-    unsure = near.where(F.col("bits") > sure).select("a", "b")
-    nodes = unsure.select(F.col("a").alias("node")).unionByName(unsure.select(F.col("b").alias("node"))).distinct()
-    shingles = per_text(lambda t: (np.unique(shingle_hashes(t, words)).astype(np.int64),), "shingles array<long>")
-    sets = materialize(texts.join(nodes, "node", "left_semi").select("node", shingles(F.col("text"))["shingles"].alias("shingles")), "near-sets")
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("right"))
-    common = F.size(F.array_intersect("left", "right"))
-    both = F.size("left") + F.size("right") - common
-    exact = unsure.join(left, "a").join(right, "b").where(common >= F.lit(similarity) * both).select("a", "b")
-    links = materialize(near.where(F.col("bits") <= sure).select("a", "b").unionByName(exact), "near-links")
-    remove_since(spark, mark, keep=1)
-    return links
-
-
-def without_near_copies(docs: DataFrame, text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``docs`` with one row of each class of near copies: the one of smallest ``doc_id`` (null last), same columns."""
-    row = free_name(docs.columns, "near_row")
-    stored = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "near-docs")
-    first = free_name(stored.columns, "near_null")
-    kept = near_classes(stored.withColumn(first, F.col("doc_id").isNull()), row, [first, "doc_id", row], text, words, similarity).where("kept").select(F.col("row").alias(row))
-    return stored.join(kept, row, "left_semi").select(*docs.columns)
+    names = [free_name(docs.columns, "near_row"), free_name(docs.columns, "near_print")]
+    stored = materialize(docs.withColumns({names[0]: F.monotonically_increasing_id(), names[1]: fingerprint(quoted(text), words)}), "near-docs")
+    rows = stored.select(F.col(names[0]).alias("row"), F.col("doc_id").alias("id"), F.col(names[1]).alias("fp"))
+    place = F.struct(F.col("id").isNull().alias("missing"), "id", "row")
+    prints = materialize(rows.groupBy("fp").agg(F.min(place).alias("place")), "near-distinct")
+    found = components(links(prints.select("fp"), max_bits, blocks_for(prints.count(), max_bits)), "near-components")
+    named = prints.join(found, prints["fp"] == found["node"], "left").select("place", F.coalesce("root", "fp").alias("root"))
+    kept = named.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
+    return stored.join(kept, stored[names[0]] == kept["row"], "left_semi").select(*map(quoted, docs.columns))
