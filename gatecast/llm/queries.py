@@ -1,4 +1,4 @@
-"""The ten registered queries, one per operator, over whole tables."""
+"""The registered queries, one per operator, over whole tables."""
 
 from __future__ import annotations
 
@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from gatecast.llm import quality, sql, url_filter
 from gatecast.llm.boundary_bpe import round_trip
 from gatecast.llm.common import table
+from gatecast.llm.hilbert_kmeans import clusters
 from gatecast.llm.html_text import extract
+from gatecast.llm.importance import resampled
 from gatecast.llm.license_scan import scanned
 from gatecast.llm.mixing import mix
 from gatecast.llm.pii import personal_data
+from gatecast.llm.radix_dedup import exact_groups
 from gatecast.llm.simhash import simhash_components
 from gatecast.llm.token_files import read_token_files, write_token_files
 from gatecast.llm.weighted_sampling import fingerprints
@@ -70,6 +73,18 @@ def op7_weighted_sampling(spark: SparkSession, folder: str) -> DataFrame:
     return fingerprints(table(spark, folder, "documents"))
 
 
+def op11_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_groups(table(spark, folder, "documents"), F.col("text"), keep="largest")
+
+
+def op12_hilbert_kmeans(spark: SparkSession, folder: str) -> DataFrame:
+    return clusters(table(spark, folder, "embeddings"), "vec_id", "embedding", count=16, rounds=3, size=64, scale=64.0, seed="1")
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"), grams=1, percent=10, least_words=20, seed="2024")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_mix_sources": op2_mix_sources,
@@ -81,6 +96,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_simhash_near_dedup": op9_simhash_near_dedup,
     "op10_token_files": op10_token_files,
+    "op11_exact_dedup": op11_exact_dedup,
+    "op12_hilbert_kmeans": op12_hilbert_kmeans,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
-SQL: dict[str, str] = {"op2_mix_sources": sql.MIX}
+SQL: dict[str, str] = {
+    "op2_mix_sources": sql.MIX,
+    "op11_exact_dedup": sql.EXACT_GROUPS,
+    "op12_hilbert_kmeans": sql.CLUSTERS,
+    "op13_importance_resampling": sql.RESAMPLED,
+}
