@@ -219,7 +219,7 @@ def clusters(vectors: DataFrame, id_column: str, column: str, count: int = 16, r
             centroids = moved(blocks, centroids)
         done = materialize(assigned(blocks, centroids), "hilbert-clusters")
     else:
-        done = blocks.select(F.explode("ids").alias("id"), F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))
+        done = blocks.select(F.explode("ids").alias("id"), F.lit(0).alias("cluster"), F.lit(0).cast("long").alias("distance"))  # no rows
     parts = {row["cluster"]: int(row["inertia"]) for row in done.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("inertia")).collect()}
     inertia = [parts.get(c, 0) for c in range(max(1, len(centroids)))]
     digests = [hashlib.sha256(",".join(map(str, row.tolist())).encode()).hexdigest() for row in centroids] or [""]
