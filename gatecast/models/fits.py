@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 from gatecast.models import solvers
 from gatecast.models.design import Design
 from gatecast.models.gram import fold_grams, gram, square
+from gatecast.models.qr import full_fits, r_factors
 from gatecast.operators.aggregates import arg_min, cv_summary, fold_mean, one_se
 from gatecast.session import materialize
 
@@ -163,7 +165,16 @@ def fit_models(
     models: Sequence[str] = FAMILIES,
     folds: int = 10,
     mask: str | None = None,
+    qr: bool = False,
 ) -> DataFrame:
-    """Sums in one pass over ``df``, then all candidate fits, written once."""
-    sums = materialize(gram(df, design, part, mask), "gram")
-    return materialize(fit_paths(sums, design, horizons, models, folds, mask is not None), "paths")
+    """Sums in one pass over ``df``, then all candidate fits, written once.
+
+    With ``qr`` the full model is fitted by QR of the rows, in a pass of its own: for columns that are nearly equal.
+    """
+    others = [m for m in models if not (qr and m == FULL)]
+    found = []
+    if others:
+        found.append(fit_paths(materialize(gram(df, design, part, mask), "gram"), design, horizons, others, folds, mask is not None))
+    if len(others) < len(models):
+        found.append(full_fits(materialize(r_factors(df, design, part, mask), "qr"), design, horizons, PATHS, FULL, mask is not None))
+    return materialize(reduce(DataFrame.unionByName, found), "paths")

@@ -77,6 +77,7 @@ def forecast(
     folds: int = 10,
     seed: int = 2,
     max_terms: int = MAX_TERMS,
+    qr: bool = False,
 ) -> Forecast:
     """Split, fit all families for all horizons, and keep every candidate.
 
@@ -84,12 +85,12 @@ def forecast(
     predictors it has; a null in one horizon's predictor keeps it in the others. Levels and
     means are taken from the whole frame, and the frame is written once; the sums behind all
     fits take one pass over it. More than ``max_terms`` levels are refused: the sums hold
-    terms squared numbers.
+    terms squared numbers. ``qr`` fits the full model by QR of the rows (see ``models.qr``).
     """
     predictors = list(dict.fromkeys(c for p in horizons.values() for c in p))
     rows = complete_rows(frame.select(*dict.fromkeys([*keys, *predictors, target])), [target])
     whole = materialize(rows.withColumn("_mask", horizon_mask(horizons)), "frame")
     design = fit_design(whole, target, predictors, max_terms)
     parts = split_and_folds(whole, keys, fraction, folds, seed, "_part")
-    paths = fit_models(parts, design, "_part", horizons, models, folds, "_mask")
+    paths = fit_models(parts, design, "_part", horizons, models, folds, "_mask", qr)
     return Forecast(design, horizons, folds, parts, paths)

@@ -156,6 +156,37 @@ def l3(spark, sf):
     return fits.select("horizon", r6("intercept").alias("intercept"), r6("rss", 2).alias("rss"))
 
 
+# Two nearly equal columns and an exact multiple. x4 = x1 + x2 / 1000 spans the same as x2, so the fit on x1 and x2 gives the answer.
+NEAR = {"near": ["x1", "x4", "x5"]}
+
+
+def _near(spark, sf):
+    parts = _parts(spark, sf).withColumns({"x4": F.col("x1") + F.col("x2") / 1000, "x5": F.col("x1") * 2})
+    design = fit_design(parts, "y", NEAR["near"])
+    return parts, design, fit_models(parts, design, "_part", NEAR, [FULL], qr=True)
+
+
+@query(
+    "l3_ols_qr",
+    f"""WITH {SUMS_SQL} SELECT '(Intercept)' AS term, round(b0, 4) AS beta FROM c UNION ALL
+        SELECT 'x1', round(b1 - 1000 * b2, 2) FROM c UNION ALL SELECT 'x4', round(1000 * b2, 2) FROM c""",
+)
+def l3_qr(spark, sf):
+    """The full fit by QR: a column that differs from another by 1 in 10**6 counts, a multiple of another does not."""
+    _, design, fits = _near(spark, sf)
+    return coefficients(fits, design).select("term", F.when(F.col("term") == "(Intercept)", r6("beta", 4)).otherwise(r6("beta", 2)).alias("beta"))
+
+
+@query(
+    "l13_predict_qr",
+    f"WITH {SUMS_SQL} SELECT l_orderkey, round(b0 + b1 * x1 + b2 * x2, 5) AS predicted FROM parts, c WHERE part = 0",
+)
+def l13_qr(spark, sf):
+    parts, design, fits = _near(spark, sf)
+    test = parts.where(F.col("_part") == 0)
+    return scoring.predict_long(test, design, fits.collect(), NEAR, ["l_orderkey"]).select("l_orderkey", r6("predicted", 5).alias("predicted"))
+
+
 @query("l7_coefficients", COEF_SQL)
 def l7(spark, sf):
     _, design, fits = _ols(spark, sf)

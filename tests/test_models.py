@@ -6,7 +6,7 @@ from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
 from gatecast.models import fits, scoring, solvers
-from gatecast.models.design import complete_rows, completeness, design_matrix, fit_design, prediction
+from gatecast.models.design import complete_rows, completeness, design_matrix, fit_design, horizon_mask, prediction
 from gatecast.models.gram import fold_grams, gram, square
 from gatecast.plans.forecast import forecast
 
@@ -325,3 +325,41 @@ def test_backward_sets_equal_a_fresh_inverse_each_step():
         current.pop(int(np.argmin(b**2 / np.diag(inverse))))
         want.append(list(current))
     assert solvers.backward_sets(c) == want[::-1]
+
+
+def test_qr_equals_the_sums_of_products_on_a_good_design(frame, design, paths):
+    ours = fits.fit_models(frame, design, "_part", HORIZONS, [fits.FULL, fits.RIDGE], FOLDS, qr=True)
+    assert ours.schema == paths.schema and ours.where(f"model = '{fits.RIDGE}'").count() == paths.where(f"model = '{fits.RIDGE}'").count()
+    theirs = {r.horizon: r for r in paths.where(f"model = '{fits.FULL}'").collect()}
+    for row in ours.where(f"model = '{fits.FULL}'").collect():
+        other = theirs[row.horizon]
+        np.testing.assert_allclose([row.intercept, *row.betas], [other.intercept, *other.betas], rtol=1e-8, atol=1e-10)
+        np.testing.assert_allclose([row.mse, row.rss, row.n], [other.mse, other.rss, other.n], rtol=1e-9)
+        assert (row["size"], row.step, row.fold) == (other["size"], 1, 0)
+
+
+def test_qr_keeps_digits_that_sums_of_products_lose(spark):
+    rng = np.random.default_rng(6)
+    x, z = rng.normal(size=500), rng.normal(size=500)
+    df = pd.DataFrame({"a": x, "b": x + 1e-5 * z, "c": 3 * x, "y": 2 * x + z, "_part": np.arange(500) % 5})
+    table = spark.createDataFrame(df).repartition(7)
+    d = fit_design(table, "y", ["a", "b", "c"])
+    used = {"all": ["a", "b", "c"]}
+    row = fits.fit_models(table, d, "_part", used, [fits.FULL], 4, qr=True).first()
+    want = np.array([2 - 1e5, 1e5, 0.0])
+    np.testing.assert_allclose(row.betas, want, rtol=1e-8, atol=0)  # the exact answer; c is a multiple of a
+    assert row.rss < 1e-6 and row["size"] == 2
+    lost = fits.fit_models(table, d, "_part", used, [fits.FULL], 4).first()
+    assert lost["size"] == 1 and lost.rss > 100
+
+
+def test_qr_with_masks_and_few_rows(spark):
+    rows = [(1.0, 2.0, "u", 3.0, 1), (2.0, None, "v", 5.0, 1), (4.0, 1.0, "u", 9.0, 2), (3.0, 5.0, "v", 8.0, 2), (5.0, 0.0, "u", 11.5, 1), (2.5, 2.0, "u", 6.0, 0)]
+    table = spark.createDataFrame(rows, "a double, b double, g string, y double, _part int")
+    horizons = {"early": ["a", "g"], "late": ["a", "b"]}
+    masked = table.withColumn("m", horizon_mask(horizons))
+    d = fit_design(table, "y", ["a", "b", "g"])
+    both = [{r.horizon: r for r in fits.fit_models(masked, d, "_part", horizons, [fits.FULL], 2, "m", qr).collect()} for qr in (False, True)]
+    for h in horizons:
+        np.testing.assert_allclose([both[1][h].intercept, *both[1][h].betas, both[1][h].mse], [both[0][h].intercept, *both[0][h].betas, both[0][h].mse], rtol=1e-7, atol=1e-9)
+        assert both[1][h].n == both[0][h].n == 1
