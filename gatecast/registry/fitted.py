@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatecast.functions import dates
-from gatecast.models import scoring
+from gatecast.models import blocked, scoring
 from gatecast.models.design import complete_rows, design_matrix, fit_design
 from gatecast.models.fits import (
-    BACKWARD, FORWARD, FULL, LASSO, RIDGE, coefficients, final_fits, fit_models, penalties, penalty_errors, subset_errors,
+    BACKWARD, FORWARD, FULL, LASSO, PATHS, RIDGE, coefficients, final_fits, fit_models, penalties, penalty_errors, subset_errors,
 )
 from gatecast.models.gram import gram
 from gatecast.operators import categorical as cat
@@ -296,6 +296,11 @@ THREE = {"all": ["x1", "x2", "x3"]}
 )
 def l4(spark, sf):
     _, design, paths = _paths(spark, sf, THREE, [FORWARD])
+    return added_terms(paths, design)
+
+
+def added_terms(paths, design):
+    """Per step of the fit on all training rows: the term that the step before did not have."""
     names = F.array(*[F.lit(t.name) for t in design.terms])
     used = F.filter(F.arrays_zip(names.alias("t"), F.col("betas").alias("b")), lambda x: x["b"] != 0)
     sets = paths.where(F.col("fold") == 0).select("step", "rss", F.transform(used, lambda x: x["t"]).alias("used"))
@@ -305,6 +310,50 @@ def l4(spark, sf):
     return both.select("step", added.alias("added"), r6("rss", 2).alias("rss"))
 
 
+# Four categories crossed: some 1900 levels, so the sums are kept in blocks.
+CROSSED = "o_orderpriority o_orderstatus c_mktsegment c_nationkey".split()
+WIDE_GREEDY_SQL = f"""{PARTS_SQL},
+  named AS (SELECT p.*, concat_ws('/', {", ".join(CROSSED)}) AS kind FROM parts p JOIN orders ON l_orderkey = o_orderkey
+    JOIN customer ON o_custkey = c_custkey),
+  tr AS (SELECT * FROM named WHERE part > 0),
+  feats AS (SELECT l_orderkey AS row, 'x1' AS name, x1 AS v FROM tr UNION ALL SELECT l_orderkey, 'x2', x2 FROM tr UNION ALL
+    SELECT l_orderkey, 'x3', x3 FROM tr UNION ALL SELECT l_orderkey, 'y', y FROM tr UNION ALL
+    SELECT l_orderkey, 'kind=' || kind, 1.0::DOUBLE FROM tr WHERE kind <> (SELECT min(kind) FROM named)),
+  sums AS MATERIALIZED (SELECT name, sum(v) AS s FROM feats GROUP BY name),
+  d0 AS MATERIALIZED (SELECT name, q - s * s / n AS d, c - s * (SELECT s FROM sums WHERE name = 'y') / n AS g FROM sums
+    JOIN (SELECT name, sum(v * v) AS q FROM feats GROUP BY name) USING (name)
+    JOIN (SELECT f.name, sum(f.v * o.v) AS c FROM feats f JOIN feats o USING (row) WHERE o.name = 'y' GROUP BY f.name) USING (name),
+    (SELECT count(*) AS n FROM tr)), """ + ", ".join(
+    f"""p{k} AS MATERIALIZED (SELECT arg_max(name, g * g / d) AS name, arg_max(d, g * g / d) AS d, arg_max(g, g * g / d) AS g FROM d{k - 1}
+      WHERE name <> 'y' AND d > 1e-6 {" ".join(f"AND name <> (SELECT name FROM p{t})" for t in range(1, k))}),
+    s{k} AS (SELECT f.name, sum(f.v * o.v) AS q FROM feats f JOIN feats o USING (row) WHERE o.name = (SELECT name FROM p{k}) GROUP BY f.name),
+    r{k} AS MATERIALIZED (SELECT sums.name, coalesce(q, 0) - s * (SELECT s FROM sums WHERE name = (SELECT name FROM p{k})) / (SELECT count(*) FROM tr)
+      {" ".join(f"- r{t}.v * (SELECT v FROM r{t} WHERE name = (SELECT name FROM p{k})) / (SELECT d FROM p{t})" for t in range(1, k))} AS v
+      FROM sums LEFT JOIN s{k} USING (name) {" ".join(f"JOIN r{t} ON r{t}.name = sums.name" for t in range(1, k))}),
+    d{k} AS MATERIALIZED (SELECT x.name, x.d - v * v / p{k}.d AS d, x.g - v * p{k}.g / p{k}.d AS g FROM d{k - 1} x JOIN r{k} ON r{k}.name = x.name, p{k})"""
+    for k in (1, 2, 3)
+)
+
+
+@query(
+    "l4_stepwise_blocked",
+    f"WITH {WIDE_GREEDY_SQL} "
+    + " UNION ALL ".join(
+        f"SELECT {k}::INTEGER AS step, (SELECT name FROM p{k}) AS added, round(d, 2) AS rss FROM d{k} WHERE name = 'y'"
+        for k in (1, 2, 3)
+    ),
+)
+def l4_blocked(spark, sf):
+    """The first steps among three numbers and some 1900 levels, from sums of products in blocks."""
+    orders = table(spark, sf, "orders").join(table(spark, sf, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    kinds = orders.select("o_orderkey", F.concat_ws("/", *[F.col(c).cast("string") for c in CROSSED]).alias("kind"))
+    named = _parts(spark, sf).join(kinds, F.col("l_orderkey") == F.col("o_orderkey"))
+    named = materialize(named, "crossed")
+    design = fit_design(named, "y", ["x1", "x2", "x3", "kind"], max_terms=5000)
+    paths = blocked.stepwise_paths(named, design, "_part", "all", PATHS, {FORWARD: True}, max_size=3)
+    return added_terms(materialize(paths, "paths"), design)
+
+
 PAIR = """SELECT '{a}' AS a, '{b}' AS b, {v}(yy) - ({v}(s{a}) * {v}(s{a}) * {v}({b}{b}) - 2 * {v}(s{a}) * {v}(s{b}) * {v}({a}{b})
   + {v}(s{b}) * {v}(s{b}) * {v}({a}{a})) / ({v}({a}{a}) * {v}({b}{b}) - {v}({a}{b}) * {v}({a}{b})) AS rss FROM w"""
 

@@ -5,7 +5,7 @@ from pyspark.ml.feature import RFormula, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from gatecast.models import fits, scoring, solvers
+from gatecast.models import blocked, fits, scoring, solvers
 from gatecast.models.design import complete_rows, completeness, design_matrix, fit_design, horizon_mask, prediction
 from gatecast.models.gram import fold_grams, gram, square
 from gatecast.plans.forecast import forecast
@@ -363,3 +363,66 @@ def test_qr_with_masks_and_few_rows(spark):
     for h in horizons:
         np.testing.assert_allclose([both[1][h].intercept, *both[1][h].betas, both[1][h].mse], [both[0][h].intercept, *both[0][h].betas, both[0][h].mse], rtol=1e-7, atol=1e-9)
         assert both[1][h].n == both[0][h].n == 1
+
+
+@pytest.fixture(scope="module")
+def crossed(spark):
+    rng = np.random.default_rng(3)
+    n = 1200
+    df = pd.DataFrame({"x1": rng.normal(5, 2, n), "x2": rng.normal(size=n), "_part": np.arange(n) % 4})
+    df["g"] = rng.choice([f"g{k:02}" for k in range(20)], n)
+    df["h"] = rng.choice([f"h{k}" for k in range(9)], n)
+    df["x3"] = df.x1 * 2  # aliased
+    df["y"] = 3 * df.x1 + df.x2 + 4 * (df.g == "g03") - 2 * (df.h == "h4") + rng.normal(size=n)
+    table = spark.createDataFrame(df).repartition(3).cache()
+    return table, fit_design(table, "y", ["x1", "g", "x2", "h", "x3"])
+
+
+@pytest.mark.parametrize("size,held", [(8, 256), (8, 2), (64, 256)])
+def test_blocks_hold_the_packed_sums(crossed, monkeypatch, size, held):
+    monkeypatch.setattr(blocked, "HELD", held)
+    table, d = crossed
+    width = len(d.terms) + 2
+    found, packed = blocked.blocked_gram(table, d, "_part", size).collect(), gram(table, d, "_part").toPandas()
+    for p in range(4):
+        own = packed[packed.part == p]
+        whole = np.zeros((-(-width // size) * size,) * 2)
+        for r in (r for r in found if r.part == p):
+            block = blocked.opened(bytes(r["values"]), size)
+            whole[r.bi * size : (r.bi + 1) * size, r.bj * size : (r.bj + 1) * size] = block
+            whole[r.bj * size : (r.bj + 1) * size, r.bi * size : (r.bi + 1) * size] = block.T
+        np.testing.assert_allclose(whole[:width, :width], square(own.i.to_numpy(), own.j.to_numpy(), own.value.to_numpy(), width), atol=1e-8)
+        assert not whole[width:].any()
+
+
+def test_sweeps_over_blocks_equal_the_packed_paths(crossed, monkeypatch):
+    monkeypatch.setattr(blocked, "REMOVED", 6)
+    monkeypatch.setattr(blocked, "FETCHED", 5)
+    table, d = crossed
+    theirs = fits.fit_models(table, d, "_part", {"all": list(d.predictors)}, list(fits.STEPWISE), 3).toPandas()
+    ours = blocked.stepwise_paths(table, d, "_part", "all", fits.PATHS, {fits.FORWARD: True, fits.BACKWARD: False}, 3, 50, 8)
+    both = theirs.merge(ours.toPandas(), on=["horizon", "model", "fold", "step"], suffixes=("", "_b"))
+    assert len(both) == len(theirs) == ours.count() == 2 * 4 * 29  # 30 terms, one aliased
+    for c in ("size", "n", "mse", "rss", "intercept"):
+        np.testing.assert_allclose(both[c], both[f"{c}_b"], rtol=1e-8)
+    np.testing.assert_allclose(np.stack(both.betas), np.stack(both.betas_b), atol=1e-9)
+    short = blocked.stepwise_paths(table, d, "_part", "all", fits.PATHS, {fits.BACKWARD: False}, 3, 4, 8)
+    assert sorted({r.step for r in short.collect()}) == [1, 2, 3, 4]
+
+
+def test_three_thousand_levels(spark):
+    rng = np.random.default_rng(4)
+    n = 20_000
+    df = pd.DataFrame({"x": rng.normal(size=n), "g": (np.arange(n) * 7 % 3000).astype(str), "_part": np.arange(n) % 3})
+    df["y"] = df.x + 5 * (df.g == "77") + 90 * (df.g == "1234") + 0.1 * rng.normal(size=n)
+    table = spark.createDataFrame(df)
+    d = fit_design(table, "y", ["x", "g"], max_terms=3000)
+    paths = blocked.stepwise_paths(table, d, "_part", "all", fits.PATHS, {fits.FORWARD: True}, 2, 3)
+    last = paths.where("fold = 0 AND step = 3").first()
+    used = {d.terms[k].name: round(b, 1) for k, b in enumerate(last.betas) if b}
+    assert len(d.terms) == 3000 and used == {"x": 1.0, "g=1234": 90.0, "g=77": 5.0}
+    assert max(len(r["values"]) for r in blocked.blocked_gram(table, d, "_part").collect()) == 8 * blocked.SIZE**2
+    train = df[df._part > 0]
+    x = np.column_stack([train.x, train.g == "1234", train.g == "77"]).astype(float)
+    b = ols(x, train.y.to_numpy())
+    np.testing.assert_allclose(last.rss, np.sum((train.y - b[0] - x @ b[1:]) ** 2), rtol=1e-8)
