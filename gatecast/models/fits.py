@@ -100,7 +100,8 @@ def _candidates(model: str, c: solvers.Centered, full: np.ndarray):
     elif model == FORWARD:
         order = solvers.forward_order(c)
         for size in range(1, len(order) + 1):
-            yield size, None, solvers.solve_on(c, order[:size])
+            # In design order, so that one set gives one result, whatever way led to it: ties between families stay ties.
+            yield size, None, solvers.solve_on(c, sorted(order[:size]))
     elif model == BACKWARD:
         for size, chosen in enumerate(solvers.backward_sets(c), 1):
             yield size, None, solvers.solve_on(c, chosen)

@@ -17,6 +17,7 @@ from gatecast.operators.impute import impute_group_mean
 from gatecast.operators.joins import left_join
 from gatecast.operators.windows import Lag, RollingSum, RunningSum, add_history
 from gatecast.plans.forecast import forecast
+from gatecast.registry import linear_sql
 from gatecast.registry.base import GAMES_SQL, ORDER, games, query, r6, table
 from gatecast.session import materialize
 from gatecast.sources.tables import inline_rows
@@ -470,6 +471,60 @@ def l12(spark, sf):
     return fits.select("model", r6("intercept").alias("intercept"), r6(F.col("betas")[0]).alias("x1"))
 
 
+# Six terms, two of them dummies, so that the paths have real work to do.
+SIX = {"all": ["x1", "x2", "x3", "x4", "o_orderstatus"]}
+SIX_NAMES = "['x1', 'x2', 'x3', 'x4', 'o_orderstatus=O', 'o_orderstatus=P']"
+SIX_SQL = f"""{PARTS_SQL}, extra AS (SELECT l_orderkey, sum(l_tax) AS x4 FROM lineitem GROUP BY l_orderkey),
+  v AS MATERIALIZED (SELECT 'all' AS h, part, [1.0::DOUBLE, x1 - avg(x1) OVER (), x2 - avg(x2) OVER (), x3 - avg(x3) OVER (), x4 - avg(x4) OVER (),
+      (o_orderstatus = 'O')::INTEGER::DOUBLE, (o_orderstatus = 'P')::INTEGER::DOUBLE, y - avg(y) OVER ()] AS r
+    FROM parts JOIN extra USING (l_orderkey) JOIN orders ON l_orderkey = o_orderkey), {linear_sql.sums(6)}"""
+SIX_STEPS = f"WITH {SIX_SQL}, {linear_sql.steps(6)}, {linear_sql.errors(6, 'sub', 'sub_err')}, {linear_sql.SIZES}"
+SIX_PENALTIES = f"WITH RECURSIVE {SIX_SQL}, {linear_sql.penalties(6)}, {linear_sql.errors(6, 'pen', 'pen_err')}, {linear_sql.CV}"
+
+
+def _six(spark, sf, *models):
+    extra = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_tax").alias("x4"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    parts = materialize(_parts(spark, sf).join(extra, "l_orderkey").join(orders, "l_orderkey"), "six")
+    design = fit_design(parts, "y", SIX["all"])
+    return design, fit_models(parts, design, "_part", SIX, models)
+
+
+@query("l6_cv_subset_size_six", f"{SIX_STEPS} SELECT model, step, round(cv_mse, 4) AS cv_mse FROM sizes")
+def l6_six(spark, sf):
+    """Both directions over six terms, ten folds."""
+    paths = _six(spark, sf, FORWARD, BACKWARD)[1]
+    return subset_errors(paths).select("model", "step", r6("cv_mse", 4).alias("cv_mse"))
+
+
+def _six_cv(model: str) -> str:
+    return f"{SIX_PENALTIES} SELECT step, round(lam, 6) AS lambda, round(cvm, 4) AS cvm, round(cvsd, 4) AS cvsd FROM cv WHERE model = '{model}'"
+
+
+@query("l9_ridge_cv_six", _six_cv(RIDGE))
+def l9_six(spark, sf):
+    return _cv_rows(_six(spark, sf, RIDGE)[1])
+
+
+@query("l10_lasso_cv_six", _six_cv(LASSO))
+def l10_six(spark, sf):
+    return _cv_rows(_six(spark, sf, LASSO)[1])
+
+
+@query(
+    "l12_penalized_fit_six",
+    f"""{SIX_PENALTIES}, pick AS (SELECT model, h, arg_min(step, (cvm, step)) AS step FROM cv GROUP BY model, h)
+        SELECT pen.model, {SIX_NAMES}[i - 1] AS term, round(beta, 5) AS beta, round(mse, 4) AS mse FROM pen JOIN pick USING (model, h, step)
+        JOIN pen_err USING (model, h, fold, step) WHERE fold = 0 AND beta <> 0""",
+)
+def l12_six(spark, sf):
+    """Coefficients and test error of the chosen penalties."""
+    design, paths = _six(spark, sf, RIDGE, LASSO)
+    fits = final_fits(paths)
+    terms = coefficients(fits, design).where("term <> '(Intercept)'").join(fits.select("model", "mse"), "model")
+    return terms.select("model", "term", r6("beta", 5).alias("beta"), r6("mse", 4).alias("mse"))
+
+
 @query(
     "forecast_rows_per_horizon",
     f"""WITH {PARTS_SQL}, late AS (SELECT *, CASE WHEN x3 >= 4 THEN x2 END AS z FROM parts),
@@ -533,7 +588,7 @@ def fitted(spark, sf):
     return forecast(frame(spark, sf), "basket", HORIZONS, ["o_orderkey"])
 
 
-FRAME_SQL = f"""WITH {GAMES_SQL},
+WHOLE_SQL = f"""{GAMES_SQL},
   h AS (SELECT *, lag(o_orderstatus) OVER t AS last_result, lag(o_totalprice) OVER t AS last_value,
       CASE WHEN count(*) OVER b = 3 THEN sum(o_totalprice) OVER b END AS last3,
       sum(o_totalprice) OVER (PARTITION BY o_custkey, season ORDER BY o_orderdate, o_orderkey) AS season_value,
@@ -553,8 +608,8 @@ FRAME_SQL = f"""WITH {GAMES_SQL},
       round(season_so_far, 2) AS season_so_far, round(coalesce(met, mean), 2) AS last_meeting, round(d10, 2) AS d10,
       round(d7, 2) AS d7, round(d3, 2) AS d3, round(basket, 2) AS basket
     FROM h2 LEFT JOIN customer ON o_custkey = c_custkey LEFT JOIN sales ON o_orderkey = l_orderkey
-      LEFT JOIN g ON h2.band = g.band)
-  SELECT * FROM whole WHERE COLUMNS(*) IS NOT NULL"""
+      LEFT JOIN g ON h2.band = g.band)"""
+FRAME_SQL = f"WITH {WHOLE_SQL} SELECT * FROM whole WHERE COLUMNS(*) IS NOT NULL"
 
 
 @query("complete_model_frame", FRAME_SQL)
@@ -683,3 +738,77 @@ def _scenarios(spark, sf):
 def whole_scenarios(spark, sf):
     """What-if rows scored by the best of all families, with days and label text."""
     return scoring.scenario_table(fitted(spark, sf).scenarios(_scenarios(spark, sf)))
+
+
+# The whole way with all predictors for the four families that SQL can follow: dummies, rows per horizon, ten folds.
+FOUR = (FULL, FORWARD, BACKWARD, RIDGE)
+BOARD_TERMS = 19
+DUMMIES = {
+    "o_orderpriority": ["2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"], "c_mktsegment": ["BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"],
+    "last_result": ["O", "P"], "summer": ["1"],
+}
+MEASURED = ["c_acctbal", "month", "week", "last_value", "last3", "season_so_far", "last_meeting"]
+SALES_OF = {"måned1": None, "dag10": "d10", "dag7": "d7", "dag3": "d3"}
+
+
+def _row_sql(sales: str | None, source: str, target: str) -> str:
+    """[1, terms, target] of a row, numbers measured from the means of the whole frame."""
+    marks = [f"({c} = '{level}')::INTEGER::DOUBLE" for c, levels in DUMMIES.items() for level in levels]
+    numbers = [f"{c} - (SELECT avg({c}) FROM aimed)" for c in MEASURED]
+    numbers.append(f"{sales} - (SELECT avg({sales}) FROM aimed)" if sales else "0.0::DOUBLE")
+    return f"[1.0::DOUBLE, {', '.join(marks + numbers)}, {target}]"
+
+
+UNROUNDED_SQL = WHOLE_SQL
+for _c, _x in {"last3": "last3", "season_so_far": "season_so_far", "coalesce(met, mean)": "last_meeting", "d10": "d10", "d7": "d7", "d3": "d3", "basket": "basket"}.items():
+    UNROUNDED_SQL = UNROUNDED_SQL.replace(f"round({_c}, 2) AS {_x}", f"{_c} AS {_x}")
+
+FOUR_SQL = f"""{UNROUNDED_SQL},
+  aimed AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY md5(o_orderkey::VARCHAR || '|2')) <=
+      floor(0.7::DOUBLE * (SELECT count(*) FROM whole WHERE basket IS NOT NULL)) AS train FROM whole WHERE basket IS NOT NULL),
+  dealt AS MATERIALIZED (SELECT *, CASE WHEN train THEN ntile(10) OVER (PARTITION BY train ORDER BY md5(o_orderkey::VARCHAR || '|3')) ELSE 0 END::INTEGER
+      AS part FROM aimed),
+  every AS (""" + " UNION ALL ".join(
+    f"SELECT '{h}' AS h, part, {_row_sql(x, 'dealt', 'basket - (SELECT avg(basket) FROM aimed)')} AS r FROM dealt" for h, x in SALES_OF.items()
+) + f"""),
+  v AS MATERIALIZED (SELECT * FROM every WHERE len(list_filter(r, lambda x: x IS NULL)) = 0), {linear_sql.sums(BOARD_TERMS)},
+  {linear_sql.steps(BOARD_TERMS)}, {linear_sql.errors(BOARD_TERMS, 'sub', 'sub_err')}, {linear_sql.SIZES},
+  {linear_sql.ridge(BOARD_TERMS)}, {linear_sql.errors(BOARD_TERMS, 'pen', 'pen_err')}, {linear_sql.CV}, {linear_sql.CHOSEN},
+  final AS MATERIALIZED (SELECT model, h, step, mse FROM sub_err JOIN chosen USING (model, h, step) WHERE fold = 0 UNION ALL
+    SELECT model, h, step, mse FROM pen_err JOIN chosen USING (model, h, step) WHERE fold = 0 UNION ALL
+    SELECT 'Full Linear', h, max(step), arg_max(mse, step) FROM sub_err WHERE model = '{BACKWARD}' AND fold = 0 GROUP BY h)"""
+
+
+def four(spark, sf):
+    return forecast(frame(spark, sf), "basket", HORIZONS, ["o_orderkey"], FOUR)
+
+
+@query(
+    "forecast_leaderboard_four",
+    f"WITH {FOUR_SQL} SELECT model, " + ", ".join(f"round(sqrt(max(mse) FILTER (h = '{h}')), 2) AS \"{h}\"" for h in SALES_OF) + " FROM final GROUP BY model",
+)
+def four_board(spark, sf):
+    board = four(spark, sf).leaderboard(root=True)
+    return board.select("model", *[r6(h, 2).alias(h) for h in HORIZONS])
+
+
+WHAT_SQL = """what(scenario, o_orderpriority, c_mktsegment, last_result, summer, c_acctbal, month, week, last_value, last3, season_so_far, last_meeting,
+    d10, d7, d3) AS (VALUES ('Best Case', '1-URGENT', 'BUILDING', 'F', '0', 5000.0::DOUBLE, 2, 7, 400000.0::DOUBLE, 900000.0::DOUBLE, 900000.0::DOUBLE,
+      300000.0::DOUBLE, 90000.0::DOUBLE, 150000.0::DOUBLE, 220000.0::DOUBLE),
+    ('Worst Case', '5-LOW', 'BUILDING', 'O', '0', -500.0, 2, 7, 20000.0, 90000.0, 20000.0, 30000.0, 0.0, 20000.0, 60000.0))"""
+
+
+@query(
+    "forecast_scenarios_four",
+    f"""WITH {FOUR_SQL}, {WHAT_SQL}, best AS (SELECT h, arg_min(model, (round(mse, 1), list_position(['{"', '".join(FOUR)}'], model))) AS model,
+          arg_min(step, (round(mse, 1), list_position(['{"', '".join(FOUR)}'], model))) AS step FROM final GROUP BY h),
+        u AS (SELECT * FROM sub_err_u WHERE fold = 0 UNION ALL SELECT * FROM pen_err_u WHERE fold = 0 UNION ALL
+          SELECT 'Full Linear', h, fold, step, i, u FROM sub_err_u WHERE model = '{BACKWARD}' AND fold = 0),
+        asked AS (""" + " UNION ALL ".join(f"SELECT '{h}' AS h, scenario, {_row_sql(x, 'what', '-(SELECT avg(basket) FROM aimed)')} AS r FROM what" for h, x in SALES_OF.items()) + f""")
+        SELECT scenario, best.h AS horizon, best.model, round(sum(u * r[i]), 1) AS predicted
+        FROM best JOIN u ON u.h = best.h AND u.model = best.model AND u.step = best.step JOIN asked ON asked.h = best.h GROUP BY ALL""",
+)
+def four_scenarios(spark, sf):
+    """What-if rows scored by the best of four families per horizon."""
+    scored = four(spark, sf).scenarios(_scenarios(spark, sf))
+    return scored.select("scenario", "horizon", "model", r6("predicted", 1).alias("predicted"))
