@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gatecast.functions import dates
 from gatecast.models import blocked, scoring
+from gatecast.models.wide_lasso import lasso_paths
 from gatecast.models.design import complete_rows, design_matrix, fit_design
 from gatecast.models.fits import (
     BACKWARD, FORWARD, FULL, LASSO, PATHS, RIDGE, coefficients, final_fits, fit_models, penalties, penalty_errors, subset_errors,
@@ -511,6 +512,24 @@ def l10_six(spark, sf):
     return _cv_rows(_six(spark, sf, LASSO)[1])
 
 
+@query(
+    "l10_lasso_certified",
+    f"""{SIX_PENALTIES} SELECT step, round(lam, 6) AS lambda, string_agg(CASE WHEN abs(beta) < 1e-9 THEN '0' WHEN beta > 0 THEN '+' ELSE '-' END, '' ORDER BY i) AS signs,
+        round(any_value(cvm), 4) AS cvm, true AS certified FROM pen JOIN cv USING (model, h, step) WHERE model = '{LASSO}' AND fold = 0 GROUP BY step, lam""",
+)
+def l10_certified(spark, sf):
+    """The path by screened coordinate descent over blocks: signs, errors, and whether the duality gaps of all folds are below 1e-8."""
+    extra = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sum("l_tax").alias("x4"))
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_orderstatus")
+    parts = materialize(_parts(spark, sf).join(extra, "l_orderkey").join(orders, "l_orderkey"), "six")
+    design = fit_design(parts, "y", SIX["all"])
+    paths = materialize(lasso_paths(parts, design, "_part", "all", PATHS, LASSO, size=4), "paths")
+    sign = lambda b: F.when(F.abs(b) < 1e-9, "0").when(b > 0, "+").otherwise("-")
+    signs = paths.where("fold = 0").select("step", F.array_join(F.transform("betas", sign), "").alias("signs"))
+    sure = paths.groupBy("step").agg(((F.max("gap") < 1e-8) & (F.max("breach") < 1e-8)).alias("certified"))
+    return _cv_rows(paths).drop("cvsd").join(signs, "step").join(sure, "step")
+
+
 @query(
     "l12_penalized_fit_six",
     f"""{SIX_PENALTIES}, pick AS (SELECT model, h, arg_min(step, (cvm, step)) AS step FROM cv GROUP BY model, h)

@@ -5,7 +5,7 @@ from pyspark.ml.feature import RFormula, VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import functions as F
 
-from gatecast.models import blocked, fits, scoring, solvers
+from gatecast.models import blocked, fits, scoring, solvers, wide_lasso
 from gatecast.models.design import complete_rows, completeness, design_matrix, fit_design, horizon_mask, prediction
 from gatecast.models.gram import fold_grams, gram, square
 from gatecast.plans.forecast import forecast
@@ -426,3 +426,25 @@ def test_three_thousand_levels(spark):
     x = np.column_stack([train.x, train.g == "1234", train.g == "77"]).astype(float)
     b = ols(x, train.y.to_numpy())
     np.testing.assert_allclose(last.rss, np.sum((train.y - b[0] - x @ b[1:]) ** 2), rtol=1e-8)
+
+
+def test_screened_descent_equals_the_packed_lasso(crossed):
+    table, d = crossed
+    theirs = fits.fit_models(table, d, "_part", {"all": list(d.predictors)}, [fits.LASSO], 3).toPandas()
+    ours = wide_lasso.lasso_paths(table, d, "_part", "all", fits.PATHS, fits.LASSO, 3, size=8).toPandas()
+    both = theirs.merge(ours, on=["horizon", "model", "fold", "step"], suffixes=("", "_b"))
+    assert len(both) == len(theirs) == len(ours) == 400
+    assert ours.gap.max() < 1e-8 and ours.breach.max() < 1e-8
+    for c in ("lambda", "n", "mse", "rss"):
+        np.testing.assert_allclose(both[c], both[f"{c}_b"], rtol=1e-6)
+    # x3 is a multiple of x1, so only what they do together is determined.
+    k, twice = [[t.name for t in d.terms].index(c) for c in ("x1", "x3")]
+    flat = lambda rows: np.array([np.append(np.delete(b, [k, twice]), b[k] + 2 * b[twice]) for b in map(np.array, rows)])
+    np.testing.assert_allclose(flat(both.betas), flat(both.betas_b), atol=1e-6)
+
+
+def test_a_path_ends_where_it_would_need_too_many_columns(crossed):
+    table, d = crossed
+    short = wide_lasso.lasso_paths(table, d, "_part", "all", fits.PATHS, fits.LASSO, 3, max_size=6, size=64).toPandas()
+    assert 0 < short.step.max() < 100 and short["size"].max() <= 6
+    assert len(short) == 4 * short.step.max()
