@@ -1,8 +1,10 @@
 """Pages, urls, the mix, the registered queries and the pipeline."""
 
 import collections
+import html.parser
 import os
 import random
+import time
 
 import duckdb
 import pytest
@@ -53,6 +55,111 @@ def test_math_and_fallback_text_stay_and_drawings_give_none():
     assert "".join(b.text + "|" for b in H.blocks_of(page)).replace("| ", "|") == "Let|x|A fallback.|End.|"
 
 
+LONG = "The water rose for three days and nobody in the town could remember such a spring, so all went to look."
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="layout has-sidebar"><article><p>{LONG}</p></article><div class="sidebar"><p>{LONG}x</p></div></div>',
+        f'<div class="page-header-wrapper sidebar"><main class="no-sidebar"><p>{LONG}</p></main></div>',
+        f'<article class="post share-enabled"><p>{LONG}</p><div class="share"><p>{LONG}</p></div></article>',
+        f'<div id="legal"><p>{LONG}</p></div><div class="ad">Buy two.</div>',
+        f'<body class="with-menu"><article><p>{LONG}</p></article><article class="comment"><p>{LONG}y</p></article></body>',
+    ],
+)
+def test_names_of_wrappers_do_not_lose_the_article(page, tree):
+    assert H.main_text(page, tree) == LONG
+
+
+def test_most_words_in_comments_do_not_make_them_an_article(tree):
+    assert H.main_text(f'<p>{LONG}</p><div class="comments"><p>{LONG}</p><p>{LONG}</p></div>', tree) == LONG
+
+
+def test_neighbours_decide(spark, tree):
+    """A short line between links goes, the same line between paragraphs stays; without the neighbours' features the tree cannot tell."""
+    listed = "<div><a href=/1>Ferries wait for spring</a></div><div>Two hours ago</div>" * 4 + "<div><a href=/2>All ferries of the day</a></div>"
+    text = f"<div>{LONG}</div><div>Two hours ago</div>" * 3
+    assert H.main_text(listed, tree) == ""
+    assert H.main_text(text, tree) == f"{LONG}\nTwo hours ago\n{LONG}\nTwo hours ago\n{LONG}\nTwo hours ago"
+    assert {H.FEATURES[node[0]] for node in tree if node[0] >= 0} & {"words_before", "words_after", "link_density_before", "link_density_after"}
+    blocks = H.blocks_of(listed + text + listed)
+    short = [row for row, block in zip(H.feature_rows(blocks), blocks) if block.text == "Two hours ago"]
+    alone = [[*row[:2], 0.0, 0.0, 0.0, 0.0, *row[6:]] for row in short]
+    assert len({H.is_content(row, tree) for row in short}) == 2 and len({H.is_content(row, tree) for row in alone}) == 1
+
+
+def test_references_do_not_go_across_tags():
+    assert [b.text for b in H.blocks_of("<p>a &am<b>p;</b> &lt;b&gt; &eacute;&#x41;</p>")] == ["a &amp; <b> éA"]
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<a " * 120_000, "<a '" * 90_000, "<a \"'>" * 60_000, "<div>" * 30_000 + "</x>" * 30_000, "<b>" * 25_000 + "</i>" * 25_000 + "<hr>" * 25_000,
+        "<p><div>" + "<b>" * 25_000 + "<hr>" * 25_000, "<script>" + "</script " * 120_000, "<!--" * 90_000, "<" * 1_000_000, "<li>" * 30_000,
+        '<div class="ad">' * 20_000 + "x <p>" * 20_000,
+    ],
+)
+def test_hostile_pages_take_linear_time(page):
+    began = time.perf_counter()
+    H.blocks_of(page)
+    assert time.perf_counter() - began < 10
+
+
+def plain_blocks(page):
+    """Texts of the blocks by the standard library's parser, for well-formed pages."""
+
+    class Reader(html.parser.HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.out, self.now, self.quiet = [], "", 0
+
+        def cut(self):
+            text = " ".join(self.now.split())
+            self.out, self.now = self.out + [text] * bool(text), ""
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in H.INLINE:
+                self.cut()
+            self.now += " " * (tag == "br")
+            self.quiet += tag in ("script", "style", "noscript")
+
+        def handle_endtag(self, tag):
+            if tag not in H.INLINE:
+                self.cut()
+            self.quiet -= tag in ("script", "style", "noscript")
+
+        def handle_data(self, data):
+            self.now += data * (not self.quiet)
+
+    reader = Reader()
+    reader.feed(page)
+    reader.close()
+    reader.cut()
+    return reader.out
+
+
+def random_element(depth):
+    tag = random.choice(["div", "p", "b", "a href='x>y'", "section", "li", 'span title="a>b"', "article", "nav", "h2", "script", "br", "!--"])
+    name = tag.split()[0]
+    if name == "br":
+        return "<br>"
+    if name == "!--":
+        return "<!-- <p>no</p> -->"
+    if name == "script":
+        return "<script>if (a < b) { '<p>' }</script>"
+    inner = "".join(random.choice(["one two", " &amp; ", "é", "&lt;p&gt;", "\n"]) if depth > 3 or random.random() < 0.5 else random_element(depth + 1) for _ in range(random.randint(0, 4)))
+    return f"<{tag}>{inner}</{name}>"
+
+
+def test_blocks_equal_the_library_parser_on_well_formed_pages():
+    random.seed(12)
+    for _ in range(400):
+        page = "<html><body>" + "".join(random_element(0) for _ in range(4)) + "</body></html>"
+        assert [b.text for b in H.blocks_of(page)] == plain_blocks(page), page
+
+
 def test_pages_table(spark, tree):
     rows = [(1, "u", None), (2, None, ""), (None, "u", "<p>Some text that stands alone here.</p>"), (3, "u", "<article><p>é" + " x" * 40_000 + "</article>"), (3, "u", "<nav>n</nav>")]
     pages = spark.createDataFrame([(i, u, h, "t", 3) for i, u, h in rows], "page_id long, url string, html string, text string, n_chars int")
