@@ -121,13 +121,16 @@ def key_filter(keys: DataFrame, key: Column, count: int, most_words: int = MOST_
     return keys.select(word.alias("word"), bits.alias("bits")).groupBy("word").agg(F.bit_or("bits").alias("mask"))
 
 
-def may_match(rows: DataFrame, filtered: DataFrame | None, key: Column, count: int) -> DataFrame:
-    """The rows whose key may be one of the ``count`` keys of ``key_filter``: all that are, and few others. Nothing is exchanged."""
+def may_match(rows: DataFrame, filtered: DataFrame | None, key: Column, count: int, how: str = "left_semi") -> DataFrame:
+    """The rows whose key may be one of the ``count`` keys of ``key_filter``: all that are, and few others. Nothing is exchanged.
+
+    With ``how="left_anti"`` the rows whose key is none of them for sure.
+    """
     if filtered is None:
-        return rows
+        return rows if how == "left_semi" else rows.limit(0)
     word, bits = _word_and_bits(key, 1 << max(0, (count - 1) // KEYS_PER_WORD).bit_length())
     small = F.broadcast(filtered)
-    return rows.join(small, (word == small["word"]) & (small["mask"].bitwiseAND(bits) == bits), "left_semi")
+    return rows.join(small, (word == small["word"]) & (small["mask"].bitwiseAND(bits) == bits), how)
 
 
 def keyed_lookup_large(observations: DataFrame, wanted: DataFrame, key: str, wanted_key: str, most_words: int = MOST_WORDS) -> DataFrame:
@@ -144,3 +147,15 @@ def keyed_lookup_large(observations: DataFrame, wanted: DataFrame, key: str, wan
     asked = observations[key].cast(kind)
     near = may_match(observations.where(asked.isNotNull()), key_filter(keys, F.col("_key"), count, most_words), asked, count)
     return near.join(keys.hint("shuffle_hash"), asked == keys["_key"], "left_semi")
+
+
+def without_keys(rows: DataFrame, unwanted: DataFrame, key: str, most_words: int = MOST_WORDS) -> DataFrame:
+    """The rows whose ``key`` (of the same type and name on both sides, not null) is not in ``unwanted``, which holds each key once and is stored.
+
+    Rows that the filter clears stay where they are; the few others are exchanged for an exact anti join, at every size.
+    """
+    count = unwanted.count()
+    filtered = key_filter(unwanted, F.col(key), count, most_words)
+    asked = may_match(rows, filtered, rows[key], count)
+    left = asked.join(unwanted.select(F.col(key).alias("_key")).hint("shuffle_hash"), asked[key] == F.col("_key"), "left_anti")
+    return left if filtered is None else may_match(rows, filtered, rows[key], count, "left_anti").unionByName(left)

@@ -195,3 +195,12 @@ def test_key_filter_passes_all_keys_and_few_others(spark):
     passed = joins.may_match(others, filtered, F.col("id"), 10_000)
     assert passed.count() < 4_000
     assert "Exchange hashpartitioning(id" not in passed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_without_keys(spark):
+    table = spark.range(2000).withColumn("a.b", F.lit(1)).withColumn("text", F.col("id").cast("string"))
+    for most in (joins.MOST_WORDS, 4):
+        got = joins.without_keys(table, spark.range(500, 900), "id", most)
+        assert got.columns == table.columns
+        assert sorted(r.id for r in got.collect()) == [*range(500), *range(900, 2000)]
+        assert joins.without_keys(table, spark.range(0), "id", most).count() == 2000
