@@ -6,7 +6,7 @@ A bucket's gain is floor(1000 * ln((t + 1)(S + B) / ((s + 1)(T + B)))), a docume
 gains of its features. A document's score is its weight plus Gumbel noise from a digest of its id; the documents of the
 highest scores are the sample, drawn without replacement in proportion to exp(weight / 1000).
 
-Head and tail: the ``HEAD`` most frequent words of all documents, and the ``HEAD`` most frequent pairs where runs have more
+Head and tail: up to ``HEAD`` most frequent words of all documents, and up to ``HEAD`` most frequent pairs where runs have more
 than one word, are broadcast with the CRC state after them (a few MB, whatever the corpus). A run's CRC goes on from the
 state of its words before, so a run of head words costs one look-up. All others take the CRC of their bytes from
 there. Both give the same number for the same bytes; the head only saves time, and no feature is left out.
@@ -83,7 +83,11 @@ def feature_states(found: list[bytes], head: Head, grams: int) -> list[int]:
 
 
 def frequent_runs(texts: DataFrame, length: int, most: int = HEAD) -> list[tuple[bytes, ...]]:
-    """The ``most`` most frequent runs of ``length`` words of all texts, counted exactly."""
+    """Up to ``most`` most frequent runs of ``length`` words of all texts, counted exactly.
+
+    Runs of about one frequency (within a twelfth part of a doubling) come together or not at all, so the driver
+    gets ``most`` rows at most, and a row per frequency before that.
+    """
 
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter[tuple[bytes, ...] | bytes] = Counter()
@@ -102,7 +106,15 @@ def frequent_runs(texts: DataFrame, length: int, most: int = HEAD) -> list[tuple
         return pd.DataFrame({"run": list(joined), "n": list(seen.values())}, columns=["run", "n"])
 
     summed = texts.select("text").mapInPandas(counts, "run binary, n long").groupBy("run").agg(F.sum("n").alias("n"))
-    return [tuple(bytes(row["run"]).split(b" ")) for row in summed.orderBy(F.desc("n"), "run").limit(most).collect()]
+    stored = materialize(summed.withColumn("level", F.floor(12 * F.log2("n")).cast("int")), "resample-runs")
+    least, held = None, 0
+    for row in sorted(stored.groupBy("level").count().collect(), reverse=True):  # some hundreds of levels
+        held += row["count"]
+        if held > most:
+            break
+        least = row["level"]
+    frequent = stored.where(F.col("level") >= least) if least is not None else stored.limit(0)
+    return [tuple(bytes(row["run"]).split(b" ")) for row in frequent.select("run").collect()]
 
 
 def bucket_totals(texts: DataFrame, head: Head, grams: int, buckets: int = BUCKETS) -> np.ndarray:

@@ -30,6 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm.common import free_name, per_text, quoted
+from gatecast.operators.joins import without_keys
 from gatecast.session import made_paths, materialize, remove_since
 
 ROUNDS = 60  # of label spreading; every round at least squares the reach, so no table gets near it
@@ -159,7 +160,8 @@ def simhash_components(docs: DataFrame, id_column: str = "doc_id", text: str = "
 def without_near_copies(docs: DataFrame, text: str = "text", words: int = 4, max_bits: int = 4) -> DataFrame:
     """``docs`` with one row of each component: the one of smallest ``doc_id`` (null last, then any), same columns.
 
-    Only ids, fingerprints and row numbers are exchanged, but for the last join, which drops rows of the stored ``docs``.
+    Ids, fingerprints and row numbers are exchanged, and the rows that go, with the few that a filter of their numbers
+    cannot tell from them; all others stay where they are stored.
     """
     names = [free_name(docs.columns, "near_row"), free_name(docs.columns, "near_print")]
     stored = materialize(docs.withColumns({names[0]: F.monotonically_increasing_id(), names[1]: fingerprint(quoted(text), words)}), "near-docs")
@@ -167,6 +169,7 @@ def without_near_copies(docs: DataFrame, text: str = "text", words: int = 4, max
     place = F.struct(F.col("id").isNull().alias("missing"), "id", "row")
     prints = materialize(rows.groupBy("fp").agg(F.min(place).alias("place")), "near-distinct")
     found = components(links(prints.select("fp"), max_bits, blocks_for(prints.count(), max_bits)), "near-components")
-    named = prints.join(found, prints["fp"] == found["node"], "left").select("place", F.coalesce("root", "fp").alias("root"))
-    kept = named.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("row"))
-    return stored.join(kept, stored[names[0]] == kept["row"], "left_semi").select(*map(quoted, docs.columns))
+    named = prints.join(found, prints["fp"] == found["node"], "left").select("fp", "place", F.coalesce("root", "fp").alias("root"))
+    kept = named.groupBy("root").agg(F.min("place").alias("place")).select(F.col("place.row").alias("kept"))
+    gone = rows.join(kept, rows["row"] == kept["kept"], "left_anti").select(F.col("row").alias(names[0]))
+    return without_keys(stored, materialize(gone, "near-gone"), names[0]).select(*map(quoted, docs.columns))
