@@ -49,6 +49,8 @@ DIALLED = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 # Shapes of candidates: numbers in groups, and hexadecimal addresses.
 GROUPED = re.compile(r"\(?[0-9][\x20().0-9-]{5,}[0-9]")
 COLONS = re.compile(r"(?<![0-9A-Za-z:])[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{0,4}){3,7}(?![0-9A-Za-z:])")
+GROUP = re.compile(r"[^\x20]+")
+WORD = re.compile(r"\w+")
 ANY = re.compile("[0-9@]")
 SPACES = " \t\n\r\x0b\x0c"
 TRIM = ".,;:!?()[]{}<>\"'|"
@@ -104,7 +106,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Stretches that look like an identifier and touch no base span; each has one kind."""
+    """Stretches that look like an identifier and touch no base span; each has one kind. Runs of digits are cut around base spans and into their numbers."""
     starts: list[int] = []  # of the stretches that base spans cover, and their ends
     ends: list[int] = []
     for a, b in sorted((a, b) for _, a, b in taken):
@@ -128,30 +130,89 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
             b += 1
         word = text[a:b]
         a, stop = a + len(word) - len(word.lstrip(TRIM)), a + len(word.rstrip(TRIM))
-        if a < at < stop - 1 and stop - a <= 320 and free(a, stop):
+        if a < at < stop - 1 and free(a, stop):
             found.append((EMAIL, a, stop))
         at = text.find("@", b)
     found += [(IP, *m.span()) for m in COLONS.finditer(text) if free(*m.span())]
     for match in GROUPED.finditer(text):
-        digits = sum(map(str.isdigit, match[0]))
-        if free(*match.span()):
-            if match[0].count(".") == 3 and all(match[0].split(".")) and match[0].replace(".", "").isdigit():
-                found.append((IP, *match.span()))
-            elif 7 <= digits <= 11:
-                found.append((PHONE, *match.span()))
-            elif 12 <= digits <= 19:
-                found.append((CARD, *match.span()))
+        at, end = match.span()
+        k = bisect_left(ends, at + 1)  # the first stretch that ends behind the run's start
+        while at < end:  # the parts of the run between the base spans
+            a, b = (starts[k], ends[k]) if k < len(starts) and starts[k] < end else (end, end)
+            found += numbers(text, at, min(a, end))
+            at, k = max(at, b), k + 1
     return found
 
 
+def numbers(text: str, start: int, end: int) -> list[tuple[int, int, int]]:
+    """The numbers in a run of digits, brackets, dots, hyphens and spaces.
+
+    A group without a space that has seven digits or more is a number, with a bracketed group or one of up to three digits right
+    before it. What is left between such numbers is one number if it has 7 to 19 digits; a longer rest is cut from the left into
+    numbers of as many groups as make up to eleven digits.
+    """
+    groups = []  # [start, end, digits], a bracketed group with the one that follows it
+    for group in GROUP.finditer(text, start, end):
+        digits = sum(map(str.isdigit, group[0]))
+        if groups and text[groups[-1][0]] == "(" and text[groups[-1][1] - 1] == ")":
+            groups[-1][1:] = [group.end(), groups[-1][2] + digits]
+        else:
+            groups.append([*group.span(), digits])
+    found, loose = [], []
+
+    def flush() -> None:
+        total = sum(g[2] for g in loose)
+        if total <= 19:
+            if loose:
+                found.append((loose[0][0], loose[-1][1], total))
+        else:
+            at = 0
+            while at < len(loose):
+                to, digits = at + 1, loose[at][2]
+                while to < len(loose) and digits + loose[to][2] <= 11:
+                    digits += loose[to][2]
+                    to += 1
+                found.append((loose[at][0], loose[to - 1][1], digits))
+                at = to
+        loose.clear()
+
+    for group in groups:
+        if group[2] >= 7:
+            before = loose.pop() if loose and loose[-1][2] <= 3 and loose[-1][2] + group[2] <= 11 and text[group[0]] != "(" else None
+            flush()
+            found.append((before[0] if before else group[0], group[1], group[2] + (before[2] if before else 0)))
+        else:
+            loose.append(group)
+    flush()
+    out = []
+    for a, b, digits in found:
+        whole = text[a:b].rstrip("(). -")
+        shift = len(whole) - len(whole.lstrip(").- "))
+        whole, a = whole[shift:], a + shift
+        kind = IP if whole.count(".") == 3 and all(whole.split(".")) and whole.replace(".", "").isdigit() else PHONE if digits <= 11 else CARD
+        if kind == IP or 7 <= digits <= 19:
+            out.append((kind, a, a + len(whole)))
+    return out
+
+
+def letter(c: str) -> bool:
+    return c.isalnum() or c == "_"
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical contexts of a stretch of text, in lower case; the text's ends are words of their own."""
-    left = [w.strip(TRIM).lower() for w in text[max(0, start - 80) : start].split()] if start else []
-    right = [w.strip(TRIM).lower() for w in text[end : end + 40].split()]
-    left, right = [w for w in left if w], [w for w in right if w]
-    one = left[-1] if left else "^"
-    two = left[-2] if len(left) > 1 else "^"
-    after = right[0] if right else "$"
+    """The lexical contexts of a stretch of text: the nearest words (letters, digits, underscores), however far, in lower case; the text's ends are words of their own."""
+    left, at = [], start
+    while at > 0 and len(left) < 2:
+        while at > 0 and not letter(text[at - 1]):
+            at -= 1
+        stop = at
+        while at > 0 and letter(text[at - 1]):
+            at -= 1
+        if stop > at:
+            left.append(text[at:stop].lower())
+    following = WORD.search(text, end)
+    one, two = [*left, "^", "^"][:2]
+    after = following[0].lower() if following else "$"
     return [f"{one} _", f"{two} {one} _", f"{one} _ {after}"]
 
 

@@ -154,6 +154,55 @@ def test_long_runs_take_linear_time():
         P.examined(text)
 
 
+def test_patterns_find_their_words_however_far():
+    text = "please call" + " " * 90 + "555-123-4567" + "." * 500 + " today"
+    assert P.patterns(text, 101, 113) == ["call _", "please call _", "call _ today"]
+    assert P.patterns("555-1234", 0, 8) == ["^ _", "^ ^ _", "^ _ $"]
+    word = "w" * 3000
+    assert P.patterns(f"{word} 555-1234 {word}é!", 3001, 3009) == [f"{word} _", f"^ {word} _", f"{word} _ {word}é"]
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("555-123-4567 555-987-6543", [("phone", "555-123-4567"), ("phone", "555-987-6543")]),
+        ("2025 555-123-4567", [("phone", "555-123-4567")]),
+        ("call 988 555-2485, (988) 555-2485.", [("phone", "988 555-2485"), ("phone", "(988) 555-2485")]),
+        ("555 123 4567 555 987 6543 555 111 2222", [("phone", "555 123 4567"), ("phone", "555 987 6543"), ("phone", "555 111 2222")]),
+        ("4111 1111 1111 1112", [("card", "4111 1111 1111 1112")]),
+        ("42.1.2.3 555-123-4567", [("phone", "555-123-4567")]),
+        ("+1 (988) 555-2485 then 300.1.2.3 and 12 34", [("ip", "300.1.2.3")]),
+        ("555-1234)- 12", [("phone", "555-1234")]),
+        ("name@" + "host" * 100, [("email", "name@" + "host" * 100)]),
+        ("1 2 3", []),
+    ],
+)
+def test_candidates_are_whole_numbers(text, want):
+    assert [(P.KINDS[k], text[a:b]) for k, a, b in P.candidates(text, P.base_spans(text))] == want
+
+
+def test_candidates_touch_no_base_span_and_each_other():
+    random.seed(13)
+    bits = ["1", "23", "555-1234", " ", " ", "-", ".", "(", ")", "+1 (988) 555-2485", "4539578763621486", "42.1.2.3", "2024", "x", "a@b.c", "q@r"]
+    for _ in range(8000):
+        text = "".join(random.choice(bits) for _ in range(random.randint(1, 14)))
+        base = P.base_spans(text)
+        more = P.candidates(text, base)
+        spans = sorted((a, b) for _, a, b in more)
+        assert all(a >= d or b <= c for a, b in spans for _, c, d in base), text
+        numbers = sorted((a, b) for k, a, b in more if k != P.EMAIL)
+        assert all(b <= c for (_, b), (c, _) in zip(numbers, numbers[1:])), text
+        for k, a, b in more:
+            assert a < b and (k == P.EMAIL or (text[a] in "(0123456789" and text[b - 1].isdigit())), text
+
+
+def test_numbers_beside_others_are_found_by_context(spark):
+    rows = [(k, f"w{k} please call +1 ({200 + k}) 555-{1000 + k} now") for k in range(12)]
+    rows += [(50, "v please call   555-123-4567 555-987-6543"), (51, "u please call" + " " * 200 + "555-1234567")]
+    got = {r.doc_id: r for r in P.personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[50].spans == "phone:16:28" and got[51].spans == "phone:213:224"
+
+
 def test_contexts_discover_identifiers_and_leave_the_rest(spark):
     rows = [(k, f"{w} please call +1 ({200 + k}) 555-{1000 + k} now") for k, w in enumerate("abcdefghijkl")]
     rows += [(50, "dear all please call 555-2345 now"), (51, "the lot number 555-2346 is sold"), (52, None), (53, ""), (None, "call 7"), (50, "dear all please call 555-2345 now")]
