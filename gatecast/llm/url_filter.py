@@ -33,37 +33,40 @@ FEATURES = ["url_length", "host_length", "path_length", "depth", "labels", "hyph
 # Fixed values: (verdict, rule).
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
 
-# A small labelled table: hosts of each class, under the paths below.
-BAD_HOSTS = """
-casino-win.example.com best-casino.example.org online-casino-bonus.example.com slots-win.example.org free-bets.example.com
-bets-bonus.example.org sport-bets.example.com poker-free-chips.example.org cheap-pills.example.com pills-online.example.org
-cheap-meds24.example.com pharma-discount.example.org buy-viagra-cheap.example.com adult-x.example.com adult-cams.example.org
-xxx-video.example.com sex-chat.example.org hot-adult-dates.example.com ads-track.example.org track-click.example.com
-ads-server.example.org adclick.example.com tracker-pixel.example.org popup-ads.example.com spam-farm.example.org link-farm.example.com
-seo-spam.example.org mail-spam.example.com free-prize-win.example.org win-iphone-free.example.com cheap-loans.example.org
-payday-loans24.example.com fast-cash-win.example.org crypto-double.example.com malware-drop.example.org phish-login.example.com
-warez-crack.example.org free-keygen.example.com torrent-free-hd.example.org cheap-replica-watches.example.com
+# A small labelled table: names of hosts of each class, the suffixes they stand under, and paths: those of one class, and some that
+# both have. No host of it needs to be among the judged ones.
+BAD_NAMES = """
+best-casino online-casino-bonus slots-win poker-free-chips sport-bets bets-bonus roulette-king24 pills-online cheap-meds24 pharma-discount
+buy-viagra-cheap adult-cams xxx-video sex-chat hot-adult-dates track-click ads-server adclick tracker-pixel popup-ads link-farm seo-spam mail-spam
+free-prize-win win-iphone-free cheap-loans payday-loans24 fast-cash-win crypto-double malware-drop phish-login warez-crack free-keygen torrent-free-hd
+cheap-replica-watches verify-account-7781 secure-login-update lucky-spin777 hot-offers4u
 """
-GOOD_HOSTS = """
-news.example.org daily-herald.example.com the-times.example.org city-library.example.com university.example.org physics-notes.example.com
-open-data.example.org health-advice.example.com garden.example.org kitchen-recipes.example.com travelnotes.example.org mountain-weather.example.com
-open-source.example.org code-review.example.com python-guide.example.org mathforum.example.com history-museum.example.org art-gallery.example.com
-local-council.example.org parliament.example.com court-records.example.org school-board.example.com language-course.example.org
-dictionary.example.com encyclopedia.example.org book-club.example.com poetry.example.org music-lessons.example.com chess.example.org
-bicycle-repair.example.com river-trust.example.org birdwatch.example.com astronomy.example.org theatre.example.com filmreview.example.org
-railway-times.example.com bus-routes.example.org weather24.example.com therapist.example.org thinkers.example.com
+GOOD_NAMES = """
+news daily-herald the-times city-library university physics-notes open-data health-advice garden kitchen-recipes travelnotes mountain-weather
+open-source code-review python-guide mathforum history-museum art-gallery local-council parliament court-records school-board language-course
+dictionary encyclopedia book-club poetry music-lessons chess bicycle-repair river-trust birdwatch astronomy theatre filmreview railway-times
+bus-routes weather24 therapist thinkers
 """
-PATHS = ["/", "/en/12", "/de/345/", "/en/678.html", "/fr/901?page=2&ref=x", "/es/23?utm_source=feed", "/en/4#top", "/a/b/c/d?id=5&s=7&t=9"]
+BAD_SUFFIXES = ["example.com", "example.org", "example.net", "pages.top", "pages.click", "host.xyz", "host.info"]
+GOOD_SUFFIXES = ["example.com", "example.org", "example.net", "site.edu", "site.org", "site.gov", "pages.net"]
+BOTH_PATHS = ["/", "/en/12", "/de/345/", "/en/678.html", "/fr/901?page=2&ref=x", "/es/23?utm_source=feed", "/en/4#top", "/en/84230.html", "/fr/7817?page=2&ref=x", "/de/59062/"]
+BAD_PATHS = [
+    "/go/out/8841290375?aff=5531&cid=99120&sub=a1&clk=77", "/win/now/free/claim.php?id=7745120&u=9f31&src=pop&n=1&z=88", "/x/1/2/3/4/5/6/index.php?sid=0a9f8e7d6c5b&q=1",
+    "/click?r=84756102938475&aff=12&to=//pay", "/p/90817263/54637281/9182?gclid=81726354&cid=5&t=1&s=2",
+]
+GOOD_PATHS = ["/about", "/news/spring-floods", "/articles/2021/how-to-mend-a-chair", "/wiki/River", "/archive/issue-12/letters.html"]
 PREFIXES = ["", "www.", "blog.", "m."]
 
 
 def labelled_urls(spark: SparkSession) -> DataFrame:
-    """The small labelled table (url, bad): every host under every path, with prefixes in turn."""
-    hosts = [(h, 1) for h in BAD_HOSTS.split()] + [(h, 0) for h in GOOD_HOSTS.split()]
-    listed = spark.createDataFrame([(k, h, bad) for k, (h, bad) in enumerate(hosts)], "k int, host string, bad int")
-    paths = listed.select("k", "host", "bad", F.posexplode(F.array(*map(F.lit, PATHS))).alias("p", "path"))
+    """The small labelled table (url, bad): every name under every path of its class, with suffixes and prefixes in turn."""
+    classes = [(1, BAD_NAMES.split(), BAD_SUFFIXES, BAD_PATHS), (0, GOOD_NAMES.split(), GOOD_SUFFIXES, GOOD_PATHS)]
+    names = [(bad, k, name, suffixes, [*BOTH_PATHS, *paths]) for bad, listed, suffixes, paths in classes for k, name in enumerate(listed)]
+    rows = spark.createDataFrame(names, "bad int, k int, name string, suffixes array<string>, paths array<string>")
+    rows = rows.select("bad", "k", "name", "suffixes", F.posexplode("paths").alias("p", "path"))
     prefix = F.element_at(F.array(*map(F.lit, PREFIXES)), (F.col("k") + F.col("p")) % len(PREFIXES) + 1)
-    return paths.select(F.concat(F.lit("https://"), prefix, "host", "path").alias("url"), "bad")
+    suffix = F.element_at("suffixes", (F.col("k") * 3 + F.col("p")) % F.size("suffixes") + 1)
+    return rows.select(F.concat(F.lit("https://"), prefix, "name", F.lit("."), suffix, "path").alias("url"), "bad")
 
 
 def host_and_path(url: Column) -> tuple[Column, Column]:
@@ -153,8 +156,8 @@ def train(labelled: DataFrame):
     tables = odds(rows, F.array(top(F.col("host")))), odds(rows, F.array_distinct(parts(F.col("host"))))
     if rows.select("bad").distinct().count() < 2:
         return None, tables
-    # Half the time the statistics are hidden from the trees, so that they also learn from what needs no known host.
-    known, unknown = with_features(rows, tables), with_features(rows, ({}, {}))
+    # Half the time the statistics of parts are hidden from the trees, so that they also learn from what needs no known host.
+    known, unknown = with_features(rows, tables), with_features(rows, (tables[0], {}))
     trees = GBTClassifier(featuresCol="features", labelCol="bad", maxIter=TREES, maxDepth=DEPTH, seed=1, stepSize=0.3)
     return trees.fit(known.unionByName(unknown).coalesce(1)), tables
 

@@ -4,6 +4,7 @@ import collections
 import html.parser
 import os
 import random
+import re
 import time
 
 import duckdb
@@ -211,6 +212,34 @@ def test_held_out_hosts(spark):
     assert sum((verdicts[k] == "block") == (k < len(bad)) for k in verdicts) >= 11
 
 
+def test_hosts_of_unseen_parts_are_judged_by_their_shape(spark):
+    """No part of these hosts is in the table: paths, parameters, digits and hyphens have to do."""
+    bad = [f"https://{h}.example.com{p}" for h in ("mega-jackpot-55", "gratis-geld-99", "quick-kredit4u") for p in ("/go/ref/77120983?aff=9&cid=31&s=2", "/claim/now/88/7/6/a.php?id=123&u=4&z=5")]
+    good = [f"https://{h}.example.org{p}" for h in ("beekeeper", "village-choir", "oldmaps") for p in ("/about/us", "/notes/autumn-meeting")]
+    labelled = url_filter.labelled_urls(spark)
+    seen = {part for r in labelled.collect() for part in re.split("[.-]", r.url.split("/")[2])}
+    assert not seen & {"mega", "jackpot", "55", "gratis", "geld", "99", "quick", "kredit4u", "beekeeper", "village", "choir", "oldmaps"}
+    pages = spark.createDataFrame(list(enumerate(bad + good)), "page_id long, url string")
+    verdicts = {r.page_id: r.bad_probability >= 0.5 for r in url_filter.judged(pages, labelled).collect()}
+    right = sum(verdicts[k] == (k < len(bad)) for k in verdicts)
+    print("right on unseen parts:", right, "of", len(verdicts))
+    assert right >= 11
+
+
+def test_paths_matter_to_the_trees(spark):
+    model, _ = url_filter.train(url_filter.labelled_urls(spark))
+    weight = dict(zip(url_filter.FEATURES, model.featureImportances.toArray()))
+    print({k: round(v, 3) for k, v in weight.items()})
+    assert sum(weight[f] for f in ("url_length", "path_length", "depth", "parameters")) > 0.02 and weight["top_odds"] > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no shared tables")
+def test_no_judged_host_is_in_the_labelled_table(spark):
+    hosts = lambda df: {r.host for r in df.select(url_filter.host_and_path(F.col("url"))[0].alias("host")).distinct().collect()}
+    bare = lambda names: {re.sub(r"^(www|blog|m)\.", "", h) for h in names}
+    assert not bare(hosts(url_filter.labelled_urls(spark))) & bare(hosts(spark.read.parquet("/root/testdata/sf0.001/pages.parquet")))
+
+
 def test_urls_without_both_classes(spark):
     pages = spark.createDataFrame([(1, "https://casino.example.org/en/")], "page_id long, url string")
     labelled = spark.createDataFrame([("https://a.b/", 0)], "url string, bad int")
