@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -47,6 +48,7 @@ class _Cells(HTMLParser):
     def __post_init__(self):
         super().__init__(convert_charrefs=True)
         self.open: list[str] = []
+        self.held: Counter[str] = Counter()  # how often each tag is among the open ones
         self.scope: int | None = None if self.within else 0
         self.done = False
         self.count = 0
@@ -104,15 +106,18 @@ class _Cells(HTMLParser):
                 here.cell["href"] = named.get("href")
         if tag not in VOID:
             self.open.append(tag)
+            self.held[tag] += 1
 
     def handle_endtag(self, tag):
         if self.tables and tag in self.cells:
             self.tables[-1].cell = None
-        if self.tables and tag == self.table and tag in self.open:
+        if self.tables and tag == self.table and self.held[tag]:
             self._end_row(self.tables.pop())
-        if tag in self.open:
-            while self.open.pop() != tag:
-                pass
+        while self.held[tag]:  # an element that ends takes those inside it along
+            last = self.open.pop()
+            self.held[last] -= 1
+            if last == tag:
+                break
         if self.within and self.scope is not None and len(self.open) <= self.scope:
             self.finish()
             self.scope, self.done = None, True

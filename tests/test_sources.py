@@ -1,4 +1,5 @@
 import json
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -107,3 +108,12 @@ def test_two_pages_of_a_season_stay_apart(spark):
     got = rows(matches_from_pages(df, page="p").select("page", "runde_nr", "kamp", "row_no"), "page", "row_no")
     assert got == [(1, 1.0, "AAA-BBB", 2), (2, 9.0, "CCC-DDD", 2), (3, None, "EEE-FFF", 1), (3, None, "GGG-HHH", 2)]
     assert matches_from_pages(df).count() == 4
+
+
+def test_a_page_of_elements_left_open_takes_linear_time():
+    reader = pages._Cells("", "table", "tr", ("td",))
+    began = time.perf_counter()
+    reader.feed("<table><tr>" + "<i>" * 40_000 + "<td>x</b></td>" * 40_000)
+    reader.close()
+    reader.finish()
+    assert time.perf_counter() - began < 10 and len(list(reader.rows())) == 40_000
