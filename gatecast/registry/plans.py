@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gatecast.functions.labels import DRAWN, FIRST_MEETING, LOST, NOT_PLAYED, RARE_OPPONENTS, WON
+from gatecast.operators.incremental import update_history
+from gatecast.operators.windows import Lag, RollingSum, RunningSum
 from gatecast.plans import model_frame as mf
-from gatecast.registry.base import query, r6, table
-from gatecast.session import materialize
+from gatecast.registry.base import GAMES_SQL, ORDER, games, query, r6, table
+from gatecast.session import materialize, new_path
 
 LEAGUE_ORDER = ["sæson_år", "o_orderkey"]
 TEAM = "T03"
@@ -114,3 +116,35 @@ def plan_model_frame(spark, sf):
     """From matches and side inputs to the predictors and target of one team's home matches."""
     done = mf.model_frame(league(spark, sf), *side_inputs(spark, sf), TEAM, LEAGUE_ORDER, first_season=1994, expect="one")
     return done.withColumns({c: r6(c, 3) for c in ("sidste_møde_tilskuere", "tilskuere")})
+
+
+STAGES = (
+    {
+        "last_value": Lag("value"), "value3": RollingSum("value", shift=1), "last_result": Lag("result"), "points": RunningSum("pts", ("season",)),
+        "met_value": Lag("value", within=("o_orderpriority",)), "all_points": RunningSum("pts"),
+    },
+    {"points_before": Lag("points")},
+)
+
+
+@query(
+    "w_history_of_new_rows",
+    f"""WITH {GAMES_SQL}, first AS (SELECT *, lag(value) OVER t AS last_value, CASE WHEN count(value) OVER b = 3 THEN round(sum(value) OVER b, 4) END AS value3,
+        lag(result) OVER t AS last_result, CASE WHEN count(pts) OVER s = count(*) OVER s THEN sum(pts) OVER s END AS points,
+        lag(value) OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY o_orderdate, o_orderkey) AS met_value,
+        CASE WHEN count(pts) OVER a = count(*) OVER a THEN sum(pts) OVER a END AS all_points FROM games
+        WINDOW t AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey), b AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING),
+          s AS (PARTITION BY o_custkey, season ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+          a AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+      second AS (SELECT *, lag(points) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS points_before FROM first)
+      SELECT o_orderkey, season, last_value, value3, last_result, points, met_value, all_points, points_before FROM second WHERE season >= 1996""",
+)
+def history_of_new_rows(spark, sf):
+    """Seasons up to 1995 as the start, then 1996 and the later ones, each from the stored state: the rows of a full computation."""
+    played, path = materialize(games(spark, sf), "games"), new_path(spark, "history-state")
+    names = {"team": "o_custkey", "order": ORDER, "path": path}
+    update_history(played.where("season < 1996"), *STAGES, **names)
+    added = update_history(played.where("season = 1996"), *STAGES, **names)
+    added = added.unionByName(update_history(played.where("season > 1996"), *STAGES, **names))
+    columns = ["o_orderkey", "season", *STAGES[0], *STAGES[1]]
+    return added.select(*columns).withColumn("value3", r6("value3", 4))

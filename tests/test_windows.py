@@ -3,7 +3,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from gatecast.operators import hotgroups
+from gatecast.operators import hotgroups, incremental
+from gatecast.operators import windows as win
 from gatecast.operators.windows import (
     Lag, RollingSum, RunningSum, add_history, lag_value, last_meeting, rolling_sum, running_sum, running_sum_lagged,
 )
@@ -115,3 +116,26 @@ def test_one_exchange_serves_all_features(spark, skewed):
     plain = add_history(skewed.select("*"), *FEATURES, team="team", order=["seq"], hot_rows=None)
     plan = plain._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_new_rows_from_a_stored_state_equal_the_whole_history(spark, tmp_path):
+    rng = random.Random(9)
+    data = [(rng.choice(["a", "b", None]), day, rng.choice([None, 1.0, 2.0, 5.0, 8.0]), rng.choice("xy"), day // 40) for day in range(160)]
+    table = spark.createDataFrame(data, "team string, day int, v double, other string, season int")
+    stages = (
+        {"l2": win.Lag("v", 2), "r": win.RollingSum("v", 3, 1), "s": win.RunningSum("v", ("season",)), "all": win.RunningSum("v"), "met": win.Lag("v", within=("other",))},
+        {"s_before": win.Lag("s")},
+    )
+    names = {"team": "team", "order": ["day"]}
+    key = lambda rows: sorted((str(tuple(r)) for r in rows))
+    want = key(win.add_history(table, *stages, **names).collect())
+    for borders in ([0, 60, 61, 130, 160], [0, 160], [0, 80, 100, 160]):
+        path, got = f"{tmp_path}/state{len(borders)}{borders[1]}", []
+        for a, b in zip(borders, borders[1:]):
+            new = table.where(f"day >= {a} AND day < {b}")
+            got += incremental.update_history(new, *stages, path=path, **names).collect()
+            assert incremental.latest_version(spark, path) >= 1
+        assert key(got) == want
+    with pytest.raises(ValueError, match="come before"):
+        incremental.update_history(table.where("day = 70"), *stages, path=path, **names)
+    assert incremental.update_history(table.where("day < 0"), *stages, path=path, **names).count() == 0
