@@ -7,15 +7,15 @@ log(trusted / raw), so length does not matter. Shapes that the corpus has and tr
 
 Base rules come first (``base_statistics``): fewer than 50 words, or more than half of the words in
 three-word windows that occur twice or more, fail a document. Then a document is kept if its score
-reaches the threshold. The threshold is read off the labelled documents: the middle of the range
+reaches the threshold. The threshold is read off all labelled documents: the middle of the range
 that separates good from bad with the fewest errors, in steps of ``STEP``; if one of the classes
 has no scored document, it is ``NO_LABELS``.
 
-Bounds: all labels take part in the trusted counts. Only texts that can have a good label move: a Bloom filter of the
-labelled ids drops the others where they are read, an exact semi join by shuffle decides the rest, at every size. Ids that
-repeat in the documents are split by AQE. The threshold is placed by at most
-``LABELLED`` labelled ids, those of least MD5, and they alone pass through the driver, with ``SLOTS`` counts and the
-score histogram. Corpus counts and decisions cover every document and every whole text. ``SLOTS`` is the size of the
+Bounds: all labels take part in the trusted counts and in the threshold. Only texts that can have a good label move: a Bloom
+filter of the labelled ids drops the others where they are read, an exact semi join by shuffle decides the rest, at every
+size. For the threshold no text moves: documents that pass a filter of the labelled ids (of up to ``LABELLED``; beyond, all
+documents) are scored where they are read, and (id, bin) is joined with the labels by shuffle. Ids that repeat in the documents
+are split by AQE. Through the driver pass ``SLOTS`` counts and the score histogram, no labels. Corpus counts and decisions cover every document and every whole text. ``SLOTS`` is the size of the
 hashed model: no trigram is left out, those that share a slot are counted together.
 
 Nulls: a null text is empty (no words, base rules fail, score 0). A null id cannot be trusted and is
@@ -38,12 +38,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatecast.llm.common import per_text
-from gatecast.operators.joins import keyed_lookup_large
+from gatecast.operators.joins import KEYS_PER_WORD, key_filter, keyed_lookup_large, may_match
+from gatecast.session import materialize
 
 SLOTS = 1 << 15
 PIECES = 32  # of the counts of a task
 GRAM = 3
-LABELLED = 100_000
+LABELLED = 1 << 22  # labelled ids whose key filter is broadcast
 STEP = 0.01
 NO_LABELS = -0.5
 LEAST_SCORE, MOST_SCORE = -20.0, 20.0  # of the histogram; scores beyond fall into the outer bins
@@ -115,28 +116,8 @@ def one_label(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
 
 
-def labelled_sample(labels: DataFrame) -> pd.DataFrame:
-    """Up to ``LABELLED`` rows (doc_id, quality), sorted by id."""
-    rows = one_label(labels).orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(LABELLED).toPandas()
-    return rows.sort_values("doc_id", ignore_index=True)
-
-
-def _labels_of(batch: pd.DataFrame, known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """The label of each id, -1 where there is none."""
-    if not len(known):
-        return np.full(len(batch), -1)
-    ids = batch["id"].to_numpy(np.int64)
-    at = np.minimum(np.searchsorted(known, ids), len(known) - 1)
-    return np.where((known[at] == ids) & ~batch["missing"].to_numpy(bool), values[at], -1)
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Rules:
     """Count both multinomials over all documents, then place the threshold by the labelled ones."""
-    sample = labelled_sample(labels)
-    known, values = sample["doc_id"].to_numpy(np.int64), sample["quality"].to_numpy(np.int64)
-    # Null ids get a flag: a column with nulls would turn whole numbers into floats.
-    rows = docs.select(F.coalesce("doc_id", F.lit(0)).alias("id"), F.col("doc_id").isNull().alias("missing"), "text")
-
     # A task's counts travel in packed pieces, and the pieces of a place are added where they meet: few rows for many tasks.
     def counts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen = np.zeros(SLOTS, np.int64)
@@ -167,16 +148,22 @@ def fit(docs: DataFrame, labels: DataFrame) -> Rules:
         return Rules(np.zeros(SLOTS), NO_LABELS)
     ratio = np.log((trusted + 1) / (trusted.sum() + SLOTS)) - np.log((raw + 1) / (raw.sum() + SLOTS))
 
-    def histogram(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: defaultdict[tuple[int, int], int] = defaultdict(int)
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = _labels_of(batch, known, values)
-            for text, label in zip(batch["text"][found >= 0], found[found >= 0]):
-                if text and not base_statistics(text)[-1]:
-                    seen[math.floor(min(max(score(text, ratio), LEAST_SCORE), MOST_SCORE) / STEP), int(label != 0)] += 1
-        yield pd.DataFrame([(b, good, n) for (b, good), n in seen.items()], columns=["bin", "good", "n"])
-
-    bins = rows.mapInPandas(histogram, "bin int, good int, n long").groupBy("bin", "good").agg(F.sum("n").alias("n"))
+            bins = [
+                (i, math.floor(min(max(score(text, ratio), LEAST_SCORE), MOST_SCORE) / STEP))
+                for i, text in zip(batch["id"], batch["text"])
+                if text and not base_statistics(text)[-1]
+            ]
+            yield pd.DataFrame(bins, columns=["id", "bin"])
+
+    known = one_label(labels).where("quality >= 0").select(F.col("doc_id").cast("long").alias("id"), (F.col("quality") != 0).cast("int").alias("good"))
+    known = materialize(known, "quality-labels")
+    many = known.count()
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").where("id IS NOT NULL")
+    asked = may_match(rows, key_filter(known, F.col("id"), many, LABELLED // KEYS_PER_WORD), F.col("id"), many)
+    scored = asked.mapInPandas(binned, "id long, bin int").join(known.hint("shuffle_hash"), "id")
+    bins = scored.groupBy("bin", "good").agg(F.count(F.lit(1)).alias("n"))
     return Rules(ratio, threshold([tuple(r) for r in bins.collect()]))
 
 

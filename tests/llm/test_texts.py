@@ -108,6 +108,18 @@ def test_trusted_counts_use_all_labels_beyond_the_sample(spark, monkeypatch):
     assert np.allclose(counted, (trusted + 1) / (trusted.sum() + Q.SLOTS))
 
 
+def test_threshold_uses_all_labels(spark):
+    """The documents' ids are those that a sample of the 100,000 labelled ids of least MD5 leaves out."""
+    rows, labels = corpus()
+    far = sorted(range(100_000 + len(rows)), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())[100_000:]
+    docs = spark.createDataFrame([(far[i], t) for i, t in rows], "doc_id long, text string").repartition(3)
+    own = spark.createDataFrame([(far[i], q) for i, q in labels], "doc_id long, quality int")
+    others = spark.range(100_000 + len(rows)).where(~F.col("id").isin(far)).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("quality"))
+    few = Q.fit(docs, own)
+    rules = Q.fit(docs, own.unionByName(others))
+    assert few.threshold != Q.NO_LABELS and rules.threshold == few.threshold
+
+
 def test_rules_without_labels_or_documents(spark):
     docs = spark.createDataFrame(corpus()[0], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")
