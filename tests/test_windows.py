@@ -107,6 +107,16 @@ def test_hot_groups_are_really_split(spark, skewed):
     assert cold.where(F.col("team") == "hot").count() == 0
 
 
+def test_default_size_bounds_the_rows_of_a_task(spark):
+    """A team of 600,000 rows is worked in chunks without being asked for, with the plain results."""
+    one = spark.range(0, 600_000, 1, 4).select(F.lit("t").alias("team"), (F.col("id") * 7 % 600_000).alias("seq"), (F.col("id") % 5).cast("double").alias("v"))
+    _, chunked = hotgroups.split_hot_groups(one, ["team"], ["seq"])
+    assert chunked is not None and chunked.groupBy(hotgroups.CHUNK).count().agg(F.max("count")).first()[0] < 500_000
+    features = {"before": win.Lag("v"), "three": win.RollingSum("v"), "all": win.RunningSum("v")}
+    digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("seq", "before", "three", "all").cast("decimal(38,0)"))).first()
+    assert digest(win.add_history(one, features, team="team", order=["seq"])) == digest(win.add_history(one, features, team="team", order=["seq"], hot_rows=None))
+
+
 def test_no_split_without_hot_groups(spark, skewed):
     cold, chunked = hotgroups.split_hot_groups(skewed, ["team"], ["seq"], 10_000)
     assert chunked is None and cold is skewed
