@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import re
 import tempfile
 import threading
 import uuid
@@ -33,26 +35,51 @@ def build_session(app: str = "gatecast", master: str | None = None, **conf: str)
     return builder.getOrCreate()
 
 
+# What trials found out about folders: empty if all is well, else what went wrong; by application and folder.
+_trials: dict[tuple[str, str], str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors reach: ``gatecast.folder`` if set, else the one named by ``spark.checkpoint.dir``.
+    """The folder all executors reach: ``gatecast.folder`` if set, else Spark's checkpoint folder, else the warehouse.
 
-    On a cluster a path without a scheme means the cluster's default file system; if that is the
-    local one, executors would each write to their own disk, so it is refused. Only where the
-    session names no folder and runs on one machine (tests) a new temporary folder is made and
+    A path without a scheme means the cluster's default file system. Executors that each write to a disk of
+    their own lose rows without an error, so where executors run apart from the driver a folder is tried once
+    per application, and one that fails is never used: a local path is right if all machines mount it. Only
+    where the session names no folder and runs in one process (tests) a new temporary folder is made and
     remembered in the session.
     """
-    folder = spark.conf.get("gatecast.folder", None) or spark.conf.get("spark.checkpoint.dir", None)
-    local = spark.sparkContext.master.startswith("local")
-    if not folder:
-        if not local:
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors reach")
-        folder = tempfile.mkdtemp(prefix="gatecast-")
-        spark.conf.set("gatecast.folder", folder)
-    elif not local and "://" not in folder and not folder.startswith("file:"):
-        default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
-        if default.startswith("file:"):
-            raise ValueError(f"{folder} is a local path; name a folder that all executors reach, with its scheme")
-    return folder.rstrip("/")
+    context, chosen = spark.sparkContext, spark.conf.get("gatecast.folder", None)
+    folder = chosen or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if re.match(r"local(\[|$)", context.master):
+        if not folder:
+            folder = tempfile.mkdtemp(prefix="gatecast-")
+            spark.conf.set("gatecast.folder", folder)
+        return folder.rstrip("/")
+    faults = []
+    for place in [chosen] if chosen else filter(None, [folder, spark.conf.get("spark.sql.warehouse.dir", None)]):
+        place = place.rstrip("/")
+        key = (context.applicationId, place)
+        if key not in _trials:
+            _trials[key] = _trial(spark, place)
+        if not _trials[key]:
+            return place
+        faults.append(f"{place}: {_trials[key]}")
+    raise ValueError("set spark.checkpoint.dir to a folder that all executors reach; " + "; ".join(faults))
+
+
+def _trial(spark: SparkSession, folder: str) -> str:
+    """Empty if all rows that tasks write below ``folder`` come back, else what went wrong."""
+    path = f"{folder}/gatecast/trial-{uuid.uuid4().hex}"
+    tasks = 2 * spark.sparkContext.defaultParallelism
+    try:
+        spark.range(0, tasks, 1, tasks).write.parquet(path)
+        found = spark.read.schema("id long").parquet(path).count()
+        fault = "" if found == tasks else f"{found} of {tasks} rows came back"
+    except Exception as error:
+        fault = f"{type(error).__name__} {str(error)[:300]}"
+    with contextlib.suppress(Exception):
+        remove_paths(spark, [path])
+    return fault
 
 
 # Paths made in the shared folder, by application, in order. Each thread has its own, so queries that run side by side

@@ -1,3 +1,4 @@
+import datetime
 import json
 import time
 
@@ -5,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gatecast.plans.matches import matches_from_pages
+from gatecast.registry import QUERIES
 from gatecast.sources import pages, responses, tables
 from gatecast.session import materialize, new_path, shared_folder
 from tests.conftest import rows
@@ -79,6 +81,55 @@ def test_materialize_goes_to_the_shared_folder(spark):
     assert new_path(spark, "x") != new_path(spark, "x")
 
 
+@pytest.fixture
+def cluster(spark, monkeypatch):
+    """The session as one whose executors run apart from the driver, with the folders it names given back afterwards."""
+    kept = spark.conf.get("gatecast.folder")
+    monkeypatch.setattr(spark.sparkContext, "master", "spark://driver:7077")
+    yield spark
+    spark.conf.set("gatecast.folder", kept)
+
+
+def test_a_cluster_takes_a_local_path_that_all_executors_reach(cluster, tmp_path):
+    cluster.conf.set("gatecast.folder", f"{tmp_path}/mounted/")
+    assert shared_folder(cluster) == f"{tmp_path}/mounted" and rows(materialize(cluster.range(3), "t"), "id") == [(0,), (1,), (2,)]
+    assert [p.name.split("-")[0] for p in (tmp_path / "mounted/gatecast").iterdir()] == ["t"]
+    orders = cluster.createDataFrame([(k, 1, "5-LOW", "F", 1000.0 * k, datetime.date(1995, 1, k)) for k in range(20, 30)],
+                                     "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string, o_totalprice double, o_orderdate date")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    got = rows(QUERIES["c7_impute_group_mean"](cluster, str(tmp_path)), "o_orderkey")
+    assert got == [(k, 1000.0 * (k - 1) if k > 25 else 22500.0) for k in range(20, 30)]
+
+
+def test_a_cluster_without_a_shared_folder_is_refused(cluster, tmp_path, monkeypatch):
+    (tmp_path / "file").touch()
+    cluster.conf.set("gatecast.folder", f"{tmp_path}/file")
+    for _ in range(2):
+        with pytest.raises(ValueError, match="all executors reach"):
+            new_path(cluster, "x")
+    # An executor with a disk of its own: what it writes is not there for the others.
+    read = type(cluster.read).parquet
+    monkeypatch.setattr(type(cluster.read), "parquet", lambda self, *paths: read(self, *paths).where("id % 3 > 0"))
+    cluster.conf.set("gatecast.folder", f"{tmp_path}/apart")
+    with pytest.raises(ValueError, match="of 16 rows came back"):
+        materialize(cluster.range(3), "t")
+
+
+def test_a_cluster_turns_to_the_warehouse(cluster, tmp_path, monkeypatch):
+    cluster.conf.unset("gatecast.folder")
+    named = {"spark.checkpoint.dir": None, "spark.sql.warehouse.dir": f"file:{tmp_path}/warehouse"}
+    get = type(cluster.conf).get
+    monkeypatch.setattr(type(cluster.conf), "get", lambda self, key, *default: named[key] if key in named else get(self, key, *default))
+    monkeypatch.setattr(type(cluster.sparkContext), "getCheckpointDir", lambda self: None)
+    assert shared_folder(cluster) == f"file:{tmp_path}/warehouse"
+    (tmp_path / "file").touch()
+    named["spark.checkpoint.dir"] = f"{tmp_path}/file"
+    assert shared_folder(cluster) == f"file:{tmp_path}/warehouse"
+    monkeypatch.setattr(type(cluster.sparkContext), "getCheckpointDir", lambda self: f"file:{tmp_path}/set")
+    named["spark.checkpoint.dir"] = None
+    assert shared_folder(cluster) == f"file:{tmp_path}/set"
+
+
 def test_spanning_cells_are_repeated_and_nested_tables_kept_apart(spark):
     page = """<div id="content"><table><tr><th colspan="2">Head</th><th>C</th></tr>
     <tr><td rowspan="2">a</td><td>b<table><tr><td>inner</td></tr></table></td><td>c</td></tr><tr><td>d</td><td>e</td></tr>
